@@ -1,3 +1,4 @@
 """Registered queries, one module per operator family (import order = registry order)."""
 
 from staylens.plans.catalog import discovery  # noqa: F401
+from staylens.plans.catalog import reports  # noqa: F401
