@@ -64,13 +64,14 @@ def i3_market_gaps(spark, d):
 @register("i4_price_correlations", roles=("listings",), headline=True, sql="""
 WITH base AS (
   SELECT * FROM listings
-  WHERE accommodates IS NOT NULL AND number_of_reviews IS NOT NULL AND review_scores_rating IS NOT NULL
+  WHERE accommodates IS NOT NULL AND bedrooms IS NOT NULL AND number_of_reviews IS NOT NULL AND review_scores_rating IS NOT NULL
     AND availability_365 IS NOT NULL AND minimum_nights IS NOT NULL AND price IS NOT NULL),
 w AS (
-  SELECT corr(accommodates, price) AS accommodates, corr(number_of_reviews, price) AS number_of_reviews,
+  SELECT corr(accommodates, price) AS accommodates, corr(bedrooms, price) AS bedrooms,
+         corr(number_of_reviews, price) AS number_of_reviews,
          corr(review_scores_rating, price) AS review_scores_rating, corr(availability_365, price) AS availability_365,
          corr(minimum_nights, price) AS minimum_nights FROM base),
-l AS (UNPIVOT w ON accommodates, number_of_reviews, review_scores_rating, availability_365, minimum_nights
+l AS (UNPIVOT w ON accommodates, bedrooms, number_of_reviews, review_scores_rating, availability_365, minimum_nights
       INTO NAME feature VALUE r)
 SELECT feature, round(r, 4) AS r FROM l ORDER BY abs(r) DESC NULLS LAST, feature LIMIT 8
 """)

@@ -19,7 +19,8 @@ def _r4all(df, keep=()):
 
 
 # Numeric columns of the listings role (what the describe / missing reports cover).
-LISTING_NUMERIC = ["id", "host_id", "price", "review_scores_rating", "accommodates", "number_of_reviews",
+LISTING_NUMERIC = ["id", "host_id", "price", "review_scores_rating", "accommodates", "number_of_reviews", "bedrooms",
+                   "reviews_per_month",
                    "availability_365", "minimum_nights", "latitude", "longitude"]
 
 
@@ -160,7 +161,7 @@ def _corr_sql(cols):
     return "\nUNION ALL ".join(parts)
 
 
-_HEAT_PRESENT = ["price", "accommodates", "number_of_reviews", "review_scores_rating", "availability_365"]
+_HEAT_PRESENT = ["price", "accommodates", "bedrooms", "number_of_reviews", "review_scores_rating", "availability_365"]
 
 
 @register("a8_correlation_matrix", roles=L, sql=_corr_sql(_HEAT_PRESENT))
@@ -234,7 +235,8 @@ def a18_describe_listings(spark, d):
 
 
 _ALL_LISTING_COLUMNS = ["id", "host_id", "price", "neighbourhood_cleansed", "room_type", "review_scores_rating",
-                        "accommodates", "number_of_reviews", "availability_365", "minimum_nights", "host_since",
+                        "accommodates", "number_of_reviews", "bedrooms", "reviews_per_month", "availability_365",
+                        "minimum_nights", "host_since", "instant_bookable",
                         "latitude", "longitude"]
 
 

@@ -27,11 +27,45 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+def expand_round4(sql: str) -> str:
+    """Rewrite every ``round(expr, 4)`` into ``(floor((expr) * 10000 + 0.5) / 10000)``, the half-up formula the
+    Spark side uses (``semantics.r4``), so both engines round identical doubles to identical doubles."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            ch = sql[k]
+            depth += ch == "("
+            depth -= ch == ")"
+            if depth == 0:
+                break
+            k += 1
+        inner = sql[j + 6:k]
+        head, _, tail = inner.rpartition(",")
+        if tail.strip() == "4" and head:
+            out.append(sql[i:j])
+            out.append(f"(floor(CAST(({expand_round4(head)}) AS DOUBLE) * 10000 + 0.5) / 10000)")
+        else:
+            out.append(sql[i:j + 6])
+            out.append(expand_round4(inner))
+            out.append(")")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None, roles: tuple[str, ...] = (), headline: bool = False):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
         full = with_roles(sql, *roles) if (sql and roles) else sql
+        full = expand_round4(full) if full else full
         REGISTRY[name] = Query(name, fn, full, headline)
         return fn
 

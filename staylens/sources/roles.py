@@ -3,7 +3,8 @@
 Operators take column names as parameters and never know where a role came from. Each Spark view here has a
 DuckDB twin (``ROLE_SQL``) written once, so every oracle query reuses the same definition.
 
-listings  <- orders ⋈ customer ⋈ nation, left-joined to lineitem grouped by order (one row per order)
+listings  <- orders ⋈ customer ⋈ nation, left-joined to lineitem grouped by order (one row per order);
+             bedrooms = lines // 2, reviews_per_month = lines / 12, instant_bookable from the order status
 calendar  <- orders (long history) or events (one month)
 reviews   <- documents (review id = listing id = doc_id, district = source)
 vectors   <- embeddings
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per order; lineitem supplies rating and size, customer supplies segment and coordinates."""
     o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus"
     )
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -51,9 +52,13 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(2.0) * F.col("_q")).alias("review_scores_rating"),
         F.col("_nl").alias("accommodates"),
         F.coalesce(F.col("_nl"), F.lit(0)).alias("number_of_reviews"),
+        F.floor(F.col("_nl") / 2.0).cast("double").alias("bedrooms"),
+        (F.col("_nl") / 12.0).alias("reviews_per_month"),
         F.dayofyear("o_orderdate").alias("availability_365"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("minimum_nights"),
         F.to_date("o_orderdate").alias("host_since"),
+        F.when(F.col("o_orderstatus") == "F", "t").when(F.col("o_orderstatus") == "O", "f")
+        .otherwise(F.col("o_orderstatus")).alias("instant_bookable"),
         (F.lit(35.5) + (F.col("c_acctbal") + 1000.0) / 11000.0 * 0.4).alias("latitude"),
         (F.lit(139.4) + ((F.col("o_custkey") * 7919) % 1000).cast("double") / 1000.0 * 0.5).alias("longitude"),
     )
@@ -107,9 +112,11 @@ ROLE_SQL = {
 listings AS (
   SELECT o.o_orderkey AS id, o.o_custkey AS host_id, o.o_totalprice AS price, n.n_name AS neighbourhood_cleansed,
          c.c_mktsegment AS room_type, 2.0::DOUBLE * li._q AS review_scores_rating, li._nl AS accommodates,
-         coalesce(li._nl, 0) AS number_of_reviews, CAST(dayofyear(o.o_orderdate) AS INTEGER) AS availability_365,
+         coalesce(li._nl, 0) AS number_of_reviews, floor(li._nl / 2.0::DOUBLE)::DOUBLE AS bedrooms,
+         li._nl / 12.0::DOUBLE AS reviews_per_month, CAST(dayofyear(o.o_orderdate) AS INTEGER) AS availability_365,
          CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS minimum_nights,
          CAST(o.o_orderdate AS DATE) AS host_since,
+         CASE o.o_orderstatus WHEN 'F' THEN 't' WHEN 'O' THEN 'f' ELSE o.o_orderstatus END AS instant_bookable,
          35.5::DOUBLE + (c.c_acctbal + 1000.0::DOUBLE) / 11000.0::DOUBLE * 0.4::DOUBLE AS latitude,
          139.4::DOUBLE + CAST((o.o_custkey * 7919) % 1000 AS DOUBLE) / 1000.0::DOUBLE * 0.5::DOUBLE AS longitude
   FROM orders o
