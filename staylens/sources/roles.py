@@ -105,6 +105,24 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
+def external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An uploaded-style district table: one row per nation with region, supplier count and mean balance, under
+    the column names a user file would carry (a dashed key, a 'ward' spelling for fuzzy matching)."""
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    s = (table(spark, sf_dir, "supplier").groupBy("s_nationkey")
+         .agg(F.count(F.lit(1)).alias("suppliers"), F.avg("s_acctbal").alias("_bal")))
+    j = n.join(r, n.n_regionkey == r.r_regionkey, "left").join(s, n.n_nationkey == s.s_nationkey, "left")
+    return j.select(
+        F.col("n_name").alias("Neighbourhood-Cleansed"),
+        F.col("n_nationkey").alias("nation_code"),
+        F.col("r_name").alias("region"),
+        F.coalesce(F.col("suppliers"), F.lit(0)).alias("suppliers"),
+        (F.floor(F.col("_bal") * 100 + 0.5) / 100).alias("supplier_balance"),
+        F.concat(F.lower(F.translate("n_name", "_", "-")), F.lit(" ward")).alias("ward_name"),
+    )
+
+
 # --- DuckDB twins of the role views -------------------------------------------------------------------------------
 
 ROLE_SQL = {
@@ -145,6 +163,15 @@ reviews_dated AS (
 )""",
     "vectors": """
 vectors AS (SELECT vec_id AS id, embedding, label FROM embeddings)""",
+    "external": """
+external AS (
+  SELECT n.n_name AS "Neighbourhood-Cleansed", n.n_nationkey AS nation_code, r.r_name AS region,
+         coalesce(s.suppliers, 0)::BIGINT AS suppliers, floor(s._bal * 100 + 0.5) / 100 AS supplier_balance,
+         lower(translate(n.n_name, '_', '-')) || ' ward' AS ward_name
+  FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+  LEFT JOIN (SELECT s_nationkey, count(*) AS suppliers, avg(s_acctbal) AS _bal FROM supplier GROUP BY 1) s
+         ON n.n_nationkey = s.s_nationkey
+)""",
 }
 
 
