@@ -4,3 +4,4 @@ from staylens.plans.catalog import discovery  # noqa: F401
 from staylens.plans.catalog import reports  # noqa: F401
 from staylens.plans.catalog import prep  # noqa: F401
 from staylens.plans.catalog import integration  # noqa: F401
+from staylens.plans.catalog import retrieval  # noqa: F401
