@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from staylens.functions.semantics import (
     UNICODE_SPACE, col_of, cut, hash_sample, nan_to_null, parse_number, quantiles, unicode_strip, with_scalars,
@@ -174,7 +175,7 @@ def decode_common_entities(c: str | Column) -> Column:
     return x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_all_entities(s: pd.Series) -> pd.Series:
     """Full HTML entity decoding (every named and numeric entity), Arrow-batched."""
     return s.map(lambda t: None if t is None else html.unescape(t))
