@@ -87,6 +87,13 @@ def r4(c: str | Column) -> Column:
     return F.when(F.isnan(x), x).otherwise(round_half_up(x, 4))
 
 
+def r4_decimal(c: str | Column) -> Column:
+    """``r4`` for a value that is an exact decimal (a mean of money amounts): rounds in decimal arithmetic, so the
+    result does not depend on how a double happened to land near a tie."""
+    x = col_of(c).cast("decimal(38,6)")
+    return F.floor(x * 10000 + F.lit(0.5).cast("decimal(2,1)")).cast("double") / 10000.0
+
+
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """pandas ``groupby`` drops rows whose key is null."""
     cond = None

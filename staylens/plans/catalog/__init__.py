@@ -6,3 +6,4 @@ from staylens.plans.catalog import prep  # noqa: F401
 from staylens.plans.catalog import integration  # noqa: F401
 from staylens.plans.catalog import retrieval  # noqa: F401
 from staylens.plans.catalog import sentiment  # noqa: F401
+from staylens.plans.catalog import forecast  # noqa: F401
