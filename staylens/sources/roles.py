@@ -123,6 +123,12 @@ def external(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """District polygons by name (nation); the test tables carry no shapes, so the geometry is null."""
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("neighbourhood"),
+                                                  F.lit(None).cast("string").alias("geometry"))
+
+
 # --- DuckDB twins of the role views -------------------------------------------------------------------------------
 
 ROLE_SQL = {
