@@ -8,3 +8,4 @@ from staylens.plans.catalog import retrieval  # noqa: F401
 from staylens.plans.catalog import sentiment  # noqa: F401
 from staylens.plans.catalog import forecast  # noqa: F401
 from staylens.plans.catalog import segments  # noqa: F401
+from staylens.plans.catalog import audit  # noqa: F401
