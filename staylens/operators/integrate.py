@@ -88,23 +88,55 @@ def _padded_bigrams(c) -> F.Column:
     return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, 2))
 
 
+def _prefix_tokens(keys: DataFrame, key: str, norm: str, freq: DataFrame | None, cutoff: float):
+    """Tagged bigrams of each key (a bigram's n-th occurrence is its own token, so multiset overlap becomes set
+    overlap) and, given global token frequencies, each key's prefix: its rarest |G| - T + 1 tokens, where T is
+    the least overlap any partner within the cutoff must share with it."""
+    ex = keys.select(key, norm, F.posexplode(_padded_bigrams(F.col(norm))).alias("_pos", "_g"))
+    # One window partition per (key, bigram): bounded by the length of one key.
+    occ = F.row_number().over(Window.partitionBy(key, "_g").orderBy("_pos"))
+    tok = ex.select(key, F.length(norm).alias("_len"), F.concat("_g", F.lit("\u0001"), occ.cast("string"))
+                    .alias("_tok"))
+    if freq is None:
+        return tok
+    # Edit distance d destroys at most 2 padded bigrams per edit, so a partner within the cutoff shares at least
+    # L + 1 - 2 (1 - cutoff) L >= (2 cutoff - 1) len + 1 tokens (L = the longer length).
+    need = F.ceil(F.lit(2 * cutoff - 1) * F.col("_len") + F.lit(1.0 - 1e-9))
+    plen = F.greatest(F.lit(1), F.col("_len") + 1 - need + 1).cast("int")
+    ranked = (tok.join(freq, "_tok").groupBy(key, "_len")
+              .agg(F.array_sort(F.collect_list(F.struct("_f", "_tok"))).alias("_toks")))
+    return ranked.select(key, F.explode(F.slice("_toks", F.lit(1), plen)).alias("_t")).select(
+        key, F.col("_t._tok").alias("_tok"))
+
+
 def fuzzy_key_map(new_keys: DataFrame, known_keys: DataFrame, new_col: str, known_col: str,
                   cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """J-3: for each distinct new key, the most similar known key after normalisation, if its similarity
     1 - levenshtein / max(len) reaches ``cutoff`` (ties: the smaller known key).
 
-    Candidate pairs come from an equi-join on padded character bigrams. The blocking is exact for any cutoff
-    above 0.5: two strings that share no padded bigram are at least half their length apart in edits, so no
-    qualifying pair is missed. Pairs are of distinct keys, never of rows."""
+    Exact candidate generation by prefix filtering on padded character bigrams (valid for any cutoff above
+    0.5): a pair within the cutoff must share at least (2 cutoff - 1) len + 1 bigram occurrences, so it must
+    share one of the rarest |G| - T + 1 of each side. Only those prefix tokens are joined, so common bigrams
+    (shared by most keys) do not produce all pairs of their keys; every candidate is then verified with the
+    exact distance. Pairs are of distinct keys, never of rows."""
+    if cutoff <= 0.5:
+        raise ValueError("bigram blocking is exact only for a cutoff above 0.5")
     a = new_keys.select(F.col(new_col).alias("new_key")).where(F.col("new_key").isNotNull()).distinct()
     b = known_keys.select(F.col(known_col).alias("known_key")).where(F.col("known_key").isNotNull()).distinct()
     a = a.withColumn("_na", _normalise(F.col("new_key")))
     b = b.withColumn("_nb", _normalise(F.col("known_key")))
-    ga = a.select("new_key", "_na", F.explode(F.array_distinct(_padded_bigrams(F.col("_na")))).alias("_g"))
-    gb = b.select("known_key", "_nb", F.explode(F.array_distinct(_padded_bigrams(F.col("_nb")))).alias("_g"))
-    pairs = ga.join(gb, "_g").select("new_key", "_na", "known_key", "_nb").distinct()
-    sim = 1 - F.levenshtein("_na", "_nb") / F.greatest(F.length("_na"), F.length("_nb"))
-    scored = pairs.withColumn("similarity", sim).where(F.col("similarity") >= cutoff)
+    ta = _prefix_tokens(a, "new_key", "_na", None, cutoff)
+    tb = _prefix_tokens(b, "known_key", "_nb", None, cutoff)
+    freq = ta.select("_tok").unionByName(tb.select("_tok")).groupBy("_tok").agg(F.count(F.lit(1)).alias("_f"))
+    pa = _prefix_tokens(a, "new_key", "_na", freq, cutoff)
+    pb = _prefix_tokens(b, "known_key", "_nb", freq, cutoff)
+    pairs = pa.join(pb, "_tok").select("new_key", "known_key").distinct().join(a, "new_key").join(b, "known_key")
+    la, lb = F.length("_na"), F.length("_nb")
+    longer = F.greatest(la, lb)
+    sim = F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein("_na", "_nb") / longer)
+    # Cheap length filter before the distance: |la - lb| <= d <= (1 - cutoff) L.
+    scored = (pairs.where(F.abs(la - lb) <= F.lit(1 - cutoff) * longer)
+              .withColumn("similarity", sim).where(F.col("similarity") >= cutoff))
     best = scored.groupBy("new_key").agg(
         F.min_by(F.struct("known_key", "similarity"),
                  F.struct((-F.col("similarity")).alias("s"), F.col("known_key").alias("k"))).alias("_b"))
@@ -165,8 +197,8 @@ def merge_external(listings: DataFrame, new_df: DataFrame, key_new: str, key_kno
                    prefix: str | None = None) -> DataFrame:
     """J-5: bring ``import_cols`` of ``new_df`` into ``listings`` by key.
 
-    Keys are validated first. Duplicate keys on the new side keep the first row by ``order_col`` (the key itself
-    when none is given, so any duplicate wins deterministically). Null keys match null keys. A clash with an
+    Keys are validated first. Duplicate keys on the new side keep the first row by ``order_col`` (the smallest
+    imported row when none is given, so duplicates resolve deterministically). Null keys match null keys. A clash with an
     existing column is refused unless ``prefix`` renames the imported columns."""
     if key_new not in new_df.columns:
         raise MergeError(f"Column '{key_new}' not found in uploaded dataset.")
@@ -177,8 +209,13 @@ def merge_external(listings: DataFrame, new_df: DataFrame, key_new: str, key_kno
     clash = [n for n in out_names.values() if n in listings.columns]
     if clash:
         raise MergeError(f"Imported columns already exist: {clash}; pass a prefix.")
-    order = order_col or key_new
-    sub = new_df.select(F.col(key_new).alias("_k"), F.col(order).alias("_o"), *[F.col(c) for c in cols])
+    # The ordering value is never null (min_by skips null orderings): rows without an order value come last;
+    # with no order column the smallest imported row wins, so duplicates resolve the same way on every run.
+    if order_col:
+        order = F.struct(F.col(order_col).isNull().alias("n"), F.col(order_col).alias("o"))
+    else:
+        order = F.struct(*[F.col(c) for c in cols]) if cols else F.lit(0)
+    sub = new_df.select(F.col(key_new).alias("_k"), order.alias("_o"), *[F.col(c) for c in cols])
     first = sub.groupBy("_k").agg(F.min_by(F.struct(*cols), "_o").alias("_s")) if cols else sub.select("_k").distinct()
     first = first.select("_k", F.lit(True).alias("_key_matched"),
                          *[F.col(f"_s.{c}").alias(out_names[c]) for c in cols])
