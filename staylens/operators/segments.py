@@ -90,8 +90,9 @@ def _total_ss(scaled: DataFrame, d: int) -> float:
 
 
 def best_of_restarts(vec: DataFrame, k: int, n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER,
-                     tol: float = TOL, parallel: int = 4) -> tuple[float, list[list[float]]]:
-    """G-3: ``n_init`` K-Means fits with seeds seed .. seed+n_init-1, the lowest cost wins (first on ties)."""
+                     tol: float = TOL, parallel: int = N_INIT) -> tuple[float, list[list[float]]]:
+    """G-3: ``n_init`` K-Means fits with seeds seed .. seed+n_init-1, the lowest cost wins (first on ties). The
+    fits are independent jobs over the same persisted frame and run concurrently (``parallel`` at a time)."""
     seeds = [seed + i for i in range(n_init)]
     with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as pool:
         fits = list(pool.map(lambda s: _fit(vec, k, s, max_iter, tol), seeds))

@@ -126,15 +126,21 @@ def extremes(scored: DataFrame, n: int = 5, id_col: str = "id") -> DataFrame:
     return pos.unionByName(neg)
 
 
-def language_tag(text, stop_words: Mapping[str, Sequence[str]] = STOP_WORDS, default: str = "en") -> F.Column:
-    """R-8: the language whose stop words occur most often in the whole text (ties: first listed; none: default)."""
-    t = tokens(text)
-    langs = list(stop_words)
-    def hits(ws):
-        words = F.array(*[F.lit(x) for x in ws])
-        return F.size(F.filter(t, lambda w: F.array_contains(words, w)))
+def _stop_word_codes(stop_words: Mapping[str, Sequence[str]]) -> F.Column:
+    """Map literal word -> bit mask of the languages whose stop-word list holds it."""
+    codes: dict[str, int] = {}
+    for i, ws in enumerate(stop_words.values()):
+        for w in ws:
+            codes[w] = codes.get(w, 0) | (1 << i)
+    return F.map_from_arrays(F.array(*[F.lit(w) for w in codes]).cast("array<string>"),
+                             F.array(*[F.lit(v) for v in codes.values()]).cast("array<int>"))
+
+
+def _pick_language(codes: F.Column, langs: Sequence[str], default: str) -> F.Column:
+    def count(bit):
+        return F.size(F.filter(codes, lambda x: x.bitwiseAND(F.lit(bit)) != 0))
 
-    counts = [hits(ws) for ws in stop_words.values()]
+    counts = [count(1 << i) for i in range(len(langs))]
     best = F.greatest(*counts) if len(counts) > 1 else counts[0]
     expr = F.when(best == 0, F.lit(default))
     for lang, c in zip(langs, counts):
@@ -142,6 +148,24 @@ def language_tag(text, stop_words: Mapping[str, Sequence[str]] = STOP_WORDS, def
     return expr
 
 
+def language_tag(text, stop_words: Mapping[str, Sequence[str]] = STOP_WORDS, default: str = "en") -> F.Column:
+    """R-8: the language whose stop words occur most often in the whole text (ties: first listed; none: default).
+    Each token costs one map lookup; the per-language counts then run over the (short) stop-word hits."""
+    m = _stop_word_codes(stop_words)
+    hits = F.filter(F.transform(tokens(text), lambda w: F.try_element_at(m, w)), lambda x: x.isNotNull())
+    return _pick_language(hits, list(stop_words), default)
+
+
+def tag_languages(df: DataFrame, text: str = "comments", out: str = "lang_pred",
+                  stop_words: Mapping[str, Sequence[str]] = STOP_WORDS, default: str = "en") -> DataFrame:
+    """R-8 on a frame: the stop-word hits are computed once per row as their own column (the optimizer keeps a
+    costly expression that is used several times in its own projection), then counted per language."""
+    m = _stop_word_codes(stop_words)
+    hits = F.filter(F.transform(tokens(text), lambda w: F.try_element_at(m, w)), lambda x: x.isNotNull())
+    return (df.withColumn("_sw", hits).withColumn(out, _pick_language(F.col("_sw"), list(stop_words), default))
+            .drop("_sw"))
+
+
 def language_accuracy(tagged: DataFrame, truth: str = "lang", pred: str = "lang_pred") -> DataFrame:
     """Tagging quality against a known language column: rows and correct tags per true language."""
     return tagged.groupBy(truth).agg(F.count(F.lit(1)).alias("n"),

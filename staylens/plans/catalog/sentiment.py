@@ -112,7 +112,7 @@ WITH {_lang_sql().strip()}
 SELECT id, lang_pred FROM tagged
 """)
 def r8_language_tags(spark, d):
-    return roles.reviews(spark, d).select("id", R.language_tag("comments").alias("lang_pred"))
+    return R.tag_languages(roles.reviews(spark, d)).select("id", "lang_pred")
 
 
 @register("r8_language_accuracy", roles=("reviews",), sql=f"""
@@ -121,5 +121,5 @@ SELECT lang, count(*)::BIGINT AS n, count(CASE WHEN lang = lang_pred THEN 1 END)
 GROUP BY lang
 """)
 def r8_language_accuracy(spark, d):
-    t = roles.reviews(spark, d).withColumn("lang_pred", R.language_tag("comments"))
+    t = R.tag_languages(roles.reviews(spark, d))
     return R.language_accuracy(t).select("lang", F.col("n").cast("long"), F.col("correct").cast("long"))
