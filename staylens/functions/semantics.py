@@ -122,12 +122,27 @@ def hash_order(id_col: str | Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", col_of(id_col).cast("string"), F.lit(str(seed))))
 
 
-def hash_sample(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
-    """Exact-n seeded sample (pandas ``sample(n, random_state)`` semantics: exactly min(n, rows) rows).
+SAMPLE_BUCKET_HEX = 5  # hash prefix digits that bucket rows for sampling: 16^5 = 1,048,576 buckets
 
-    Runs as a top-n per partition then a merge of n rows (TakeOrderedAndProject); no global sort.
-    """
-    return df.orderBy(hash_order(id_col, seed), F.col(id_col)).limit(n)
+
+def hash_sample(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
+    """Exact-n seeded sample (pandas ``sample(n, random_state)`` semantics: exactly min(n, rows) rows): the n rows
+    with the smallest hash order, ties by id.
+
+    A plain ``orderBy().limit(n)`` sends up to n rows from every input partition to one task, which on a large
+    input is partitions x n rows. Instead rows are bucketed by a prefix of their hash: a pass over the id column
+    counts rows per bucket (at most ~1 M buckets), a running sum over that small frame finds the bucket holding
+    the n-th row, and only rows in buckets up to it (about n + rows / 1 M) reach the final top-n."""
+    h = hash_order(id_col, seed)
+    bucket = F.conv(F.substring(h, 1, SAMPLE_BUCKET_HEX), 16, 10).cast("long")
+    tagged = df.withColumn("_sh", h).withColumn("_sb", bucket)
+    counts = df.select(bucket.alias("_sb")).groupBy("_sb").agg(F.count(F.lit(1)).alias("_sc"))
+    # At most 16^5 rows: the single ordered window below is bounded.
+    before = F.coalesce(F.sum("_sc").over(Window.orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0))
+    cut = counts.withColumn("_before", before).where(F.col("_before") < n).agg(F.max("_sb").alias("_smax"))
+    cand = tagged.join(F.broadcast(cut), F.col("_sb") <= F.col("_smax"))
+    return cand.orderBy("_sh", F.col(id_col)).limit(n).drop("_sh", "_sb", "_smax")
 
 
 def quantiles(

@@ -77,3 +77,13 @@ def test_hash_sample_exact_n_and_stable(spark):
 def test_unicode_strip(spark):
     df = spark.createDataFrame([("　 hi there \n",)], "s string")
     assert df.select(S.unicode_strip("s").alias("t")).first().t == "hi there"
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 500, 5000])
+def test_bucketed_hash_sample_equals_full_order(spark, n):
+    from staylens.functions.semantics import hash_order, hash_sample
+
+    df = spark.range(0, 3000).withColumnRenamed("id", "k").repartition(5)
+    naive = [r.k for r in df.orderBy(hash_order("k", 7), "k").limit(n).collect()]
+    got = [r.k for r in hash_sample(df, n, "k", 7).collect()]
+    assert sorted(got) == sorted(naive) and len(got) == min(n, 3000)
