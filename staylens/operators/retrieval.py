@@ -94,7 +94,8 @@ def search(store: DataFrame, query: Sequence[float] | DataFrame, k: int = DEFAUL
     else:
         q = F.array(*[F.lit(float(x)) for x in query])
     v = F.transform(F.col(col), lambda x: x.cast("double"))
-    scored = s.withColumn("similarity", cosine(v, q))
+    # The vector itself is dropped before the top-k: each partition forwards k narrow rows, not k vectors.
+    scored = s.withColumn("similarity", cosine(v, q)).drop(col)
     if isinstance(query, DataFrame):
         scored = scored.drop("_q")
     top = scored.orderBy(F.col("similarity").desc_nulls_last(), F.col(id_col)).limit(k)
