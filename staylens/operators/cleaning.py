@@ -59,6 +59,13 @@ def _present(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c in cols if c in df.columns]
 
 
+def parse_date(c: str | Column, strict: bool = False) -> Column:
+    """C-4: text to date. Coerced (default, listings): anything unparseable becomes null. Strict (calendar,
+    reviews): ``to_date``, which fails on malformed text under ANSI mode, as a strict parse does."""
+    x = col_of(c).cast("string")
+    return F.to_date(x) if strict else F.to_date(F.try_to_timestamp(x))
+
+
 def median_impute(df: DataFrame, columns: Sequence[str], **qkw) -> DataFrame:
     """C-3: fill nulls of each column with that column's exact median. One quantile job for all columns (on the
     unpivoted long form); its one-row result is broadcast back."""
@@ -107,7 +114,7 @@ def clean_listings(df: DataFrame, compat: bool = False, drop_threshold: float |
         out = out.withColumn("has_reviews", nan_to_null(F.col(rating)).isNotNull())
     out = median_impute(out, IMPUTE_MEDIAN_COLUMNS, **qkw)
     for c in _present(out, LISTING_DATE_COLUMNS):
-        out = out.withColumn(c, F.to_date(F.try_to_timestamp(F.col(c).cast("string"))))
+        out = out.withColumn(c, parse_date(c))
     if rating in out.columns:
         if compat:
             out = out.withColumn("has_reviews", F.col(rating).isNotNull())

@@ -245,3 +245,34 @@ FROM calendar_long
 def f9_calendar_parts(spark, d):
     return FE.calendar_parts(roles.calendar_long(spark, d)).select(
         "listing_id", "date", "year", "month", "day", "day_of_week", "quarter", "is_weekend", "season")
+
+
+# --- C-4 .. C-6 on their own (also part of c10) ----------------------------------------------------------------
+
+@register("c4_parse_dates", roles=L, sql="""
+SELECT id, CAST(host_since AS DATE) AS host_since FROM listings
+""")
+def c4_parse_dates(spark, d):
+    li = roles.listings(spark, d).select("id", F.col("host_since").cast("string").alias("host_since"))
+    return li.select("id", C.parse_date("host_since").alias("host_since"))
+
+
+@register("c5_has_reviews", roles=L, sql="""
+SELECT id, review_scores_rating IS NOT NULL AS has_reviews FROM listings
+""")
+def c5_has_reviews(spark, d):
+    return C.clean_listings(roles.listings(spark, d), drop_threshold=None).select("id", "has_reviews")
+
+
+@register("c6_rating_category", roles=L, sql="""
+SELECT id, round(review_scores_rating, 4) AS review_scores_rating,
+       CASE WHEN review_scores_rating > 0 AND review_scores_rating <= 80 THEN 'Poor'
+            WHEN review_scores_rating > 80 AND review_scores_rating <= 90 THEN 'Good'
+            WHEN review_scores_rating > 90 AND review_scores_rating <= 95 THEN 'Great'
+            WHEN review_scores_rating > 95 AND review_scores_rating <= 100 THEN 'Excellent' END AS rating_category
+FROM listings
+""")
+def c6_rating_category(spark, d):
+    li = roles.listings(spark, d)
+    return li.select("id", r4("review_scores_rating").alias("review_scores_rating"),
+                     C.cut("review_scores_rating", C.RATING_EDGES, C.RATING_LABELS).alias("rating_category"))

@@ -123,3 +123,14 @@ GROUP BY lang
 def r8_language_accuracy(spark, d):
     t = R.tag_languages(roles.reviews(spark, d))
     return R.language_accuracy(t).select("lang", F.col("n").cast("long"), F.col("correct").cast("long"))
+
+
+@register("r3_sentiment_bands_compat", roles=("reviews",), sql=f"""
+WITH {_SCORED_SQL.strip()}
+SELECT id, CASE WHEN sentiment > -1.0 AND sentiment <= -0.1 THEN 'Negative'
+                WHEN sentiment > -0.1 AND sentiment <= 0.1 THEN 'Neutral'
+                WHEN sentiment > 0.1 AND sentiment <= 1.0 THEN 'Positive' END AS sentiment_label FROM scored
+""")
+def r3_sentiment_bands_compat(spark, d):
+    """R-3 with the reference's open lower edge (a polarity of exactly -1.0 gets no label)."""
+    return R.score_reviews(roles.reviews(spark, d), compat=True).select("id", "sentiment_label")
