@@ -200,7 +200,14 @@ def _bracket_quantiles(base: DataFrame, kcols: list[str], probs, names, accuracy
         F.count("_v").alias("_n"),
         F.percentile_approx("_v", F.array(*[F.lit(float(p)) for p in lo_p + hi_p]), accuracy).alias("_sk"),
     )
-    joined = base.join(stats, kcols)
+    if kcols == ["_g"]:
+        # A global quantile: the statistics frame is exactly one row, so it is broadcast and every row is folded
+        # into its bracket or gap marker map-side, before any shuffle.
+        joined = base.join(F.broadcast(stats), kcols)
+    else:
+        # Keyed: one statistics row per group, a number not known in advance, so no broadcast is forced. The join
+        # shuffles (key, value) pairs; AQE splits a hot key's partition (skew join) or broadcasts at run time.
+        joined = base.join(stats, kcols)
     v = F.col("_v")
     large = F.col("_n") >= F.lit(accuracy)
     los = [F.col("_sk")[i] for i in range(k)]
