@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import byte_bpe, language_id, packing, quality_rules, simhash
+from staylens.llm import byte_bpe, language_id, packing, pii, quality_rules, simhash
 from staylens.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -34,8 +34,12 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pattern_packing, op3_ppm_language, op6_simhash, op7_byte_bpe, op9_rule_ledger)
+    f.__name__: f for f in (op2_pattern_packing, op3_ppm_language, op6_simhash, op7_byte_bpe, op9_rule_ledger, op10_candidate_boosting)
 }
 
 SQL: dict[str, str] = {}
