@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import byte_bpe, language_id, packing, pii, quality_rules, simhash
+from staylens.llm import byte_bpe, language_id, packing, pii, quality_rules, secret_scan, simhash
 from staylens.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pattern_packing, op3_ppm_language, op6_simhash, op7_byte_bpe, op9_rule_ledger, op10_candidate_boosting)
+    f.__name__: f for f in (op2_pattern_packing, op3_ppm_language, op5_secret_ownership, op6_simhash, op7_byte_bpe, op9_rule_ledger, op10_candidate_boosting)
 }
 
 SQL: dict[str, str] = {}
