@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import byte_bpe, language_id, packing, pii, quality_rules, secret_scan, simhash
+from staylens.llm import byte_bpe, html_extract, language_id, packing, pii, quality_rules, secret_scan, simhash
 from staylens.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op8_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
@@ -43,7 +47,7 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pattern_packing, op3_ppm_language, op5_secret_ownership, op6_simhash, op7_byte_bpe, op9_rule_ledger, op10_candidate_boosting)
+    f.__name__: f for f in (op2_pattern_packing, op3_ppm_language, op5_secret_ownership, op6_simhash, op7_byte_bpe, op8_dom_model, op9_rule_ledger, op10_candidate_boosting)
 }
 
 SQL: dict[str, str] = {}
