@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import byte_bpe, html_extract, language_id, packing, pii, quality_rules, secret_scan, simhash
+from staylens.llm import ann, byte_bpe, chat_format, html_extract, language_id, packing, pii, quality_rules, secret_scan, simhash
 from staylens.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -22,6 +26,10 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pattern_packing, op3_ppm_language, op5_secret_ownership, op6_simhash, op7_byte_bpe, op8_dom_model, op9_rule_ledger, op10_candidate_boosting)
+    f.__name__: f for f in (
+        op1_role_repair, op2_pattern_packing, op3_ppm_language, op4_nn_descent, op5_secret_ownership, op6_simhash,
+        op7_byte_bpe, op8_dom_model, op9_rule_ledger, op10_candidate_boosting)
 }
 
 SQL: dict[str, str] = {}
