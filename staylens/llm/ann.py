@@ -324,6 +324,8 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, expand: int =
             look, "query long, ids array<long>, sims array<float>")
         both = state.mapInArrow(closed, STATE).unionByName(seen, allowMissingColumns=True)
         state = materialised(both.repartition("query").sortWithinPartitions("query").mapInArrow(merge, STATE))
+        if state.filter(F.exists("open", lambda x: x)).isEmpty():
+            break  # every beam has expanded all that it holds
     graph.unpersist()
     return state.select("query", "ids", "sims")
 
