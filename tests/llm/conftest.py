@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -7,8 +9,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, "
 
 
 def plain(n, seed=0):
-    """A text of n words by rule."""
-    return " ".join(WORDS[(i * i + seed * 7 + i // 5) % len(WORDS)] for i in range(n))
+    """A text of n words, the same for the same seed."""
+    return " ".join(random.Random(seed).choices(WORDS, k=n))
 
 
 def rows(texts, langs=("en",), sources=("s",)):

@@ -69,9 +69,11 @@ def test_plans_hold_every_piece_once_and_are_tight(histogram):
         for x in pattern:
             used[x] += n
     assert used == Counter(histogram)
-    bins = sum(n for _, n in plan)
-    bound = max(-(-sum(x * n for x, n in histogram.items()) // 100), sum(n for x, n in histogram.items() if x > 50))
-    assert bins <= 11 * bound / 9 + 1
+    free = []  # first fit in order of falling length, piece by piece
+    for x in sorted(Counter(histogram).elements(), reverse=True):
+        at = next((k for k, room in enumerate(free) if room >= x), len(free))
+        free[at:at + 1] = [(free[at] if at < len(free) else 100) - x]
+    assert sum(n for _, n in plan) <= 1.05 * len(free) + 2
 
 
 def test_patterns_carry_most_of_a_large_table():
