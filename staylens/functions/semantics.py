@@ -13,6 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from staylens.session import ensure_checkpoint_dir
+
+# Groups whose sketches (a few dozen numbers each) are broadcast, and the salts that spread rows of more groups.
+MAX_BROADCAST_GROUPS = 20_000
+SALTS = 32
+
 # Relative rank error of the sketch used to bracket exact quantiles (see ``quantiles``).
 DEFAULT_ACCURACY = 10000
 
@@ -111,10 +117,24 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` only if it is proven to hold at most ``max_rows`` rows; else leave the choice to AQE."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the session names (``spark.checkpoint.dir``)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``stats`` (one row per group) by equal keys, never shuffling a hot group whole.
+
+    The statistics are computed once and counted: up to ``MAX_BROADCAST_GROUPS`` rows are broadcast, so the rows stay
+    where they are. More groups hold few rows each on average, but any may be hot, so rows are spread over salts."""
+    keys = list(keys)
+    stats = checkpointed(stats)
+    if stats.count() <= MAX_BROADCAST_GROUPS:
+        return rows.join(F.broadcast(stats), keys, how)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    each = stats.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("_salt", salt).join(each, [*keys, "_salt"], how).drop("_salt")
 
 
 def hash_order(id_col: str | Column, seed: int) -> Column:
@@ -200,14 +220,8 @@ def _bracket_quantiles(base: DataFrame, kcols: list[str], probs, names, accuracy
         F.count("_v").alias("_n"),
         F.percentile_approx("_v", F.array(*[F.lit(float(p)) for p in lo_p + hi_p]), accuracy).alias("_sk"),
     )
-    if kcols == ["_g"]:
-        # A global quantile: the statistics frame is exactly one row, so it is broadcast and every row is folded
-        # into its bracket or gap marker map-side, before any shuffle.
-        joined = base.join(F.broadcast(stats), kcols)
-    else:
-        # Keyed: one statistics row per group, a number not known in advance, so no broadcast is forced. The join
-        # shuffles (key, value) pairs; AQE splits a hot key's partition (skew join) or broadcasts at run time.
-        joined = base.join(stats, kcols)
+    # Rows fold into their brackets before any shuffle wherever the sketches can be broadcast.
+    joined = base.join(F.broadcast(stats), kcols) if kcols == ["_g"] else join_group_stats(base, stats, kcols)
     v = F.col("_v")
     large = F.col("_n") >= F.lit(accuracy)
     los = [F.col("_sk")[i] for i in range(k)]
@@ -236,7 +250,8 @@ def _bracket_quantiles(base: DataFrame, kcols: list[str], probs, names, accuracy
         pos = F.lit(float(p)) * (F.col("_n") - 1)
         frac = pos - F.floor(pos)
         a, b = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        outs.append((a + (b - a) * frac).alias(nm))
+        missed = F.raise_error(F.lit(f"quantile {p} fell outside its bracket; use method='direct'"))
+        outs.append(F.when(a.isNull() | b.isNull(), missed.cast("double")).otherwise(a + (b - a) * frac).alias(nm))
     return picked.select(*kcols, *outs)
 
 

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.functions.semantics import cut, nan_to_null, parse_number, quantiles, with_scalars
+from staylens.functions.semantics import cut, join_group_stats, nan_to_null, parse_number, quantiles, with_scalars
 
 # Fixed values of the feature rules.
 RESPONSE_EDGES = [0, 50, 80, 90, 100]
@@ -106,13 +106,12 @@ def price_category(df: DataFrame, price="price", **qkw) -> DataFrame:
 def district_counts(df: DataFrame, district="neighbourhood_cleansed", id_col="id") -> DataFrame:
     """F-8: listings per district on every row (null for a null district; 0 when there is no district column).
 
-    Counted with a partial aggregate and joined back, so a hot district is combined map-side instead of being
-    sorted in one window task; the count table has one row per district."""
+    Counted with a partial aggregate and joined back without moving the listings of a hot district to one task."""
     if district not in df.columns:
         return df.withColumn("neighborhood_count", F.lit(0).cast("long"))
     counts = (df.where(F.col(district).isNotNull()).groupBy(district)
               .agg(F.count(id_col).alias("neighborhood_count")))
-    return df.join(counts, district, "left")
+    return join_group_stats(df, counts, [district], "left")
 
 
 def engineer_listings(df: DataFrame, as_of: dt.date | str, **qkw) -> DataFrame:
