@@ -7,16 +7,16 @@ output schema depends on the data, so one aggregate of null counts runs first an
 
 from __future__ import annotations
 
-import html
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from staylens.functions.semantics import (
-    UNICODE_SPACE, col_of, cut, hash_sample, nan_to_null, parse_number, quantiles, unicode_strip, with_scalars,
+    UNICODE_SPACE, checkpointed, col_of, cut, hash_sample, nan_to_null, parse_number, quantiles, unicode_strip,
+    with_scalars,
 )
 
 # Fixed values of the cleaning rules.
@@ -76,7 +76,8 @@ def median_impute(df: DataFrame, columns: Sequence[str], **qkw) -> DataFrame:
     long = casted.unpivot([], cols, "_col", "_val")
     meds = quantiles(long, "_val", [0.5], ["_col"], ["_med"], **qkw)
     one = meds.groupBy().agg(*[F.max(F.when(F.col("_col") == c, F.col("_med"))).alias(f"_med_{c}") for c in cols])
-    out = with_scalars(df, one)
+    # One row, cut from its lineage: whatever reads the result (the sparse-column check too) reuses the medians.
+    out = with_scalars(df, checkpointed(one))
     for c in cols:
         out = out.withColumn(c, F.coalesce(nan_to_null(F.col(c).cast("double")), F.col(f"_med_{c}")))
     return out.drop(*[f"_med_{c}" for c in cols])
@@ -182,18 +183,56 @@ def decode_common_entities(c: str | Column) -> Column:
     return x
 
 
-@F.pandas_udf(T.StringType())
-def decode_all_entities(s: pd.Series) -> pd.Series:
-    """Full HTML entity decoding (every named and numeric entity), Arrow-batched."""
-    return s.map(lambda t: None if t is None else html.unescape(t))
+# Every named entity, from the HTML standard's table in the standard library; some may end without a semicolon.
+_NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+_BARE = {name: text for name, text in html5.items() if not name.endswith(";")}
 
 
-def clean_review_text(c: str | Column, entities: str = "common") -> Column:
+def _number_text(code: Column) -> Column:
+    """The text of a numeric reference: zero, surrogates and what lies beyond Unicode become U+FFFD, and 128 to 159 are
+    read as Windows-1252, as browsers do."""
+    windows = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)}
+    remapped = F.from_json(F.lit(json.dumps(windows)), "map<string,string>")
+    bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF) | code.isNull()
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(bad, F.lit("\ufffd")).when(
+        code.between(128, 159), F.try_element_at(remapped, code.cast("string"))).otherwise(char)
+
+
+def decode_entities(c: str | Column) -> Column:
+    """Decode every HTML entity in one pass, natively: named (with or without semicolon) and numeric ones.
+
+    The text is split at its ampersands; each part begins with a reference or gets its ampersand back."""
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    bare = F.from_json(F.lit(json.dumps(_BARE)), "map<string,string>")
+    bare_pattern = "^(" + "|".join(sorted(_BARE, key=len, reverse=True)) + ")"
+
+    def decoded(part: Column) -> Column:
+        def after(n: Column) -> Column:
+            return F.substring(part, n + 1, F.length(part))
+
+        whole = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]{0,31});", 1)
+        short = F.regexp_extract(part, bare_pattern, 1)
+        number = F.regexp_extract(part, "^#([0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        digits = F.regexp_extract(part, "^#([0-9]+|[xX][0-9a-fA-F]+)", 1)
+        is_hex = digits.rlike("^[xX]")
+        code = F.when(is_hex, F.conv(F.substring(digits, 2, 16), 16, 10)).otherwise(digits).try_cast("bigint")
+        known = F.when(whole != "", F.try_element_at(named, whole))
+        return (F.when(known.isNotNull(), F.concat(known, after(F.length(whole) + 1)))
+                .when(number != "", F.concat(_number_text(code), after(F.length(number))))
+                .when(short != "", F.concat(F.try_element_at(bare, short), after(F.length(short))))
+                .otherwise(F.concat(F.lit("&"), part)))
+
+    parts = F.split(col_of(c), "&", -1)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+
+
+def clean_review_text(c: str | Column, entities: str = "all") -> Column:
     """C-11: decode entities, replace tags by a space, collapse whitespace, strip.
 
-    ``entities="common"`` stays in native expressions; ``"full"`` decodes every entity with a vectorised UDF."""
+    ``entities="common"`` decodes only the few entities that escape markup. Both are native expressions."""
     x = col_of(c).cast("string")
-    x = decode_all_entities(x) if entities == "full" else decode_common_entities(x)
+    x = decode_common_entities(x) if entities == "common" else decode_entities(x)
     x = F.regexp_replace(x, "<[^>]+>", " ")
     x = F.regexp_replace(x, f"{WHITESPACE_CLASS}+", " ")
     return F.regexp_replace(x, f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$", "")
@@ -201,6 +240,6 @@ def clean_review_text(c: str | Column, entities: str = "common") -> Column:
 
 __all__ = [
     "clean_price", "parse_flag", "median_impute", "null_heavy_columns", "drop_null_heavy", "clean_listings",
-    "clean_calendar", "clean_reviews", "clean_all", "clean_review_text", "decode_common_entities",
+    "clean_calendar", "clean_reviews", "clean_all", "clean_review_text", "decode_common_entities", "decode_entities",
     "unicode_strip", "UNICODE_SPACE",
 ]

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.semantics import (
-    drop_null_keys, hash_order, nan_to_null, quantiles, round_half_up, sample_skew, with_scalars,
+    drop_null_keys, hash_order, join_group_stats, nan_to_null, quantiles, round_half_up, sample_skew,
+    with_scalars,
 )
 
 # Columns the reference's correlation heat map considers (fixed list; only present ones are used).
@@ -50,7 +51,8 @@ def _long(df: DataFrame, columns: Sequence[str], name="column", value="value") -
 
 def summary_report(listings: DataFrame, price="price", rating="review_scores_rating",
                    district="neighbourhood_cleansed", room_type="room_type", top=5, **qkw) -> DataFrame:
-    """A-1: the summary report in long form (section, key, value)."""
+    """A-1: the summary report in long form (section, key, value), with grouped means as whole numbers too
+    (``value_rounded``, half-even; null in other sections). Section and key names are fixed values."""
     p = nan_to_null(F.col(price))
     scal = listings.agg(
         F.count(F.lit(1)).cast("double").alias("total_listings"),
@@ -75,7 +77,9 @@ def summary_report(listings: DataFrame, price="price", rating="review_scores_rat
         F.lit("top_expensive").alias("section"), F.col(district).alias("key"), F.col("m").alias("value"))
     cheap = nb.orderBy(F.col("m").asc(), F.col(district)).limit(top).select(
         F.lit("top_cheapest").alias("section"), F.col(district).alias("key"), F.col("m").alias("value"))
-    return summary.unionByName(rt_counts).unionByName(rt_price).unionByName(dear).unionByName(cheap)
+    out = summary.unionByName(rt_counts).unionByName(rt_price).unionByName(dear).unionByName(cheap)
+    grouped = F.col("section").isin("room_type_avg_price", "top_expensive", "top_cheapest")
+    return out.withColumn("value_rounded", F.when(grouped, F.bround("value", 0)))
 
 
 # --- A-2 KPI panel ---------------------------------------------------------------------------------------------
@@ -111,7 +115,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50, keys: Sequence[str] =
     lo = F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn"))
     hi = F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))
     rng = rng.select(*kcols, lo.alias("_lo"), ((hi - lo) / bins).alias("_w"))
-    binned = base.join(rng, kcols).select(
+    joined = join_group_stats(base, rng, kcols) if keys else base.join(F.broadcast(rng), kcols)
+    binned = joined.select(
         *kcols, F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = binned.groupBy(*kcols, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(*kcols, "_lo", "_w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -122,6 +127,12 @@ def histogram(df: DataFrame, column: str, bins: int = 50, keys: Sequence[str] =
     return out
 
 
+def histogram_lines(df: DataFrame, column: str, **qkw) -> DataFrame:
+    """A-3: the two reference lines of a histogram: mean and median of the column, in one row."""
+    x = nan_to_null(F.col(column).cast("double"))
+    return df.agg(F.avg(x).alias("mean")).crossJoin(quantiles(df, column, [0.5], names=["median"], **qkw))
+
+
 # --- A-4 / A-7 / A-9 / A-19 grouped means and counts ----------------------------------------------------------------
 
 def mean_by(df: DataFrame, key: str, value="price", name="avg_price") -> DataFrame:
@@ -171,7 +182,7 @@ def box_stats(df: DataFrame, key: str, value="price", whisker: float | None = 1.
                       (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lf"),
                       (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hf"))
     inside = (F.col(value) >= F.col("_lf")) & (F.col(value) <= F.col("_hf"))
-    j = base.join(fences, key)
+    j = join_group_stats(base, fences, [key])
     agg = j.groupBy(key).agg(
         F.count(value).alias("n"),
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -292,7 +303,7 @@ def district_comparison(df: DataFrame, districts: Sequence[str] | None = None, m
                         price="price", rating="review_scores_rating", availability="availability_365",
                         district="neighbourhood_cleansed", id_col="id", **qkw) -> DataFrame:
     """A-14: for districts with at least ``min_listings`` rows (optionally only the chosen ones): listings, mean,
-    median, min, max price, mean rating and mean availability."""
+    median, min, max price, mean rating and mean availability; ``*_1`` are the same to one place (half-even)."""
     base = drop_null_keys(df, [district])
     if districts:
         base = base.where(F.col(district).isin(list(districts)))
@@ -304,20 +315,23 @@ def district_comparison(df: DataFrame, districts: Sequence[str] | None = None, m
         F.avg(nan_to_null(F.col(availability))).alias("avg_availability")).where(F.col("_rows") >= min_listings)
     med = quantiles(base.join(g.select(district), district, "left_semi"), price, [0.5], [district],
                     ["median_price"], **qkw)
-    return g.join(med, district, "left").select(district, "listings", "avg_price", "median_price", "min_price",
-                                                "max_price", "avg_rating", "avg_availability")
+    names = ["avg_price", "median_price", "min_price", "max_price", "avg_rating", "avg_availability"]
+    return g.join(med, district, "left").select(
+        district, "listings", *names, *[F.bround(c, 1).alias(f"{c}_1") for c in names])
 
 
 # --- A-15 / A-16 review scores --------------------------------------------------------------------------------------------
 
 def review_score_stats(df: DataFrame, columns: Sequence[str] = SCORE_COLUMNS, **qkw) -> DataFrame:
-    """A-15: mean, median and count of each present score column (nulls skipped per column)."""
+    """A-15: mean, median and count of each present score column (nulls skipped per column), and mean and median to
+    two places (half-even)."""
     cols = [c for c in columns if c in df.columns]
     long = _long(df, cols, "score", "value").where(F.col("value").isNotNull())
     stats = long.groupBy("score").agg(F.avg("value").alias("mean"), F.count("value").alias("count"))
     med = quantiles(long, "value", [0.5], ["score"], ["median"], **qkw)
     label = F.regexp_replace("score", "^review_scores_", "")
-    return stats.join(med, "score").select(label.alias("score"), "mean", "median", "count")
+    return stats.join(med, "score").select(label.alias("score"), "mean", "median", "count",
+                                           F.bround("mean", 2).alias("mean_2"), F.bround("median", 2).alias("median_2"))
 
 
 def rating_bands(df: DataFrame, rating="review_scores_rating", edges: tuple[float, float, float] = RATING_BANDS_5):

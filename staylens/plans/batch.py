@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from staylens.operators.cleaning import clean_all
 from staylens.operators.features import engineer_all
-from staylens.sources.files import load_all, write_processed
+from staylens.sources.files import SAMPLE_ROWS, load_all, write_processed
 
 
 def process_raw(spark: SparkSession, raw_dir: str, out_dir: str, as_of: dt.date | str,
@@ -27,18 +26,18 @@ def process_raw(spark: SparkSession, raw_dir: str, out_dir: str, as_of: dt.date
 
 
 def processed_exists(spark: SparkSession, out_dir: str, tables=("listings", "calendar", "reviews")) -> bool:
-    """True when every processed table can be opened (works on any file system Spark reads)."""
-    for t in tables:
-        try:
-            spark.read.parquet(f"{out_dir}/{t}_processed.parquet").schema  # noqa: B018
-        except AnalysisException:
-            return False
-    return True
+    """True when every processed table and the listings sample were written to the end: their ``_SUCCESS`` marks are
+    there. Works on any file system Spark reads."""
+    paths = [f"{out_dir}/{t}_processed.parquet" for t in tables] + [f"{out_dir}/listings_sample_{SAMPLE_ROWS}.parquet"]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    marks = [hadoop.Path(f"{path}/_SUCCESS") for path in paths]
+    return all(mark.getFileSystem(conf).exists(mark) for mark in marks)
 
 
 def ensure_processed(spark: SparkSession, raw_dir: str, out_dir: str, as_of: dt.date | str, **kw) -> bool:
     """S-15: run ``process_raw`` only when the processed tables are missing; returns True when it ran.
-    Idempotent: a re-run after a failure overwrites whatever partial output exists."""
+    A run that failed midway leaves a table without its mark, so the next call writes all tables anew."""
     if processed_exists(spark, out_dir):
         return False
     process_raw(spark, raw_dir, out_dir, as_of, **kw)

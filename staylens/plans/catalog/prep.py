@@ -51,11 +51,11 @@ def s9_hash_sample(spark, d):
 
 @register("s10_systematic_sample", roles=("calendar_long",), sql="""
 SELECT listing_id, date FROM (
-  SELECT listing_id, date, row_number() OVER (ORDER BY listing_id) AS rn FROM calendar_long)
+  SELECT listing_id, date, row_number() OVER (ORDER BY listing_id, date) AS rn FROM calendar_long)
 WHERE (rn - 1) % 50 = 0
 """)
 def s10_systematic_sample(spark, d):
-    return S.systematic_sample(roles.calendar_long(spark, d), 50, "listing_id").select("listing_id", "date")
+    return S.systematic_sample(roles.calendar_long(spark, d), 50, "listing_id", "date").select("listing_id", "date")
 
 
 @register("s12_parquet_projection", sql="""
@@ -85,6 +85,43 @@ def c1_clean_price(spark, d):
                     r4(C.clean_price("raw", compat=True)).alias("price_compat"))
 
 
+_PRICES = {c: k + 2 for k, c in enumerate(c for c in C.PRICE_COLUMNS if c != "price")}
+
+
+@register("c2_price_columns", roles=L, sql="SELECT id, " + ", ".join(
+    f"CASE WHEN id % {k} <> 1 THEN round(CAST(accommodates * {k} + id % 100 AS DOUBLE) + 0.5, 4) END AS {c}"
+    for c, k in _PRICES.items()) + " FROM listings")
+def c2_price_columns(spark, d):
+    """C-2: every other price column as text ('$1,234.50', or 'n/a' for some ids), cleaned."""
+    raw = {c: F.when(F.col("id") % k != 1, F.concat(F.lit("$"), F.format_number(
+        F.col("accommodates") * k + F.col("id") % 100 + 0.5, 2))).otherwise(F.lit("n/a")) for c, k in _PRICES.items()}
+    t = roles.listings(spark, d).withColumns(raw)
+    return C.clean_listings(t, drop_threshold=None).select("id", *[r4(c).alias(c) for c in _PRICES])
+
+
+@register("f5_response_rate", roles=L, sql="""
+WITH t AS (SELECT id, CASE WHEN id % 13 <> 0 THEN id % 101 END::DOUBLE AS r FROM listings)
+SELECT id, r AS response_rate_numeric, CASE WHEN r > 0 AND r <= 50 THEN 'Low' WHEN r > 50 AND r <= 80 THEN 'Medium'
+       WHEN r > 80 AND r <= 90 THEN 'High' WHEN r > 90 AND r <= 100 THEN 'Excellent' END AS response_category FROM t
+""")
+def f5_response_rate(spark, d):
+    """F-5 over rates written as text by id, some of them not numbers."""
+    rate = F.when(F.col("id") % 13 != 0, F.concat((F.col("id") % 101).cast("string"), F.lit("%"))).otherwise(F.lit("N/A"))
+    t = FE.response_features(roles.listings(spark, d).withColumn("host_response_rate", rate))
+    return t.select("id", "response_rate_numeric", "response_category")
+
+
+@register("f6_flags", roles=L, sql="""
+SELECT id, CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS instant_book, CASE id % 5 WHEN 0 THEN 1 WHEN 2 THEN 0 END AS is_superhost
+FROM listings
+""")
+def f6_flags(spark, d):
+    """F-6 with true, false, other and missing flags by id."""
+    flag = {"instant_bookable": F.when(F.col("id") % 4 == 0, "t").when(F.col("id") % 4 == 1, "f").when(F.col("id") % 4 == 2, "x"),
+            "host_is_superhost": F.when(F.col("id") % 5 == 0, "t").when(F.col("id") % 5 == 2, "f").when(F.col("id") % 5 == 3, "T")}
+    return FE.flag_features(roles.listings(spark, d).withColumns(flag)).select("id", "instant_book", "is_superhost")
+
+
 _CLEAN_LISTINGS_SQL = """
 WITH m AS (SELECT median(bedrooms) AS mb, median(review_scores_rating) AS ms, median(reviews_per_month) AS mr
            FROM listings),
@@ -162,7 +199,8 @@ def _ws():
 
 @register("c11_clean_page_text", sql=f"""
 WITH e AS (
-  SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'),
+  SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html,
+         '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'),
          '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t
   FROM pages),
 s AS (SELECT page_id, regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '{_ws()}+', ' ', 'g') AS t FROM e)

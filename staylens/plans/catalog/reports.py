@@ -31,14 +31,15 @@ WITH s AS (
          avg(review_scores_rating) AS avg_review_score,
          count(DISTINCT neighbourhood_cleansed)::DOUBLE AS total_neighborhoods FROM listings),
 u AS (UNPIVOT s ON COLUMNS(*) INTO NAME key VALUE value),
+rt AS (SELECT room_type AS k, avg(price) AS m FROM listings WHERE room_type IS NOT NULL GROUP BY 1),
 nb AS (SELECT neighbourhood_cleansed AS k, avg(price) AS m FROM listings
        WHERE neighbourhood_cleansed IS NOT NULL GROUP BY 1 HAVING avg(price) IS NOT NULL)
-SELECT 'summary' AS section, key, round(value, 4) AS value FROM u
-UNION ALL SELECT 'room_type_counts', room_type, count(*)::DOUBLE FROM listings WHERE room_type IS NOT NULL GROUP BY 2
-UNION ALL SELECT 'room_type_avg_price', room_type, round(avg(price), 4) FROM listings
+SELECT 'summary' AS section, key, round(value, 4) AS value, NULL::DOUBLE AS value_rounded FROM u
+UNION ALL SELECT 'room_type_counts', room_type, count(*)::DOUBLE, NULL FROM listings
           WHERE room_type IS NOT NULL GROUP BY 2
-UNION ALL (SELECT 'top_expensive', k, round(m, 4) FROM nb ORDER BY m DESC, k LIMIT 5)
-UNION ALL (SELECT 'top_cheapest', k, round(m, 4) FROM nb ORDER BY m ASC, k LIMIT 5)
+UNION ALL SELECT 'room_type_avg_price', k, round(m, 4), round_even(m, 0) FROM rt
+UNION ALL (SELECT 'top_expensive', k, round(m, 4), round_even(m, 0) FROM nb ORDER BY m DESC, k LIMIT 5)
+UNION ALL (SELECT 'top_cheapest', k, round(m, 4), round_even(m, 0) FROM nb ORDER BY m ASC, k LIMIT 5)
 """)
 def a1_summary_report(spark, d):
     return _r4all(A.summary_report(roles.listings(spark, d)))
@@ -86,6 +87,16 @@ def a3_price_histogram(spark, d):
     return _r4all(A.histogram(roles.listings(spark, d), "price", 50))
 
 
+@register("a3_price_histogram_60", roles=L, sql=_hist_sql("listings", "price", 60))
+def a3_price_histogram_60(spark, d):
+    return _r4all(A.histogram(roles.listings(spark, d), "price", 60))
+
+
+@register("a3_histogram_lines", roles=L, sql="SELECT round(avg(price), 4) AS mean, round(median(price), 4) AS median FROM listings")
+def a3_histogram_lines(spark, d):
+    return _r4all(A.histogram_lines(roles.listings(spark, d), "price"))
+
+
 @register("p3_typical_price_histogram", roles=L,
           sql=_hist_sql("(SELECT * FROM listings WHERE price < 100000)", "price", 50))
 def p3_typical_price_histogram(spark, d):
@@ -204,6 +215,23 @@ def a11_price_estimate(spark, d):
     return A.price_estimate(roles.listings(spark, d)).select("id", "estimated_price")
 
 
+_ROOMS = [*A.ROOM_MULTIPLIERS, "Other"]
+_ROOM_SQL = "list_extract([" + ", ".join(f"'{r}'" for r in _ROOMS) + f"], CAST(id % {len(_ROOMS)} AS INTEGER) + 1)"
+
+
+@register("a11_price_estimate_by_room_type", roles=L, sql=f"""
+WITH l AS (SELECT id, accommodates, availability_365, {_ROOM_SQL} AS rt FROM listings)
+SELECT id, rt AS room_type, CAST(trunc((15000.0::DOUBLE + (accommodates - 2) * 3000.0::DOUBLE + (1.0::DOUBLE - 1) * 5000.0::DOUBLE
+       + 1.0::DOUBLE * 8000.0::DOUBLE + 2.0::DOUBLE * 2000.0::DOUBLE + (365 - availability_365) * 20.0::DOUBLE)
+       * CASE rt WHEN 'Entire home/apt' THEN 1.0 WHEN 'Private room' THEN 0.6 WHEN 'Shared room' THEN 0.3
+                 WHEN 'Hotel room' THEN 0.8 ELSE 1.0 END::DOUBLE) AS BIGINT) AS estimated_price FROM l
+""")
+def a11_price_estimate_by_room_type(spark, d):
+    """A-11 with every multiplier: the room types are dealt out by id, as the listings role has none of them."""
+    room = F.element_at(F.array(*[F.lit(r) for r in _ROOMS]), (F.col("id") % len(_ROOMS)).cast("int") + 1)
+    return A.price_estimate(roles.listings(spark, d).withColumn("room_type", room)).select("id", "room_type", "estimated_price")
+
+
 def _dist_sql(cols, source="listings"):
     parts = []
     for c in cols:
@@ -257,19 +285,35 @@ def a13_missing_report(spark, d):
 @register("a14_district_comparison", roles=L, sql="""
 SELECT neighbourhood_cleansed, count(id)::BIGINT AS listings, round(avg(price), 4) AS avg_price,
        round(median(price), 4) AS median_price, round(min(price), 4) AS min_price, round(max(price), 4) AS max_price,
-       round(avg(review_scores_rating), 4) AS avg_rating, round(avg(availability_365), 4) AS avg_availability
+       round(avg(review_scores_rating), 4) AS avg_rating, round(avg(availability_365), 4) AS avg_availability,
+       round_even(avg(price), 1) AS avg_price_1, round_even(median(price), 1) AS median_price_1,
+       round_even(min(price), 1) AS min_price_1, round_even(max(price), 1) AS max_price_1,
+       round_even(avg(review_scores_rating), 1) AS avg_rating_1, round_even(avg(availability_365), 1) AS avg_availability_1
 FROM listings WHERE neighbourhood_cleansed IS NOT NULL GROUP BY 1 HAVING count(*) >= 10
 """)
 def a14_district_comparison(spark, d):
     return _r4all(A.district_comparison(roles.listings(spark, d)))
 
 
-@register("a15_review_score_stats", roles=L, sql="""
-SELECT 'rating' AS score, round(avg(review_scores_rating), 4) AS mean, round(median(review_scores_rating), 4) AS median,
-       count(review_scores_rating)::BIGINT AS count FROM listings
-""")
+# The listings role has one score; the six others are made from it: a score less (id mod k), null where id mod 11 is 0.
+_SCORES = {c: k for k, c in enumerate(A.SCORE_COLUMNS)}
+
+
+def _score_sql(c: str, k: int) -> str:
+    x = f"(review_scores_rating - id % {k})" if k else "review_scores_rating"
+    x = f"CASE WHEN id % 11 <> 0 THEN {x} END" if k else x
+    return (f"SELECT '{c.removeprefix('review_scores_')}' AS score, round(avg({x}), 4) AS mean, round(median({x}), 4) AS median, "
+            f"count({x})::BIGINT AS count, round_even(avg({x}), 2) AS mean_2, round_even(median({x}), 2) AS median_2 FROM listings")
+
+
+def _scored_listings(spark, d):
+    made = {c: F.when(F.col("id") % 11 != 0, F.col("review_scores_rating") - F.col("id") % k) for c, k in _SCORES.items() if k}
+    return roles.listings(spark, d).withColumns(made)
+
+
+@register("a15_review_score_stats", roles=L, sql="\nUNION ALL ".join(_score_sql(c, k) for c, k in _SCORES.items()))
 def a15_review_score_stats(spark, d):
-    return _r4all(A.review_score_stats(roles.listings(spark, d)))
+    return _r4all(A.review_score_stats(_scored_listings(spark, d)))
 
 
 @register("a16_rating_bands", roles=L, sql="""

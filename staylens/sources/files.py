@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staylens.functions.semantics import hash_sample, parse_number
+from staylens.functions.semantics import checkpointed, hash_sample, parse_number
 
 log = logging.getLogger(__name__)
 
@@ -30,6 +30,8 @@ LISTING_TYPES = {
 CALENDAR_TYPES = {"listing_id": "long", "minimum_nights": "int", "maximum_nights": "int"}
 REVIEW_TYPES = {"listing_id": "long", "id": "long", "reviewer_id": "long"}
 
+SAMPLE_ROWS = 1000
+
 GEOJSON_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("features", T.ArrayType(T.StructType([
@@ -41,15 +43,15 @@ GEOJSON_SCHEMA = T.StructType([
 ])
 
 
-def _csv_reader(spark: SparkSession):
-    # multiLine + escape handle free text with embedded newlines and doubled quotes.
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def _csv_reader(spark: SparkSession, multi_line: bool = False):
+    # Doubled quotes are escapes. Only free text with line breaks needs multiLine, which reads a file in one task.
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
             .option("mode", "PERMISSIVE"))
 
 
-def read_csv_typed(spark: SparkSession, path: str, types: Mapping[str, str]) -> DataFrame:
+def read_csv_typed(spark: SparkSession, path: str, types: Mapping[str, str], multi_line: bool = False) -> DataFrame:
     """Read a CSV with header as text and type the named columns (bad numbers become null, as pandas coerces)."""
-    df = _csv_reader(spark).csv(path)
+    df = _csv_reader(spark, multi_line).csv(path)
     for c, t in types.items():
         if c in df.columns:
             v = parse_number(c)
@@ -59,7 +61,7 @@ def read_csv_typed(spark: SparkSession, path: str, types: Mapping[str, str]) ->
 
 def load_listings(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
     """S-1: listings CSV; optional exact-n seeded sample."""
-    df = read_csv_typed(spark, path, LISTING_TYPES)
+    df = read_csv_typed(spark, path, LISTING_TYPES, multi_line=True)
     return hash_sample(df, sample, "id") if sample else df
 
 
@@ -73,7 +75,7 @@ def load_calendar(spark: SparkSession, path: str, sample: int | None = None) ->
 
 def load_reviews(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
     """S-3: reviews CSV (free text, multi-line)."""
-    df = read_csv_typed(spark, path, REVIEW_TYPES)
+    df = read_csv_typed(spark, path, REVIEW_TYPES, multi_line=True)
     return hash_sample(df, sample, "id") if sample else df
 
 
@@ -127,30 +129,29 @@ def dataset_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def systematic_sample(df: DataFrame, every: int, order_col: str, buckets: int | None = None) -> DataFrame:
-    """S-10: every ``every``-th row in ``order_col`` order (rows 1, 1+every, …); the key must be numeric or a date.
-
-    No global window. Rows go to equal-width key buckets (edges from a deterministic min/max aggregate, so every
-    re-execution and both branches below agree on them); each bucket numbers its own rows, and a small table of
-    per-bucket counts (one row per bucket) turns local numbers into global ranks."""
-    n = buckets or 2 * df.sparkSession.sparkContext.defaultParallelism
-    key = F.col(order_col)
-    k = (F.unix_date(key) if dict(df.dtypes)[order_col] == "date" else key).cast("double")
-    rng = df.agg(F.min(k).alias("_mn"), F.max(k).alias("_mx"))
-    width = (F.col("_mx") - F.col("_mn")) / n
-    bucket = F.when(width > 0, F.least(F.floor((k - F.col("_mn")) / width), F.lit(n - 1))).otherwise(F.lit(0))
-    tagged = df.crossJoin(F.broadcast(rng)).withColumn("_b", bucket.cast("int")).drop("_mn", "_mx")
-    local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(order_col)))
-    sizes = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_sz"))
-    # At most ``n`` rows: a single ordered window over them is bounded.
-    offsets = sizes.withColumn(
-        "_off", F.sum("_sz").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    ).select("_b", F.coalesce("_off", F.lit(0)).alias("_off"))
-    ranked = local.join(F.broadcast(offsets), "_b").withColumn("_rank", F.col("_off") + F.col("_rn"))
-    return ranked.where((F.col("_rank") - 1) % every == 0).drop("_b", "_rn", "_off", "_rank")
-
-
-def write_processed(data: Mapping[str, DataFrame], out_dir: str, sample_rows: int = 1000) -> dict[str, str]:
+def systematic_sample(df: DataFrame, every: int, order_col: str, id_col: str | None = None,
+                      tasks: int | None = None) -> DataFrame:
+    """S-10: every ``every``-th row in the order of ``order_col`` (rows 1, 1+every, …), ties by ``id_col`` if given, then
+    by the other columns, so the sample doesn't depend on how rows are partitioned.
+
+    No global window: rows are dealt out in ranges of that order, which splits a repeated key too, and stored; rows are
+    counted per range, and each row's rank is its place in its range plus the rows of the ranges before."""
+    types = dict(df.dtypes)
+    rest = [c for c in df.columns if c not in (order_col, id_col) and not types[c].startswith("map")]
+    order = [order_col, *([id_col] if id_col else []), *rest]
+    dealt = df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)
+    # A monotonic id counts up within a partition in its stored order; its high bits are the partition.
+    held = checkpointed(dealt.sortWithinPartitions(*order)).withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = held.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range: a single ordered window over them is bounded by the number of tasks.
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = held.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+    return ranked.where((F.col("_off") + place) % every == 0).select(*df.columns)
+
+
+def write_processed(data: Mapping[str, DataFrame], out_dir: str, sample_rows: int = SAMPLE_ROWS) -> dict[str, str]:
     """S-11: Parquet sink of processed tables (calendar partitioned by year/month) plus an n-row listings sample."""
     paths = {}
     for name, df in data.items():
@@ -159,12 +160,15 @@ def write_processed(data: Mapping[str, DataFrame], out_dir: str, sample_rows: in
         path = f"{out_dir}/{name}_processed.parquet"
         w = df.write.mode("overwrite")
         if name == "calendar" and {"year", "month"} <= set(df.columns):
-            w = w.partitionBy("year", "month")
+            # Months are brought together first, or every task would write a file to every month; AQE splits a large one.
+            w = df.hint("rebalance", "year", "month").write.mode("overwrite").partitionBy("year", "month")
         w.parquet(path)
         paths[name] = path
     if "listings" in data:
         path = f"{out_dir}/listings_sample_{sample_rows}.parquet"
-        hash_sample(data["listings"], sample_rows, "id").write.mode("overwrite").parquet(path)
+        # The sample is drawn from the table just written, so the listings plan runs once.
+        written = data["listings"].sparkSession.read.parquet(paths["listings"])
+        hash_sample(written, sample_rows, "id").write.mode("overwrite").parquet(path)
         paths["listings_sample"] = path
     return paths
 
@@ -182,4 +186,4 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 def read_external_csv(spark: SparkSession, path: str) -> DataFrame:
     """S-14: an uploaded CSV with inferred column types (one extra pass over the file)."""
-    return _csv_reader(spark).option("inferSchema", True).csv(path)
+    return _csv_reader(spark, multi_line=True).option("inferSchema", True).csv(path)
