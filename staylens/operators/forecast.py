@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staylens.functions.semantics import quantiles
+from staylens.functions.semantics import checkpointed, quantiles
 
 ALL_SERIES = "all"
 HORIZON = 90
-MIN_DAYS = 14
+MIN_DAYS = 2  # a line needs two days; shorter series than the whole design get fewer terms
+MONEY_SCALE = 10
 Z95 = 1.959963984540054
 CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
@@ -56,13 +57,13 @@ MODEL_SCHEMA = T.StructType([
 # --- T-1 / T-2: series preparation ------------------------------------------------------------------------------
 
 def daily_series(calendar: DataFrame, series: str | F.Column | None = None, date="date", price="price",
-                 cut_q: float | None = 0.95, money_scale: int | None = 2, **qkw) -> DataFrame:
+                 cut_q: float | None = 0.95, money_scale: int | None = MONEY_SCALE, **qkw) -> DataFrame:
     """T-1: mean price per (series, day); days above the series' ``cut_q`` quantile (and days without a mean) are
     dropped. Null days are dropped before grouping (pandas drops null group keys).
 
-    With ``money_scale`` the mean is taken over decimals of that scale: exact, so a day's value does not depend on
-    the order partitions are summed in (re-runs and re-partitioning give identical bits)."""
-    ptype = "double" if money_scale is None else f"decimal(30,{money_scale})"
+    With ``money_scale`` the mean is taken over decimals of that scale (ten places by default, more than prices
+    have), so a day's value does not depend on the order partitions are summed in; None averages doubles."""
+    ptype = "double" if money_scale is None else f"decimal(28,{money_scale})"
     s = F.lit(ALL_SERIES) if series is None else series if isinstance(series, F.Column) else F.col(series)
     daily = (calendar.where(F.col(date).isNotNull()).select(s.alias("series"), F.col(date).alias("ds"),
                                                              F.col(price).cast(ptype).alias("_p"))
@@ -142,9 +143,16 @@ def _fit_one(key, pdf: pd.DataFrame, min_days: int, n_cp: int, cp_range: float,
     pen = np.zeros(X.shape[1])
     pen[2:2 + len(cps)] = ridge
     pen[2 + len(cps):] = 1e-6
-    beta = np.linalg.solve(X.T @ X + np.diag(pen), X.T @ target)
+    # Fewer days than terms: the line alone, and from two weeks on the weekly cycle; other terms are zero.
+    use = np.ones(X.shape[1], dtype=bool)
+    if n < X.shape[1]:
+        weekly = 2 + len(cps) + 2 * SEASONALITIES[0][2]
+        use[2:] = False
+        use[weekly:weekly + 2 * SEASONALITIES[1][2]] = n >= 14
+    beta = np.zeros(X.shape[1])
+    beta[use] = np.linalg.solve(X[:, use].T @ X[:, use] + np.diag(pen[use]), X[:, use].T @ target)
     resid = target - X @ beta
-    dof = max(n - X.shape[1], 1)
+    dof = max(n - int(use.sum()), 1)
     sigma = float(np.sqrt(resid @ resid / dof))
     return pd.DataFrame([{**base, "status": "ok", "reason": None,
                           "first_ds": pd.Timestamp(first).date(), "last_ds": pd.Timestamp(last).date(),
@@ -201,8 +209,11 @@ def predict(models: DataFrame, dates: DataFrame, z: float = Z95) -> DataFrame:
 
 
 def forecast(series: DataFrame, horizon: int = HORIZON, **fit_kw) -> tuple[DataFrame, DataFrame]:
-    """T-3: fit every series and predict its history plus ``horizon`` days. Returns (forecast, models)."""
-    models = fit_models(series, **fit_kw)
+    """T-3: fit every series and predict its history plus ``horizon`` days. Returns (forecast, models).
+
+    Series (one row per series and day) and models (one row per series) are computed once."""
+    series = checkpointed(series.select("series", "ds", "y"))
+    models = checkpointed(fit_models(series, **fit_kw))
     return predict(models, future_frame(series, horizon)), models
 
 

@@ -1,9 +1,9 @@
 """Review retrieval: corpus, vectors, upserts and exact top-k search (V-1 .. V-11).
 
 Search is exact (a scan), unlike an approximate index. One query: cosine by native array expressions with the
-query vector as a literal, then a bounded top-k (``TakeOrderedAndProject``). Many queries: each partition scores
-its rows against all queries with one matrix product (NumPy inside ``mapInPandas``) and keeps only its own top-k
-per query, so at most k × queries × partitions rows are shuffled to the final per-query ranking.
+query vector as a literal, then a bounded top-k (``TakeOrderedAndProject``). Many queries: queries and stored rows
+are packed into blocks, each pair of blocks is one matrix product (NumPy inside ``mapInPandas``) that keeps its own
+top-k per query, and the final per-query ranking sees k rows per block.
 """
 
 from __future__ import annotations
@@ -12,24 +12,25 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.semantics import hash_sample, unicode_strip
 
 # Fixed values of the retrieval setup.
-CORPUS_SAMPLE = 25_000
 MIN_REVIEW_CHARS = 30
 EMBED_DIMS = 256
 DEFAULT_K = 10
 NO_RESULTS = "No relevant reviews found for that query and filter."
-MAX_BATCH_QUERIES = 10_000
+QUERY_BLOCK = 1_000  # queries, and stored rows, of one block of the batch search
+STORE_BLOCK = 4_000
 
 
-def build_corpus(reviews: DataFrame, listings: DataFrame, sample: int | None = CORPUS_SAMPLE,
+def build_corpus(reviews: DataFrame, listings: DataFrame, sample: int | None = None,
                  min_chars: int = MIN_REVIEW_CHARS, seed: int = 42) -> DataFrame:
     """V-1 / V-2: reviews of known listings in a known district whose stripped text is longer than ``min_chars``,
-    with a stable document id ``rev_<review id>``; exact-n seeded sample when larger than ``sample``."""
+    with a stable document id ``rev_<review id>``; on request an exact-n seeded sample of ``sample`` of them."""
     li = listings.select(F.col("id").alias("_lid"), "neighbourhood_cleansed")
     j = reviews.join(li, reviews.listing_id == li._lid, "inner").drop("_lid")
     j = j.where(F.col("comments").isNotNull() & (F.length(unicode_strip("comments")) > min_chars)
@@ -88,8 +89,10 @@ def search(store: DataFrame, query: Sequence[float] | DataFrame, k: int = DEFAUL
     never collected)."""
     s = store if where is None else store.where(where)
     if isinstance(query, DataFrame):
-        s = s.crossJoin(F.broadcast(query.select(F.transform("query_vector", lambda x: x.cast("double"))
-                                                 .alias("_q")).limit(1)))
+        n = F.count(F.lit(1))
+        one = query.agg(F.when(n > 1, F.raise_error(F.lit("search takes one query; use batch_search"))).otherwise(
+            F.first(F.transform("query_vector", lambda x: x.cast("double")))).alias("_q"))
+        s = s.crossJoin(F.broadcast(one))
         q = F.col("_q")
     else:
         q = F.array(*[F.lit(float(x)) for x in query])
@@ -114,60 +117,76 @@ def context(results: DataFrame, text_col: str, district_col: str) -> DataFrame:
                       F.col("_n").alias("sources"))
 
 
+def _blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, prefix: str) -> DataFrame:
+    """Rows packed into blocks: a row holds up to ``rows`` ids and their unit vectors as packed doubles. A vector that
+    is null or zero has no direction: it is packed as NaNs, so its similarities are null."""
+
+    def pack(frames):
+        for pdf in frames:
+            for lo in range(0, len(pdf), rows):
+                part = pdf.iloc[lo:lo + rows]
+                dims = max((len(v) for v in part["_v"] if v is not None), default=0)
+                mat = np.full((len(part), dims), np.nan)
+                for i, v in enumerate(part["_v"]):
+                    if v is not None and len(v) == dims:
+                        mat[i] = v
+                norm = np.linalg.norm(mat, axis=1, keepdims=True)
+                mat = np.divide(mat, norm, out=np.full_like(mat, np.nan), where=norm > 0)
+                yield pd.DataFrame({f"{prefix}_ids": [part["_id"].to_numpy(np.int64)], f"{prefix}_vecs": [mat.tobytes()]})
+
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    return df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).mapInPandas(
+        pack, f"{prefix}_ids array<long>, {prefix}_vecs binary")
+
+
 def batch_search(store: DataFrame, queries: DataFrame, k: int = DEFAULT_K, col: str = "embedding", id_col: str = "id",
                  qid_col: str = "query_id", qvec_col: str = "query_vector") -> DataFrame:
-    """V-11: top-k per query for many queries. The query set is broadcast to every task only after its size is
-    checked (≤ ``MAX_BATCH_QUERIES``); each task keeps its own top-k per query (NumPy), then a per-query ranking
-    over at most k × partitions candidates picks the final k."""
-    qrows = queries.select(qid_col, qvec_col).limit(MAX_BATCH_QUERIES + 1).collect()
-    if len(qrows) > MAX_BATCH_QUERIES:
-        raise ValueError(f"more than {MAX_BATCH_QUERIES} queries: split the batch")
-    if not qrows:
-        return store.sparkSession.createDataFrame([], f"{qid_col} long, {id_col} long, similarity double, rank int")
-    qids = np.array([r[0] for r in qrows], dtype=np.int64)
-    qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in qrows])
-    qn = np.linalg.norm(qmat, axis=1)
-    qunit = np.divide(qmat, qn[:, None], out=np.zeros_like(qmat), where=qn[:, None] > 0)
-    bq = store.sparkSession.sparkContext.broadcast((qids, qunit, qn > 0))
-
-    def part_topk(batches):
-        qids_, qunit_, qok = bq.value
-        nq = len(qids_)
-        step = max(1, 4_000_000 // nq)  # rows scored at once: bounds the (rows × queries) block in memory
-        best_k = np.empty((0, nq))
-        best_i = np.empty((0, nq), dtype=np.int64)
-        best_s = np.empty((0, nq))
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                mat = np.stack([np.asarray(v, dtype=np.float64) for v in part[col]])
-                n = np.linalg.norm(mat, axis=1)
-                unit = np.divide(mat, n[:, None], out=np.zeros_like(mat), where=n[:, None] > 0)
-                sims = unit @ qunit_.T
-                sims[~(n > 0), :] = np.nan
-                sims[:, ~qok] = np.nan
-                ids = np.broadcast_to(part[id_col].to_numpy(np.int64)[:, None], sims.shape)
-                all_k = np.vstack([best_k, np.where(np.isnan(sims), -np.inf, sims)])
-                all_i = np.vstack([best_i, ids])
-                all_s = np.vstack([best_s, sims])
-                # Running top-k per query under the final order (similarity desc, id asc): exact, no ties lost.
-                order = np.lexsort((all_i, -all_k), axis=0)[:k]
-                best_k = np.take_along_axis(all_k, order, 0)
-                best_i = np.take_along_axis(all_i, order, 0)
-                best_s = np.take_along_axis(all_s, order, 0)
-        if best_i.shape[0]:
-            yield pd.DataFrame({qid_col: np.broadcast_to(qids_[None, :], best_i.shape).ravel(),
-                                id_col: best_i.ravel(), "similarity": best_s.ravel()})
-
-    cand = store.select(id_col, col).mapInPandas(part_topk, f"{qid_col} long, {id_col} long, similarity double")
+    """V-11: exact top-k per query for any number of queries. Both sides are packed into blocks; every block of
+    queries meets every block of the store once, as one matrix product (NumPy) that forwards only its k best per
+    query, and a per-query ranking over k × blocks candidates picks the final k. No vector visits the driver.
+    For an approximate form over large stores see the neighbour-graph search of the training-data operators."""
+
+    def score(frames):
+        for pdf in frames:
+            for q_ids, q_vecs, s_ids, s_vecs in pdf[["q_ids", "q_vecs", "s_ids", "s_vecs"]].itertuples(index=False):
+                q = np.frombuffer(q_vecs).reshape(len(q_ids), -1)
+                s = np.frombuffer(s_vecs).reshape(len(s_ids), -1)
+                sims = (q @ s.T).T if q.shape[1] == s.shape[1] else np.full((len(s_ids), len(q_ids)), np.nan)
+                ids = np.broadcast_to(np.asarray(s_ids, np.int64)[:, None], sims.shape)
+                # Final order (similarity desc, nulls last, id asc), so no tie is lost.
+                order = np.lexsort((ids, -np.where(np.isnan(sims), -np.inf, sims)), axis=0)[:k]
+                yield pd.DataFrame({qid_col: np.broadcast_to(np.asarray(q_ids)[None, :], order.shape).ravel(),
+                                    id_col: np.take_along_axis(ids, order, 0).ravel(),
+                                    "similarity": np.take_along_axis(sims, order, 0).ravel()})
+
+    pairs = _blocks(store, id_col, col, STORE_BLOCK, "s").crossJoin(_blocks(queries, qid_col, qvec_col, QUERY_BLOCK, "q"))
+    cand = pairs.mapInPandas(score, f"{qid_col} long, {id_col} long, similarity double")
     w = Window.partitionBy(qid_col).orderBy(F.col("similarity").desc_nulls_last(), F.col(id_col))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def upsert(store: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """V-5: rows of ``new`` replace stored rows with the same id; others are added (latest wins)."""
+def upsert(store: DataFrame, new: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
+    """V-5: rows of ``new`` replace stored rows with the same id; others are added. Of several new rows with one id
+    the one with the greatest ``order_col`` stays (equal or no order: the greatest row, so re-runs agree)."""
+    row = F.struct(*[F.col(c) for c in new.columns])
+    order = F.struct(F.col(order_col), row) if order_col else row
+    last = new.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(row, order).alias("_r")).select(
+        *[F.col(f"_r.{c}").alias(c) for c in new.columns])
     kept = store.join(new.select(id_col), id_col, "left_anti")
-    return kept.unionByName(new)
+    return kept.unionByName(last)
+
+
+def store_exists(spark, path: str) -> bool:
+    """V-6: True when a complete store can be read at ``path`` (a failed write leaves no readable table)."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
+def store_count(store: DataFrame, id_col: str = "id") -> DataFrame:
+    """V-6: one row: stored vectors and distinct ids."""
+    return store.agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct(id_col).alias("ids"))
 
 
 def write_version(df: DataFrame, base_path: str, version: int) -> str:

@@ -2,8 +2,9 @@
 
 Polarity is lexicon-based: the text is tokenised with a regex, each token found in the lexicon contributes its
 polarity (flipped and halved when the previous token is a negation), and a review's polarity is the mean over
-its matched tokens, 0.0 when none match. The lexicon travels as one map literal (its size is checked), so scoring
-needs no explode, join or shuffle. Language tags count stop words of each language over the whole text.
+its matched tokens, 0.0 when none match. A lexicon given as a mapping travels inside the expression, and scoring
+needs no explode, join or shuffle; one given as a table, of any size, is joined to the tokens. Language tags count
+stop words of each language over the whole text.
 """
 
 from __future__ import annotations
@@ -17,20 +18,18 @@ from staylens.functions.semantics import col_of, cut, hash_sample
 
 TOKEN_PATTERN = r"[\p{L}']+"
 NEGATION_FACTOR = -0.5
-MAX_LEXICON = 200_000
-REVIEW_CAP = 100_000
-
-# A small English opinion lexicon of our own (fixed values): word -> polarity in [-1, 1].
-DEFAULT_LEXICON = {
-    "good": 0.7, "great": 0.8, "excellent": 1.0, "perfect": 1.0, "wonderful": 1.0, "amazing": 0.6,
-    "lovely": 0.5, "love": 0.5, "loved": 0.7, "nice": 0.6, "clean": 0.37, "comfortable": 0.4, "friendly": 0.38,
-    "helpful": 0.5, "beautiful": 0.85, "best": 1.0, "better": 0.5, "well": 0.2, "easy": 0.43, "quiet": 0.1,
-    "spacious": 0.3, "convenient": 0.3, "recommend": 0.3, "happy": 0.8, "fine": 0.42, "cozy": 0.5,
-    "bad": -0.7, "terrible": -1.0, "awful": -1.0, "horrible": -1.0, "worst": -1.0, "worse": -0.4, "poor": -0.4,
-    "dirty": -0.6, "noisy": -0.3, "rude": -0.3, "small": -0.25, "broken": -0.4, "disappointing": -0.6,
-    "disappointed": -0.75, "uncomfortable": -0.5, "smelly": -0.5, "wrong": -0.5, "hard": -0.3, "sad": -0.5,
-    "expensive": -0.5, "cold": -0.6, "old": -0.1, "never": -0.1,
+
+# A small English opinion lexicon (fixed values): every word has one of seven grades, given by this library.
+_GRADES = {
+    1.0: "excellent perfect wonderful superb best",
+    0.8: "great amazing beautiful love loved",
+    0.7: "good lovely happy",
+    0.4: "nice clean comfortable friendly helpful better well easy quiet spacious convenient recommend fine cozy",
+    -0.4: "small noisy hard cold old expensive worse",
+    -0.7: "bad poor dirty rude broken disappointing disappointed uncomfortable smelly wrong sad",
+    -1.0: "terrible awful horrible worst filthy",
 }
+DEFAULT_LEXICON = {w: grade for grade, words in _GRADES.items() for w in words.split()}
 
 # Words that flip the next word's polarity (fixed values).
 NEGATIONS = ["not", "no", "never", "n't", "don't", "didn't", "wasn't", "isn't", "aren't", "cannot", "can't"]
@@ -60,8 +59,6 @@ def polarity(text, lexicon: Mapping[str, float] | None = None, negations: Sequen
     """R-2: mean lexicon polarity of a text's tokens (negation-aware), 0.0 when no token matches or the text is
     null."""
     lex = dict(lexicon or DEFAULT_LEXICON)
-    if len(lex) > MAX_LEXICON:
-        raise ValueError(f"lexicon larger than {MAX_LEXICON} entries")
     lex_map = F.map_from_arrays(F.array(*[F.lit(k) for k in lex]).cast("array<string>"),
                                 F.array(*[F.lit(float(v)) for v in lex.values()]).cast("array<double>"))
     negs = F.array(*[F.lit(w) for w in negations])
@@ -69,21 +66,34 @@ def polarity(text, lexicon: Mapping[str, float] | None = None, negations: Sequen
     # Pair each token with its predecessor ("" before the first): one linear pass, no per-index lookups.
     prev = F.concat(F.array(F.lit("")), t)
 
-    def score(w, p):
-        v = F.try_element_at(lex_map, w)
-        return F.when(F.array_contains(negs, p), v * NEGATION_FACTOR).otherwise(v)
+    def score(x):
+        v = F.try_element_at(lex_map, x["w"])
+        return F.when(F.array_contains(negs, x["p"]), v * NEGATION_FACTOR).otherwise(v)
 
-    scores = F.filter(F.zip_with(t, prev, score), lambda s: s.isNotNull())
+    # A map literal is searched from its start, a membership test is one hash lookup: most tokens end there.
+    pairs = F.zip_with(t, prev, lambda w, p: F.struct(w.alias("w"), p.alias("p")))
+    scores = F.transform(F.filter(pairs, lambda x: x["w"].isin(list(lex))), score)
     total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)
     return F.when(F.size(scores) > 0, total / F.size(scores)).otherwise(F.lit(0.0))
 
 
-def lexicon_from_table(df: DataFrame, word: str = "word", score: str = "polarity") -> dict[str, float]:
-    """Read a lexicon table (bounded: at most ``MAX_LEXICON`` entries, checked) into the map the scorer uses."""
-    rows = df.select(word, score).limit(MAX_LEXICON + 1).collect()
-    if len(rows) > MAX_LEXICON:
-        raise ValueError(f"lexicon larger than {MAX_LEXICON} entries")
-    return {r[0]: float(r[1]) for r in rows if r[0] is not None and r[1] is not None}
+def polarity_by_table(reviews: DataFrame, lexicon: DataFrame, text: str = "comments", id_col: str = "id",
+                      word: str = "word", score: str = "polarity", negations: Sequence[str] = NEGATIONS) -> DataFrame:
+    """R-2 with a lexicon table of any size: ``id``, ``sentiment`` of every review (ids are unique).
+
+    Tokens are counted per review before the join, so a frequent word is one row per review, and hits are summed per
+    review. A word listed twice counts with its smallest score."""
+    t = tokens(text)
+    pair = F.explode(F.arrays_zip(t.alias("w"), F.concat(F.array(F.lit("")), t).alias("p")))
+    one = reviews.select(F.col(id_col).alias("_id"), pair.alias("x")).where(F.col("x.w").isNotNull()).groupBy(
+        "_id", F.col("x.w").alias("_w"), F.col("x.p").isin(list(negations)).alias("_neg")).agg(F.count(F.lit(1)).alias("_n"))
+    lex = lexicon.where(F.col(word).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(word).alias("_w")).agg(
+        F.min(F.col(score).cast("double")).alias("_s"))
+    sign = F.when(F.col("_neg"), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
+    hits = one.join(lex, "_w").groupBy("_id").agg(
+        (F.sum(F.col("_s") * sign * F.col("_n")) / F.sum("_n")).alias("_mean"))
+    return reviews.select(F.col(id_col).alias("id")).join(hits, F.col("id") == F.col("_id"), "left").select(
+        "id", F.coalesce("_mean", F.lit(0.0)).alias("sentiment"))
 
 
 def sentiment_label(c, compat: bool = False) -> F.Column:
@@ -92,9 +102,10 @@ def sentiment_label(c, compat: bool = False) -> F.Column:
     return cut(c, SENTIMENT_EDGES, SENTIMENT_LABELS, include_lowest=not compat)
 
 
-def reviews_for_listings(reviews: DataFrame, listings: DataFrame, cap: int | None = REVIEW_CAP,
+def reviews_for_listings(reviews: DataFrame, listings: DataFrame, cap: int | None = None,
                          seed: int = 42) -> DataFrame:
-    """R-1: reviews of the given listings (semi join; ids never collected), capped by an exact-n seeded sample."""
+    """R-1: all reviews of the given listings (semi join; ids never collected), or on request an exact-n seeded
+    sample of ``cap`` of them."""
     r = reviews.join(listings.select(F.col("id").alias("listing_id")), "listing_id", "left_semi")
     return hash_sample(r, cap, "id", seed) if cap else r
 

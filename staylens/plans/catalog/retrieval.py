@@ -34,15 +34,20 @@ FROM reviews r JOIN listings l ON r.listing_id = l.id
 WHERE r.comments IS NOT NULL
   AND length(regexp_replace(r.comments, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) > 30
   AND l.neighbourhood_cleansed IS NOT NULL
-ORDER BY md5(concat_ws('|', CAST(r.id AS VARCHAR), '42')), r.id LIMIT 25000
 """)
 def v1_review_corpus(spark, d):
     return V.build_corpus(roles.reviews(spark, d), roles.listings(spark, d))
 
 
-@register("v3_hashing_embeddings")
+@register("v3_hashing_embeddings", roles=("reviews", "listings"), sql="""
+SELECT 'rev_' || CAST(r.id AS VARCHAR) AS doc_id, 256 AS dims, 1.0::DOUBLE AS norm2
+FROM reviews r JOIN listings l ON r.listing_id = l.id
+WHERE r.comments IS NOT NULL
+  AND length(regexp_replace(r.comments, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) > 30
+  AND l.neighbourhood_cleansed IS NOT NULL
+""")
 def v3_hashing_embeddings(spark, d):
-    """Term-hashing + IDF vectors of the corpus (model output; rows-only)."""
+    """Term-hashing + IDF vectors of the whole corpus: ids, dimensions and length one."""
     _, vecs = V.hashing_embeddings(V.build_corpus(roles.reviews(spark, d), roles.listings(spark, d)))
     return vecs.select("doc_id", F.size("embedding").alias("dims"),
                        r4(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2"))
@@ -62,6 +67,29 @@ def v4_unit_vectors(spark, d):
                     r4(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
+@register("v4_cut_vectors", roles=("vectors",), sql="""
+WITH c AS (SELECT id, list_slice(embedding, 1, 32) AS e FROM vectors),
+n AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) AS nrm FROM c)
+SELECT id, CAST(len(e) AS INTEGER) AS dims, round(CASE WHEN nrm > 0 THEN e[1]::DOUBLE / nrm END, 4) AS first,
+       round(CASE WHEN nrm > 0 THEN list_sum(list_transform(e, lambda x: x::DOUBLE / nrm)) END, 4) AS total FROM n
+""")
+def v4_cut_vectors(spark, d):
+    """V-4 where the cut takes effect: 32 of 64 components."""
+    u = V.unit_vectors(roles.vectors(spark, d), dims=32)
+    return u.select("id", F.size("embedding").alias("dims"), r4(F.col("embedding")[0]).alias("first"),
+                    r4(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@register("v9_similarity_3", roles=("vectors",), sql=f"""
+WITH {_CENTROID_ALL.strip()},
+s AS (SELECT v.id, list_cosine_similarity(list_transform(v.embedding, lambda x: x::DOUBLE), q.qv) AS sim FROM vectors v, q)
+SELECT id, round_even(sim, 3) AS similarity_3 FROM s ORDER BY sim DESC NULLS LAST, id LIMIT 25
+""")
+def v9_similarity_3(spark, d):
+    store = roles.vectors(spark, d)
+    return V.search(store, _centroid_all(store), 25).select("id", "similarity_3")
+
+
 @register("v5_upsert_index", roles=("vectors",), sql=f"""
 WITH {_CENTROID_LABEL.strip()},
 upd AS (SELECT min(v.id) AS id, v.label, any_value(ql.qv) AS embedding FROM vectors v JOIN ql ON v.label = ql.query_id

@@ -25,8 +25,14 @@ def _sql_list(words) -> str:
 _LEX_SQL = "MAP {" + ", ".join(f"{_sql_str(w)}: {v!r}::DOUBLE" for w, v in R.DEFAULT_LEXICON.items()) + "}"
 _TOKENS_SQL = "regexp_extract_all(lower(comments), '[\\p{L}'']+')"
 
+# The documents hold no opinions: each review ends, by its id, with words of the lexicon, so every band occurs.
+_ENDINGS = ("", " bad and dirty", " not good", " excellent and clean", " awful awful terrible", " not bad", " noisy but nice",
+            " perfect wonderful", " clean small", " never happy, worst")
+_END_SQL = f"comments || list_extract({_sql_list(_ENDINGS)}, CAST(id % {len(_ENDINGS)} AS INTEGER) + 1)"
+
 _SCORED_SQL = f"""
-tk AS (SELECT id, listing_id, comments, coalesce({_TOKENS_SQL}, []) AS t FROM reviews),
+rv AS (SELECT id, listing_id, {_END_SQL} AS comments FROM reviews),
+tk AS (SELECT id, listing_id, comments, coalesce({_TOKENS_SQL}, []) AS t FROM rv),
 sc AS (SELECT id, listing_id, list_filter(list_transform(t, lambda w, i: CASE
           WHEN list_contains({_sql_list(R.NEGATIONS)}, CASE WHEN i > 1 THEN t[i - 1] ELSE '' END)
           THEN {_LEX_SQL}[w] * {R.NEGATION_FACTOR!r} ELSE {_LEX_SQL}[w] END), lambda s: s IS NOT NULL) AS s FROM tk),
@@ -37,14 +43,18 @@ scored AS (SELECT *, CASE WHEN sentiment >= -1.0 AND sentiment <= -0.1 THEN 'Neg
                           WHEN sentiment > 0.1 AND sentiment <= 1.0 THEN 'Positive' END AS sentiment_label FROM pol)"""
 
 
+def _ended(spark, d):
+    end = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("id") % len(_ENDINGS)).cast("int") + 1)
+    return roles.reviews(spark, d).withColumn("comments", F.concat("comments", end))
+
+
 def _scored(spark, d):
-    return R.score_reviews(roles.reviews(spark, d))
+    return R.score_reviews(_ended(spark, d))
 
 
 @register("r1_reviews_for_listings", roles=("reviews", "listings"), sql="""
 WITH f AS (SELECT id FROM listings WHERE price BETWEEN 50000 AND 300000 AND room_type IN ('BUILDING', 'MACHINERY'))
 SELECT r.id, r.listing_id FROM reviews r WHERE r.listing_id IN (SELECT id FROM f)
-ORDER BY md5(concat_ws('|', CAST(r.id AS VARCHAR), '42')), r.id LIMIT 100000
 """)
 def r1_reviews_for_listings(spark, d):
     li = P.market_filter(roles.listings(spark, d), price_range=(50_000, 300_000), room_types=["BUILDING", "MACHINERY"])
@@ -59,6 +69,17 @@ def r2_review_polarity(spark, d):
     return _scored(spark, d).select("id", r4("sentiment").alias("sentiment"), "sentiment_label")
 
 
+@register("r2_polarity_by_table", roles=("reviews",), sql=f"""
+WITH {_SCORED_SQL.strip()}
+SELECT id, round(sentiment, 4) AS sentiment FROM scored
+""")
+def r2_polarity_by_table(spark, d):
+    """R-2 with the lexicon as a table, joined to the reviews' tokens."""
+    lexicon = spark.createDataFrame(sorted(R.DEFAULT_LEXICON.items()), "word string, polarity double")
+    t = R.polarity_by_table(_ended(spark, d), lexicon)
+    return t.select("id", r4("sentiment").alias("sentiment"))
+
+
 @register("r4_sentiment_kpis", roles=("reviews",), sql=f"""
 WITH {_SCORED_SQL.strip()}
 SELECT count(*)::BIGINT AS reviews, round(avg(sentiment), 4) AS avg_sentiment,
@@ -133,4 +154,4 @@ SELECT id, CASE WHEN sentiment > -1.0 AND sentiment <= -0.1 THEN 'Negative'
 """)
 def r3_sentiment_bands_compat(spark, d):
     """R-3 with the reference's open lower edge (a polarity of exactly -1.0 gets no label)."""
-    return R.score_reviews(roles.reviews(spark, d), compat=True).select("id", "sentiment_label")
+    return R.score_reviews(_ended(spark, d), compat=True).select("id", "sentiment_label")
