@@ -35,7 +35,8 @@ ERROR_TYPE = ("struct<type:string,reported:double,true:double,diff_pct:double,se
 def ground_truth(listings: DataFrame, price="price", district="neighbourhood_cleansed", room_type="room_type",
                  **qkw) -> DataFrame:
     """H-1: one row: listing count, mean and median price, dearest and cheapest district by mean price (ties:
-    first name) with that mean, number of room types and of districts."""
+    first name) with that mean, number of room types and of districts, listings per room type as 'type=count' and
+    the names of all districts, both in order of name and joined by '; ' (one entry per distinct value)."""
     by_d = listings.where(F.col(district).isNotNull()).groupBy(district).agg(F.avg(price).alias("_m")).where(
         F.col("_m").isNotNull())
     ext = by_d.agg(
@@ -47,14 +48,25 @@ def ground_truth(listings: DataFrame, price="price", district="neighbourhood_cle
                         F.count_distinct(room_type).alias("room_types"),
                         F.count_distinct(district).alias("neighborhoods"))
     med = median(listings, price, name="median_price", **qkw)
-    return base.crossJoin(med).crossJoin(ext)
+    per_type = listings.where(F.col(room_type).isNotNull()).groupBy(F.col(room_type).cast("string").alias("_t")).agg(
+        F.count(F.lit(1)).alias("_n")).agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("_t", "_n"))), lambda x: F.concat_ws("=", x["_t"], x["_n"].cast("string"))),
+            "; ").alias("room_type_counts"))
+    names = by_names(listings, district).agg(
+        F.array_join(F.array_sort(F.collect_list("_name")), "; ").alias("neighborhood_list"))
+    return base.crossJoin(med).crossJoin(ext).crossJoin(per_type).crossJoin(names)
+
+
+def by_names(listings: DataFrame, district: str) -> DataFrame:
+    """Distinct district names."""
+    return listings.where(F.col(district).isNotNull()).select(F.col(district).cast("string").alias("_name")).distinct()
 
 
 def numbers(text) -> F.Column:
     """H-2: every number in the text, '¥' and ',' removed; pieces that do not parse (a lone comma) dropped."""
     raw = F.regexp_extract_all(col_of(text), F.lit(NUMBER_PATTERN), 0)
     cleaned = F.transform(raw, lambda s: F.regexp_replace(s, "[¥,]", ""))
-    return F.transform(F.filter(cleaned, lambda s: s != ""), lambda s: s.try_cast("double"))
+    return F.filter(F.transform(cleaned, lambda s: s.try_cast("double")), lambda x: x.isNotNull())
 
 
 def _contains_any(text: F.Column, words: Sequence[str]) -> F.Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.functions.semantics import with_scalars
+from staylens.functions.semantics import nan_to_null, with_scalars
 
 # Names that hint at a join key when contained in a column name (fixed list).
 KNOWN_KEYS = ["neighbourhood", "neighbourhood_cleansed", "id", "host_id", "latitude", "longitude", "name", "price"]
@@ -30,9 +30,14 @@ def _normalise_name(s: str) -> str:
     return s.lower().replace("_", " ").replace("-", " ")
 
 
+def _value(df: DataFrame, c: str) -> F.Column:
+    """The column, with NaN as null in floating-point columns (pandas' missing value)."""
+    return nan_to_null(F.col(f"`{c}`")) if dict(df.dtypes)[c] in ("double", "float") else F.col(f"`{c}`")
+
+
 def _long_text(df: DataFrame) -> DataFrame:
     cols = df.columns
-    cast = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    cast = df.select(*[_value(df, c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
     long = cast.unpivot([], [f"c{i}" for i in range(len(cols))], "_ci", "value")
     names = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(f"c{i}"), F.lit(c))])
     return long.select(names[F.col("_ci")].alias("column_name"), "value")
@@ -58,7 +63,7 @@ def profile_table(df: DataFrame, samples: int = 3, approx: bool = False) -> Data
         [(i, c, types[c], join_hint(c)) for i, c in enumerate(cols)],
         "position int, column_name string, type string, join_hint boolean")
     wide = df.agg(F.count(F.lit(1)).alias("_rows"),
-                  *[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
+                  *[F.avg(_value(df, c).isNull().cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
     miss = wide.unpivot(["_rows"], [f"m{i}" for i in range(len(cols))], "_mi", "_share").select(
         F.expr("cast(substring(_mi, 2) as int)").alias("position"), "_rows", "_share")
     long = _long_text(df).where(F.col("value").isNotNull())
@@ -154,30 +159,35 @@ def fuzzy_column_name(new_col: str, known_cols: Sequence[str], cutoff: float = F
 def value_containment(new_df: DataFrame, known_df: DataFrame, new_cols: Sequence[str] | None = None,
                       known_cols: Sequence[str] | None = None) -> DataFrame:
     """J-4 (data part): for every (new column, known column), the share of the new column's distinct non-null
-    values that occur in the known column. One distinct long form per side, one equi-join on the value."""
+    values that occur in the known column (``containment``), and the share of the known column's that occur in the
+    new one (``coverage``). One distinct long form per side, one equi-join on the value."""
     a = _long_text(new_df.select(*(new_cols or new_df.columns))).where(F.col("value").isNotNull()).distinct()
     b = _long_text(known_df.select(*(known_cols or known_df.columns))).where(F.col("value").isNotNull()).distinct()
     sizes = a.groupBy("column_name").agg(F.count(F.lit(1)).alias("_distinct"))
     hits = (a.join(b.withColumnRenamed("column_name", "known_column"), "value")
             .groupBy("column_name", "known_column").agg(F.count(F.lit(1)).alias("_hits")))
-    return hits.join(sizes, "column_name").select(
+    known = b.groupBy(F.col("column_name").alias("known_column")).agg(F.count(F.lit(1)).alias("_known"))
+    return hits.join(sizes, "column_name").join(known, "known_column").select(
         F.col("column_name").alias("new_column"), "known_column",
-        (F.col("_hits") / F.col("_distinct")).alias("containment"))
+        (F.col("_hits") / F.col("_distinct")).alias("containment"), (F.col("_hits") / F.col("_known")).alias("coverage"))
 
 
 def suggest_column_mapping(new_df: DataFrame, known_df: DataFrame, min_containment: float = 0.5,
                            district: str = "neighbourhood_cleansed") -> DataFrame:
-    """J-4: {new column → known column or null}: best value containment (≥ ``min_containment``), else the
-    closest column name; plus ``is_default_key`` (the column mapped to the district, else the first hinted
+    """J-4: {new column → known column or null}: the best agreement of values, else the closest column name. Agreement
+    is the harmonic mean of containment and coverage, both at least ``min_containment``: a few small integers are
+    contained in any id column but cover little of it. Plus ``is_default_key`` (the column mapped to the district, else the first hinted
     column, else the first column)."""
     spark = new_df.sparkSession
     names = spark.createDataFrame(
         [(i, c, fuzzy_column_name(c, known_df.columns), join_hint(c)) for i, c in enumerate(new_df.columns)],
         "position int, new_column string, name_match string, join_hint boolean")
-    cont = value_containment(new_df, known_df).where(F.col("containment") >= min_containment)
+    both = F.least("containment", "coverage")
+    agree = 2 * F.col("containment") * F.col("coverage") / (F.col("containment") + F.col("coverage"))
+    cont = value_containment(new_df, known_df).where(both >= min_containment)
     best = cont.groupBy("new_column").agg(
         F.min_by(F.struct("known_column", "containment"),
-                 F.struct((-F.col("containment")).alias("c"), F.col("known_column").alias("k"))).alias("_b"))
+                 F.struct((-agree).alias("c"), F.col("known_column").alias("k"))).alias("_b"))
     m = names.join(best, "new_column", "left").select(
         "position", "new_column", F.coalesce(F.col("_b.known_column"), F.col("name_match")).alias("known_column"),
         F.col("_b.containment").alias("containment"), "join_hint")
@@ -201,9 +211,9 @@ def merge_external(listings: DataFrame, new_df: DataFrame, key_new: str, key_kno
     imported row when none is given, so duplicates resolve deterministically). Null keys match null keys. A clash with an
     existing column is refused unless ``prefix`` renames the imported columns."""
     if key_new not in new_df.columns:
-        raise MergeError(f"Column '{key_new}' not found in uploaded dataset.")
+        raise MergeError(f"The external table has no column {key_new!r} to join on.")
     if key_known not in listings.columns:
-        raise MergeError(f"Column '{key_known}' not found in listings data.")
+        raise MergeError(f"The listings have no column {key_known!r} to join on.")
     cols = [c for c in import_cols if c in new_df.columns and c != key_new]
     out_names = {c: f"{prefix}{c}" if prefix else c for c in cols}
     clash = [n for n in out_names.values() if n in listings.columns]
@@ -219,13 +229,17 @@ def merge_external(listings: DataFrame, new_df: DataFrame, key_new: str, key_kno
     first = sub.groupBy("_k").agg(F.min_by(F.struct(*cols), "_o").alias("_s")) if cols else sub.select("_k").distinct()
     first = first.select("_k", F.lit(True).alias("_key_matched"),
                          *[F.col(f"_s.{c}").alias(out_names[c]) for c in cols])
-    joined = listings.join(first, listings[key_known].eqNullSafe(first["_k"]), how)
-    return joined.withColumn("_key_matched", F.coalesce(F.col("_key_matched"), F.lit(False))).drop("_k")
+    joined = listings.withColumn("_listed", F.lit(True)).join(first, listings[key_known].eqNullSafe(first["_k"]), how)
+    # A row without a listing (outer and right joins) carries the external key; it found no listing's key either.
+    key = F.when(F.col("_listed"), F.col(key_known)).otherwise(F.col("_k"))
+    both = F.coalesce(F.col("_key_matched"), F.lit(False)) & F.coalesce(F.col("_listed"), F.lit(False))
+    return joined.select(*[key.alias(c) if c == key_known else F.col(c) for c in listings.columns],
+                         *[F.col(out_names[c]) for c in cols], both.alias("_key_matched"))
 
 
 def merge_report(listings: DataFrame, enriched: DataFrame, key: str, import_cols: Sequence[str]) -> DataFrame:
-    """J-6: one row: status, key, original and merged rows, new columns, match rate (share of rows whose first
-    imported column is non-null, 1 dp) and key match rate (share of rows whose key found a partner)."""
+    """J-6: one row: status, key, original and merged rows, new columns (as they are named in ``enriched``), match
+    rate (share of rows whose first new column is non-null, 1 dp) and key match rate (share of rows whose key found a partner)."""
     orig = listings.agg(F.count(F.lit(1)).alias("original_rows"))
     first = import_cols[0] if import_cols else None
     agg = enriched.agg(
@@ -247,4 +261,5 @@ def merge_with_report(listings: DataFrame, new_df: DataFrame, key_new: str, key_
     except MergeError as exc:
         err = listings.sparkSession.createDataFrame([("error", str(exc))], "status string, reason string")
         return listings, err
-    return enriched.drop("_key_matched"), merge_report(listings, enriched, key_known, import_cols)
+    new = [c for c in enriched.columns if c not in listings.columns and c != "_key_matched"]
+    return enriched.drop("_key_matched"), merge_report(listings, enriched, key_known, new)

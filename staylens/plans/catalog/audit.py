@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.functions.semantics import r4
+from staylens.functions.semantics import r4, with_scalars
 from staylens.operators import audit as H
 from staylens.plans.catalog.reports import _r4all
 from staylens.plans.registry import register
@@ -28,14 +28,33 @@ truth AS (SELECT count(*)::BIGINT AS total_listings, avg(price) AS avg_price, me
                  (SELECT d FROM byd ORDER BY m DESC, d LIMIT 1) AS top_neighborhood,
                  (SELECT max(m) FROM byd) AS top_neighborhood_price,
                  (SELECT d FROM byd ORDER BY m ASC, d LIMIT 1) AS cheapest_neighborhood,
-                 (SELECT min(m) FROM byd) AS cheapest_neighborhood_price FROM listings)"""
-
-_NUMS_SQL = ("list_transform(list_filter(list_transform(regexp_extract_all({c}, '[¥]?[0-9,]+\\.?[0-9]*'), "
-             "lambda s: regexp_replace(s, '[¥,]', '', 'g')), lambda s: s <> ''), lambda s: TRY_CAST(s AS DOUBLE))")
+                 (SELECT min(m) FROM byd) AS cheapest_neighborhood_price,
+                 (SELECT string_agg(t || '=' || CAST(n AS VARCHAR), '; ' ORDER BY t) FROM (
+                    SELECT room_type AS t, count(*) AS n FROM listings WHERE room_type IS NOT NULL GROUP BY 1))
+                   AS room_type_counts,
+                 (SELECT string_agg(d, '; ' ORDER BY d) FROM (
+                    SELECT DISTINCT neighbourhood_cleansed AS d FROM listings WHERE neighbourhood_cleansed IS NOT NULL))
+                   AS neighborhood_list FROM listings)"""
+
+_NUMS_SQL = ("list_filter(list_transform(list_transform(regexp_extract_all({c}, '[¥]?[0-9,]+\\.?[0-9]*'), "
+             "lambda s: regexp_replace(s, '[¥,]', '', 'g')), lambda s: TRY_CAST(s AS DOUBLE)), lambda x: x IS NOT NULL)")
+
+# The conversations hold no prices: each pair is prefixed, by (conversation, turn), with a case that a rule is for. The
+# number is the true mean price times a factor.
+_KINDS = 8
+_ASKED = "What is the average price? "
+_CASES = (("It is ¥", 1.0), ("It is ¥", 1.15), ("It is ¥", 1.5), ("Roughly,. ", 1.5), ("It is exactly so. ", None),
+          ("There is no data on reviews. ", None), ("It might be so. ", None), ("", None))
+_KIND_SQL = f"((q.conv_id * 3 + q.turn // 2) % {_KINDS})"
+_CASE_SQL = "CASE " + _KIND_SQL + " " + " ".join(
+    f"WHEN {k} THEN {_sql_str(t)}" + (f" || CAST(CAST(floor(truth.avg_price * {x!r}) AS BIGINT) AS VARCHAR) || '. '" if x else "")
+    for k, (t, x) in enumerate(_CASES)) + " END"
 
 _AUDIT_SQL = f"""
-qa AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer FROM conversations q
-       JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+qa AS (SELECT q.conv_id, q.turn, CASE WHEN {_KIND_SQL} < 4 THEN {_sql_str(_ASKED)} ELSE '' END || q.text AS question,
+              {_CASE_SQL} || a.text AS answer
+       FROM conversations q
+       JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant', truth
        WHERE q.role = 'user'),
 hr AS (SELECT count(*) > 0 AS has_reviews FROM reviews),
 x AS (SELECT qa.*, lower(question) AS lq, lower(answer) AS la, {_NUMS_SQL.format(c="answer")} AS nums,
@@ -60,7 +79,8 @@ audited AS (SELECT conv_id, turn, answer, price_sev, first, diff,
 WITH {_TRUTH_SQL.strip()}
 SELECT total_listings, round(avg_price, 4) AS avg_price, round(median_price, 4) AS median_price, room_types,
        neighborhoods, top_neighborhood, round(top_neighborhood_price, 4) AS top_neighborhood_price,
-       cheapest_neighborhood, round(cheapest_neighborhood_price, 4) AS cheapest_neighborhood_price FROM truth
+       cheapest_neighborhood, round(cheapest_neighborhood_price, 4) AS cheapest_neighborhood_price,
+       room_type_counts, neighborhood_list FROM truth
 """)
 def h1_ground_truth(spark, d):
     return _r4all(H.ground_truth(roles.listings(spark, d)))
@@ -83,9 +103,23 @@ def h2_document_numbers(spark, d):
                        F.array_max(nums).alias("max_number"), F.array_join(raw, " ").alias("numbers_text"))
 
 
+def _posed(spark, d, truth):
+    """Question and answer pairs of the conversations, each with the case of its kind in front."""
+    pairs = H.answers_from_turns(spark.read.parquet(f"{d}/conversations.parquet"))
+    kind = (F.col("conv_id") * 3 + F.floor(F.col("turn") / 2)) % _KINDS
+    case = F.lit(None).cast("string")
+    for k, (text, factor) in enumerate(_CASES):
+        number = F.floor(F.col("_mean") * factor).cast("bigint").cast("string") if factor else F.lit("")
+        case = F.when(kind == k, F.concat(F.lit(text), number, F.lit(". " if factor else ""))).otherwise(case)
+    asked = F.when(kind < 4, F.lit(_ASKED)).otherwise(F.lit(""))
+    j = with_scalars(pairs, truth.select(F.col("avg_price").alias("_mean")))
+    return j.select("conv_id", "turn", F.concat(asked, "question").alias("question"),
+                    F.concat(case, "answer").alias("answer"))
+
+
 def _audited(spark, d):
-    answers = H.answers_from_turns(spark.read.parquet(f"{d}/conversations.parquet"))
-    return H.audit(answers, H.ground_truth(roles.listings(spark, d)), roles.reviews(spark, d))
+    truth = H.ground_truth(roles.listings(spark, d))
+    return H.audit(_posed(spark, d, truth), truth, roles.reviews(spark, d))
 
 
 @register("h5_audit_conversations", roles=("listings", "reviews"), sql=f"""
@@ -119,13 +153,15 @@ def h6_pass_rate(spark, d):
     return _r4all(H.pass_rate(_audited(spark, d)))
 
 
-@register("h7_hedged_answers", sql=f"""
-SELECT conv_id, turn, {_any_sql("lower(text)", H.HEDGE_WORDS)} AS hedged,
-       CASE WHEN {_any_sql("lower(text)", H.HEDGE_WORDS)} THEN text || {_sql_str(H.HEDGE_SUFFIX)} ELSE text END
+@register("h7_hedged_answers", roles=("listings", "reviews"), sql=f"""
+WITH {_TRUTH_SQL.strip()},
+{_AUDIT_SQL.strip()}
+SELECT conv_id, turn, {_any_sql("lower(answer)", H.HEDGE_WORDS)} AS hedged,
+       CASE WHEN {_any_sql("lower(answer)", H.HEDGE_WORDS)} THEN answer || {_sql_str(H.HEDGE_SUFFIX)} ELSE answer END
          AS final_answer
-FROM conversations WHERE role = 'assistant'
+FROM qa
 """)
 def h7_hedged_answers(spark, d):
-    t = spark.read.parquet(f"{d}/conversations.parquet").where(F.col("role") == "assistant")
-    hedged = H.hedge("text")
-    return t.select("conv_id", "turn", (hedged != F.col("text")).alias("hedged"), hedged.alias("final_answer"))
+    t = _posed(spark, d, H.ground_truth(roles.listings(spark, d)))
+    hedged = H.hedge("answer")
+    return t.select("conv_id", "turn", (hedged != F.col("answer")).alias("hedged"), hedged.alias("final_answer"))
