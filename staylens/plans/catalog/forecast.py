@@ -66,6 +66,19 @@ def t1_district_daily_series(spark, d):
     return _y4(T.daily_series(cal, "_top"))
 
 
+@register("t1_named_district_series", roles=LC, sql="""
+WITH daily AS (SELECT c.date AS ds, avg(c.price) AS y, {Y4} AS y4 FROM calendar_long c
+          WHERE c.listing_id IN (SELECT id FROM listings WHERE neighbourhood_cleansed = 'NATION_3')
+            AND c.date IS NOT NULL GROUP BY 1),
+cut AS (SELECT quantile_cont(y, 0.95) AS c FROM daily)
+SELECT 'all' AS series, ds, y4 AS y FROM daily, cut WHERE y <= c
+""".replace("{Y4}", Y4))
+def t1_named_district_series(spark, d):
+    """T-1 over the calendar of one named district (J-a)."""
+    cal = T.district_calendar(roles.calendar_long(spark, d), roles.listings(spark, d), "NATION_3")
+    return _y4(T.daily_series(cal))
+
+
 @register("t2_series_set", roles=LC, sql=f"""
 WITH {_SERIES_SQL.strip()}
 SELECT series, ds, y4 AS y FROM series
@@ -132,3 +145,38 @@ def t8_model_table(spark, d):
     models = T.fit_models(_series(spark, d))
     return models.select("series", "status", "reason", "training_days", "first_ds", "last_ds",
                          F.size("beta").alias("n_params"), F.round("sigma", 4).alias("sigma"))
+
+
+@register("t6_summary_days", roles=LC, sql=f"""
+WITH {_SERIES_SQL.strip()}
+SELECT series AS neighborhood, 'ok' AS status, count(*)::BIGINT AS training_days,
+       CAST(min(ds) AS VARCHAR) || ' to ' || CAST(max(ds) AS VARCHAR) AS date_range FROM series GROUP BY series
+""")
+def t6_summary_days(spark, d):
+    """The part of T-6 that no model decides."""
+    fc, models = _forecast(spark, d)
+    return T.summary_table(models, T.forecast_summary(fc, 90)).select("neighborhood", "status", "training_days", "date_range")
+
+
+@register("t7_series_days", roles=LC, sql=f"""
+WITH {_SERIES_SQL.strip()},
+last AS (SELECT max(ds) AS l FROM series WHERE series = 'all')
+SELECT ds, true AS ordered FROM series WHERE series = 'all'
+UNION ALL
+SELECT CAST(unnest(generate_series(l + INTERVAL 1 DAY, l + INTERVAL 90 DAY, INTERVAL 1 DAY)) AS DATE), true FROM last
+""")
+def t7_series_days(spark, d):
+    """T-7 for the whole market: its days, and that every band holds its forecast."""
+    fc, _ = _forecast(spark, d)
+    one = T.series_forecast(fc, T.ALL_SERIES)
+    return one.select("ds", ((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("ordered"))
+
+
+@register("t8_model_days", roles=LC, sql=f"""
+WITH {_SERIES_SQL.strip()}
+SELECT series, 'ok' AS status, count(*)::BIGINT AS training_days, min(ds) AS first_ds, max(ds) AS last_ds
+FROM series GROUP BY series
+""")
+def t8_model_days(spark, d):
+    """The part of T-8 that no fit decides."""
+    return T.fit_models(_series(spark, d)).select("series", "status", "training_days", "first_ds", "last_ds")
