@@ -60,4 +60,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_byte_bpe, op8_dom_model, op9_rule_ledger, op10_candidate_boosting)
 }
 
-SQL: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+def _rule_sql() -> str:
+    """The ledger in DuckDB: measurements by list functions and window counts, the same rule conditions, the policies."""
+    bits = " + ".join(f"CASE WHEN {r.fails} THEN {quality_rules.BIT[r.name]} ELSE 0 END" for r in quality_rules.RULES)
+    base, whole = quality_rules.POLICIES["base"], quality_rules.POLICIES["base"] | quality_rules.POLICIES[quality_rules.CURRENT]
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+tri AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+        FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+many AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM many WHERE c > 1) GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+             len(l)::BIGINT AS n_lines,
+             len(list_filter(w, lambda x: strlen(x) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT
+               AS n_shouted,
+             coalesce(list_max(list_transform(w, lambda x: strlen(x))), 0)::BIGINT AS longest_word
+      FROM w LEFT JOIN rep USING (r)),
+f AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)
+SELECT *, (fail_bits & {base}) <> 0 AS base_failed, (fail_bits & {whole}) = 0 AS kept FROM f
+"""
+
+
+SQL: dict[str, str] = {"op9_rule_ledger": _rule_sql()}
