@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -88,4 +89,44 @@ SELECT *, (fail_bits & {base}) <> 0 AS base_failed, (fail_bits & {whole}) = 0 AS
 """
 
 
-SQL: dict[str, str] = {"op9_rule_ledger": _rule_sql()}
+def _either_case(pattern: str) -> str:
+    """A pattern that begins with (?i), spelt out: DuckDB's own flag would also fold two letters from outside ASCII."""
+    if not pattern.startswith("(?i)"):
+        return pattern
+    words, rest = pattern[4:].split(")", 1)
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words) + ")" + rest
+
+
+def _secret_sql() -> str:
+    """The scan in DuckDB: a match begins after the texts between matches and the matches before it."""
+    parts = []
+    for order, kind in enumerate((*secret_scan.BASE, *secret_scan.ADDED)):
+        pattern = _either_case(kind.pattern).replace("'", "''")
+        value = f"regexp_extract(m[i], '{pattern}', {kind.value})" if kind.value else "m[i]"
+        parts.append(f"""
+SELECT r, {order} AS ord, '{kind.name}' AS kind, pos AS start, pos + length(m[i]) AS stop, {value} AS value FROM (
+  SELECT r, m, i, list_sum(list_transform(p[1:i], lambda x: length(x)))
+                  + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS pos
+  FROM (SELECT r, m, p, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d)))
+WHERE length({value}) >= {kind.least}""")
+    n = len(secret_scan.BASE)
+    listed = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, ord, stop)"
+    counts = ", ".join(f"count(CASE WHEN ord = {k} THEN 1 END)::BIGINT AS n_{x.name}" for k, x in enumerate(secret_scan.BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+c AS ({" UNION ALL ".join(parts)}),
+o AS (SELECT value, count(DISTINCT source) AS owners FROM c JOIN d USING (r) GROUP BY value),
+j AS (SELECT c.*, owners < {secret_scan.EXAMPLE_OWNERS} AS live FROM c JOIN o USING (value)),
+b AS (SELECT r, {counts}, {listed} AS base FROM j WHERE ord < {n} GROUP BY r),
+a AS (SELECT r, {listed} AS spans FROM j WHERE ord < {n} OR live GROUP BY r),
+v AS (SELECT r, count(CASE WHEN live THEN 1 END)::BIGINT AS n_live, count(CASE WHEN NOT live THEN 1 END)::BIGINT AS n_example
+      FROM j GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.name}, 0) AS n_{x.name}" for x in secret_scan.BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r) LEFT JOIN v USING (r)
+"""
+
+
+SQL: dict[str, str] = {"op5_secret_ownership": _secret_sql(), "op9_rule_ledger": _rule_sql()}
