@@ -60,5 +60,10 @@ def test_stages_keep_the_columns(spark, odd_docs):
     assert "piece" in corpus_pipeline.STAGES[-1][1](spark, docs, "").columns
 
 
+def test_stages_take_an_empty_table(spark, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, "").collect() == [], name
+
+
 def test_plain_text_passes(make_docs):
     assert quality_ok(plain(200))
