@@ -1,7 +1,10 @@
 """The training-data pipeline: quality rules, language, near-duplicates, personal data, packing.
 
 ``STAGES`` are (name, function) in order; a function takes (spark, docs, sf_dir) and returns the next stage's documents,
-the last one the packed pieces. ``run`` writes each stage as Parquet to the shared folder and reads it again, so a lost
+the last one the packed pieces. Every stage takes null, empty and very long texts, null ids, repeated rows, empty tables and
+columns of any further name: quality and language reject texts that are null or have no words or letters, the
+near-duplicate stage keeps one of repeated rows, personal_data leaves a null text null, and packing counts it as empty;
+the further columns stay as they are up to the last stage. ``run`` writes each stage as Parquet to the shared folder and reads it again, so a lost
 executor never costs more than the stage at hand.
 """
 
