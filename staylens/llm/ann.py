@@ -4,9 +4,9 @@
   NN-descent then joins every node's list (its neighbours and a bounded sample of the nodes that list it) with their
   vectors, compares the members of a list with one another, as neighbours of neighbours, and merges what is nearer than
   a member's farthest neighbour into that member's list.
-* ``search``: every query expands the nearest nodes of its beam that it hasn't expanded yet, ``EXPAND`` at a time, by a
-  join with the graph, whose rows carry the vectors of their neighbours; after ``ROUNDS`` rounds the best of the beam are
-  scored on the original vectors in double precision.
+* ``search``: every query expands the nearest nodes of its beam that it hasn't expanded yet, as many in each round as
+  ``EXPAND`` says, by a join with the graph, whose rows carry the vectors of their neighbours; at last the best of the beam
+  are scored on the original vectors in double precision.
 
 Equal vectors are one node, so copies, however many, are compared once; of a node's ids only the few smallest can be in a
 result, as ties go to the smaller id. Lists, beams and blocks have fixed lengths, so no task gathers more than these.
@@ -17,6 +17,7 @@ is measured against brute force in tests/llm and stated in the README.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,18 @@ from pyspark.sql import functions as F
 from staylens.llm.common import materialised, pick
 
 NEIGHBOURS = 16  # of a node
-LISTERS = 16  # expected sample of the nodes that list a node
+LISTERS = 16  # of the nodes that list a node, picked by a hash
 BLOCK = 64  # rows of a first block
 PROJECTIONS = 4  # first blocks that a row is in
 DESCENTS = 3  # rounds of NN-descent
 PER_LIST = 8  # proposals that one list makes to one member
-EXPAND, ROUNDS = 128, 8
-BEAM = EXPAND * ROUNDS
+EXPAND = (48, 96, 160, 256, 400, 600)  # nodes that a query expands in each round
 RESCORED = 64  # of a beam, on the original vectors
 ROWS_A_TASK = 4000  # of the small frames made here
 
 EDGES = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("sim", pa.float32())])
+EDGES_DDL = "id long, near long, sim float"
+PAIRS = pa.schema([("id", pa.int64()), ("member", pa.int64()), ("own", pa.bool_()), ("floor", pa.float32())])
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -163,7 +165,7 @@ def first_lists(units: DataFrame, n: int) -> DataFrame:
     tasks = max(1, n * PROJECTIONS // ROWS_A_TASK)
     placed = units.mapInArrow(place, "turn int, code long, along float, id long, unit binary")
     return placed.repartitionByRange(tasks, "turn", "code", "along").sortWithinPartitions("turn", "code", "along").mapInArrow(
-        compare, "id long, near long, sim float")
+        compare, EDGES_DDL)
 
 
 def merged(edges: DataFrame, most: int) -> DataFrame:
@@ -187,8 +189,7 @@ def merged(edges: DataFrame, most: int) -> DataFrame:
         for table, _ in groups(batches, "id"):
             yield _best_batch(table.to_batches(), most)
 
-    ddl = "id long, near long, sim float"
-    return edges.mapInArrow(run, ddl).repartition("id").sortWithinPartitions("id").mapInArrow(finish, ddl)
+    return edges.mapInArrow(run, EDGES_DDL).repartition("id").sortWithinPartitions("id").mapInArrow(finish, EDGES_DDL)
 
 
 def _best_batch(batches: list[pa.RecordBatch], most: int) -> pa.RecordBatch:
@@ -196,26 +197,64 @@ def _best_batch(batches: list[pa.RecordBatch], most: int) -> pa.RecordBatch:
                                     else np.zeros(0) for c in ("id", "near", "sim")), most))
 
 
-def lists(edges: DataFrame, listers: int = LISTERS) -> DataFrame:
-    """``id, member``: each node's neighbours and about ``listers`` of the nodes that list it, picked by a hash."""
-    counts = edges.groupBy(F.col("near").alias("_near")).agg(F.count(F.lit(1)).alias("_n"))
-    picked = edges.join(counts, F.col("near") == F.col("_near")).filter(
-        F.expr(f"pmod(xxhash64(id, near), 1000000L) * _n < {listers} * 1000000L"))
-    return edges.select("id", F.col("near").alias("member")).union(
-        picked.select(F.col("near").alias("id"), F.col("id").alias("member"))).distinct()
+def _few(ids: np.ndarray, members: np.ndarray, most: int) -> np.ndarray:
+    """Rows of at most ``most`` members of each id, picked by a hash of the pair (the same in every task and attempt)."""
+    mixed = (ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) ^ (members.astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.lexsort((mixed, ids))
+    starts = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1])) if len(ids) else np.zeros(0, "i8")
+    rank = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    return np.sort(order[rank < most])
+
+
+def lists(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """``id, member, own, floor, unit``, sorted by id: each node's neighbours (``own``) and nodes that list it, with their
+    vectors and, where it is at hand, the similarity that a node must exceed to enter the member's list.
+
+    A task passes on at most ``LISTERS`` nodes that list a node, so a node that very many list stays small."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, near, sims = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("id", "near", "sim"))
+        # A node's edges are together, nearest first: its last one has its floor, if its list is full.
+        ends = np.append(ids[1:] != ids[:-1], True)
+        sizes = np.diff(np.append(-1, np.flatnonzero(ends)))
+        floor = np.repeat(np.where(sizes >= NEIGHBOURS, sims[ends], np.float32(-2)), sizes)
+        few = _few(near, ids, LISTERS)
+        yield _batch(PAIRS, ids, near, np.ones(len(ids), bool), np.full(len(ids), -2.0))
+        yield _batch(PAIRS, near[few], ids[few], np.zeros(len(few), bool), floor[few])
+
+    rows = edges.mapInArrow(pairs, "id long, member long, own boolean, floor float")
+    known = units.select(F.col("id").alias("member"), "unit").hint("shuffle_hash")
+    return rows.join(known, "member").repartition("id").sortWithinPartitions("id")
+
+
+def _cut_lists(table: pa.Table) -> pa.Table:
+    """Whole lists cut to ``LISTERS`` nodes that aren't the node's own neighbours, each member once."""
+    table = table.combine_chunks()
+    ids, members, own = (table[c].to_numpy() for c in ("id", "member", "own"))
+    others = np.flatnonzero(~own)
+    keep = np.sort(np.concatenate([np.flatnonzero(own), others[_few(ids[others], members[others], LISTERS)]]))
+    order = keep[np.lexsort((~own[keep], members[keep], ids[keep]))]
+    ids, members = ids[order], members[order]
+    once = np.append(True, (ids[1:] != ids[:-1]) | (members[1:] != members[:-1]))
+    return table.take(pa.array(order[once])).combine_chunks()
+
+
+def _starts(ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
 
 
 def descend(edges: DataFrame, units: DataFrame) -> DataFrame:
     """One round of NN-descent: the members of each list propose themselves to one another."""
-    floor = edges.groupBy(F.col("id").alias("_id")).agg(
-        F.when(F.count(F.lit(1)) >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-    known = units.join(floor, F.col("id") == F.col("_id"), "left").select(
-        F.col("id").alias("member"), "unit", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
-    filled = lists(edges).join(known, "member")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in groups(batches, "id"):
-            x, floors, ids = _vectors(table["unit"].combine_chunks()), table["floor"].to_numpy(), table["member"].to_numpy()
+        for table, _ in groups(batches, "id"):
+            table = _cut_lists(table)
+            x, floors, ids = _vectors(table["unit"].chunk(0)), table["floor"].to_numpy(), table["member"].to_numpy()
+            at = _starts(table["id"].to_numpy())
             found = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 sims = x[a:b] @ x[a:b].T
@@ -226,12 +265,11 @@ def descend(edges: DataFrame, units: DataFrame) -> DataFrame:
                 found.append((ids[a + to], ids[a + of], sims[to, of]))
             yield _batch(EDGES, *best_of(*(np.concatenate(c) for c in zip(*found)), NEIGHBOURS))
 
-    proposed = filled.repartition("id").sortWithinPartitions("id").mapInArrow(propose, "id long, near long, sim float")
-    return merged(edges.union(proposed), NEIGHBOURS)
+    return merged(edges.union(lists(edges, units).mapInArrow(propose, EDGES_DDL)), NEIGHBOURS)
 
 
 def build_graph(units: DataFrame, n: int, descents: int = DESCENTS) -> DataFrame:
-    """Edges ``id, near, sim`` of the neighbour graph over ``units`` (``n`` rows)."""
+    """Edges ``id, near, sim`` of the neighbour graph over ``units`` (``n`` rows); a node's edges are together."""
     edges = materialised(merged(first_lists(units, n), NEIGHBOURS))
     for _ in range(descents):
         edges = materialised(descend(edges, units))
@@ -241,17 +279,26 @@ def build_graph(units: DataFrame, n: int, descents: int = DESCENTS) -> DataFrame
 STATE = "query long, unit binary, ids array<long>, sims array<float>, open array<boolean>"
 
 
-def search(starts: DataFrame, edges: DataFrame, units: DataFrame, expand: int = EXPAND, rounds: int = ROUNDS) -> DataFrame:
+def search(starts: DataFrame, edges: DataFrame, units: DataFrame, expand: tuple[int, ...] = EXPAND) -> DataFrame:
     """``query, ids, sims``: the beam of each query node (``query``, its ``unit``) after greedy search from itself.
 
-    A beam is one row of at most ``expand * rounds`` nodes. A round's work is ``expand`` joined graph rows per query.
+    A beam is one row of at most ``sum(expand)`` nodes. A round joins ``expand`` rows of the graph per query.
     """
-    beam = expand * rounds
-    links = lists(edges).select(F.col("id").alias("node"), "member").join(
-        units.select(F.col("id").alias("member"), F.col("unit").alias("near_unit")), "member")
-    # Rows of the graph with their neighbours' vectors, kept in one partitioning for the joins of all rounds. A list is
-    # bounded (NEIGHBOURS and a sample of listers), and so is such a row.
-    graph = links.groupBy("node").agg(F.collect_list("member").alias("members"), F.collect_list("near_unit").alias("units")).persist()
+    beam = sum(expand)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in groups(batches, "id"):
+            table = _cut_lists(table)
+            ids = table["id"].to_numpy()
+            at = _starts(ids)
+            ends = pa.array(at.astype("i4"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at[:-1]]), pa.ListArray.from_arrays(ends, table["member"].chunk(0)),
+                 pa.ListArray.from_arrays(ends, table["unit"].chunk(0))], names=["node", "members", "units"])
+
+    # Rows of the graph with their neighbours' vectors, kept in one partitioning for the joins of all rounds.
+    graph = lists(edges, units).mapInArrow(rows_of, "node long, members array<long>, units array<binary>").repartition(
+        "node").persist()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
@@ -292,23 +339,23 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, expand: int =
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int64()),
                                                              pa.list_(pa.float32()), pa.list_(pa.bool_())))], names=names)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
         """The nodes that each beam expands next, with the least similarity that would still enter the beam."""
         for b in batches:
             out = []
             for q, unit, ids, sims, new in zip(*(b[c].to_pylist() for c in ("query", "unit", "ids", "sims", "open"))):
                 floor = sims[-1] if len(ids) >= beam else -2.0
-                out += [(n, q, unit, floor) for n, ok in zip(ids, new) if ok][:expand]
+                out += [(n, q, unit, floor) for n, ok in zip(ids, new) if ok][:most]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 cols, (pa.int64(), pa.int64(), pa.binary(), pa.float32()))], names=["node", "query", "unit", "floor"])
 
-    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def closed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
         """The same beams with these nodes marked as expanded."""
         for b in batches:
             marks = []
             for new in b["open"].to_pylist():
-                left = expand
+                left = most
                 for k, ok in enumerate(new):
                     if ok and left:
                         new[k], left = False, left - 1
@@ -318,11 +365,11 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, expand: int =
 
     state = materialised(starts.select("query", "unit", F.array("query").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims"),
                                        F.array(F.lit(True)).alias("open")))
-    for _ in range(rounds):
-        frontier = state.mapInArrow(step, "node long, query long, unit binary, floor float")
+    for most in expand:
+        frontier = state.mapInArrow(partial(step, most=most), "node long, query long, unit binary, floor float")
         seen = frontier.hint("shuffle_hash").join(graph, "node").select("query", "unit", "floor", "members", "units").mapInArrow(
             look, "query long, ids array<long>, sims array<float>")
-        both = state.mapInArrow(closed, STATE).unionByName(seen, allowMissingColumns=True)
+        both = state.mapInArrow(partial(closed, most=most), STATE).unionByName(seen, allowMissingColumns=True)
         state = materialised(both.repartition("query").sortWithinPartitions("query").mapInArrow(merge, STATE))
         if state.filter(F.exists("open", lambda x: x)).isEmpty():
             break  # every beam has expanded all that it holds
@@ -338,7 +385,8 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
     """
     own, nodes = nodes_of(embeddings, id_col, vector_col)
     members = materialised(smallest_ids(own, nodes, k + 1))
-    units = materialised(packed_units(nodes))
+    # One partitioning by id for the joins of all rounds.
+    units = packed_units(nodes).repartition("id").persist()
     n = units.count()
     edges = build_graph(units, n)
     asked = materialised(own.filter(F.col("row_id") % every == 0).join(nodes.select(F.col("id").alias("node"), "vec"), "vec").select(
@@ -346,6 +394,7 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
     starts = asked.select(F.col("node").alias("query")).distinct().join(
         units.select(F.col("id").alias("query"), "unit"), "query")
     beams = search(starts, edges, units)
+    units.unpersist()
     found = beams.select("query", F.explode(F.array_union(F.slice("ids", 1, RESCORED), F.array("query"))).alias("id"))
     pairs = found.join(nodes.select("id", "vec"), "id").join(
         nodes.select(F.col("id").alias("query"), F.col("vec").alias("query_vec")), "query")
