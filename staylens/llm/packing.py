@@ -31,6 +31,9 @@ from staylens.llm.pretokens import word_vocabulary
 
 CAPACITY = 2048
 END_ID = 0
+# Rounds in which patterns are added for the lengths that a fit leaves over, and such lengths in each.
+COLUMN_ROUNDS, HOT_LENGTHS = 4, 12
+EMPTY_PRICE = 1.0  # of a pattern's empty place, against an error of one piece of length one
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64())])
@@ -68,13 +71,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     return source.mapInArrow(encode, PIECES_DDL + (", ids array<long>" if keep_ids else ""))
 
 
-def enumerate_patterns(lengths: list[int], capacity: int, per_length: int = 12, slack: int = 0) -> list[tuple[int, ...]]:
-    """Patterns of two to four lengths whose sum is ``capacity`` or at most ``slack`` less.
+def enumerate_patterns(lengths: list[int], capacity: int, per_length: int = 12, slack: int | None = None) -> list[tuple[int, ...]]:
+    """Patterns of two to four lengths whose sum is ``capacity`` or at most ``slack`` less (a twentieth of it by default).
 
     All pairs of that kind, and for each longest member a spread of ``per_length`` second members (triples) and of
     pairs of them (quadruples) with the best-fitting last member, so there are O(lengths * per_length) patterns.
     """
     lengths = sorted(x for x in lengths if x < capacity)
+    slack = capacity // 20 if slack is None else slack
     found: set[tuple[int, ...]] = set()
 
     def close(head: tuple[int, ...]) -> None:
@@ -96,8 +100,26 @@ def enumerate_patterns(lengths: list[int], capacity: int, per_length: int = 12,
     return sorted(found, reverse=True)
 
 
-def nonnegative_least_squares(patterns: list[tuple[int, ...]], histogram: dict[int, int], steps: int = 300) -> np.ndarray:
-    """x >= 0 that brings sum(x_p * pattern_p) close to the histogram, each length's error weighted by the length.
+def patterns_around(hot: list[int], lengths: list[int], capacity: int) -> set[tuple[int, ...]]:
+    """Patterns with a length of ``hot`` once, twice or three times, every other length, and the best-fitting last one."""
+    found = set()
+    for a in hot:
+        for times in range(1, min(3, capacity // a) + 1):
+            head = (a,) * times
+            for b in (0, *lengths):
+                room = capacity - a * times - b
+                if room < 0:
+                    break
+                at = bisect_left(lengths, room + 1) - 1
+                rest = (*([b] if b else []), *([lengths[at]] if at >= 0 else []))
+                found.add(tuple(sorted((*head, *rest), reverse=True)))
+    return found
+
+
+def nonnegative_least_squares(patterns: list[tuple[int, ...]], histogram: dict[int, int], capacity: int,
+                              steps: int = 300) -> np.ndarray:
+    """x >= 0 that brings sum(x_p * pattern_p) close to the histogram, each length's error weighted by the length, with a
+    price on the space that patterns leave empty.
 
     Accelerated projected gradient on the sparse pattern matrix: a pattern has at most four entries.
     """
@@ -107,6 +129,7 @@ def nonnegative_least_squares(patterns: list[tuple[int, ...]], histogram: dict[i
     cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     weight = np.sqrt(np.array(lengths, dtype="f8"))
     target = np.array([histogram[x] for x in lengths], dtype="f8") * weight
+    price = EMPTY_PRICE * np.array([capacity - sum(p) for p in patterns], dtype="f8")
 
     def forward(x: np.ndarray) -> np.ndarray:
         return np.bincount(rows, x[cols], len(lengths)) * weight
@@ -121,7 +144,7 @@ def nonnegative_least_squares(patterns: list[tuple[int, ...]], histogram: dict[i
         probe /= norm
     rate, x, y, t = 1.0 / (1.05 * norm), np.zeros(len(patterns)), np.zeros(len(patterns)), 1.0
     for _ in range(steps):
-        after = np.maximum(0.0, y - rate * backward(forward(y) - target))
+        after = np.maximum(0.0, y - rate * (backward(forward(y) - target) + price))
         t_after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = after + (t - 1) / t_after * (after - x), after, t_after
     return x
@@ -132,9 +155,26 @@ def fit_patterns(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[t
     rest = Counter({x: n for x, n in histogram.items() if n > 0})
     plan = [((capacity,), rest.pop(capacity))] if rest[capacity] else []
     rest = +rest
-    patterns = enumerate_patterns(list(rest), capacity)
+    lengths = sorted(rest)
+    patterns = enumerate_patterns(lengths, capacity)
     if patterns:
-        x = nonnegative_least_squares(patterns, rest)
+        whole = sum(v * n for v, n in rest.items())
+        for _ in range(COLUMN_ROUNDS):
+            # A length that the fit leaves over, such as that of very many copies, needs more patterns of its own.
+            x = nonnegative_least_squares(patterns, rest, capacity, steps=120)
+            left = Counter(rest)
+            for p, n in zip(patterns, x.tolist()):
+                for v in p:
+                    left[v] -= n
+            over = sorted(lengths, key=lambda v: -v * left[v])[:HOT_LENGTHS]
+            if sum(v * max(0.0, left[v]) for v in lengths) <= 0.01 * whole:
+                break
+            used = {p for p, n in zip(patterns, x.tolist()) if n > 1e-6}
+            more = patterns_around([v for v in over if left[v] >= 1], lengths, capacity) - set(patterns)
+            if not more:
+                break
+            patterns = sorted(used | more, reverse=True)
+        x = nonnegative_least_squares(patterns, rest, capacity)
         for k in np.argsort(-x, kind="stable"):
             need = Counter(patterns[k])
             n = min(int(x[k] + 1e-9), *(rest[v] // m for v, m in need.items()))

@@ -83,3 +83,12 @@ def test_patterns_carry_most_of_a_large_table():
     by_pattern = sum(n for _, n in plan)
     whole = by_pattern + sum(n for _, n in packing.fill_rest(rest, 2048))
     assert by_pattern > 0.7 * whole and whole <= -(-sum(x * n for x, n in histogram.items()) // 2048) + 10
+
+
+def test_a_hot_length_gets_patterns_of_its_own():
+    rng = np.random.default_rng(1)
+    lengths = np.concatenate([np.minimum(2048, rng.lognormal(6.3, 1, 40_000).astype(int) + 1), np.full(20_000, 701)])
+    histogram = Counter(lengths.tolist())
+    plan, rest = packing.fit_patterns(histogram, 2048)
+    whole = sum(n for _, n in plan) + sum(n for _, n in packing.fill_rest(rest, 2048))
+    assert whole <= sum(n for _, n in packing.fill_rest(histogram, 2048)) * 1.01
