@@ -5,8 +5,8 @@ lowest rank first. The library wants merges as pairs of token strings instead, s
 every token into two tokens, in order of rank, with each byte written as its printable stand-in character. A pretoken
 that is itself a token is taken whole (``ignore_merges``).
 
-Encoding runs over Arrow batches in slices. Texts in plain Latin characters are split by an equal pattern of the
-standard library's regular expressions, others by the given pattern itself.
+Encoding runs over Arrow batches in slices. Chunks in plain Latin characters are split by an equal pattern in Arrow's
+regular expressions, others by the given pattern itself.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,13 +26,16 @@ from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
 from staylens.llm.common import pick, slices
-from staylens.llm.pretokens import BYTE_CHARS, CACHE_ENTRIES, NOT_PLAIN, Cache, ids_of_chunks, model_ids
+from staylens.llm.pretokens import (
+    BYTE_CHARS, CACHE_ENTRIES, CUT, PLAIN_LETTERS, ids_of_chunks, ids_of_distinct, model_ids,
+)
 
-# PATTERN of the vocabulary, for texts without characters outside ``NOT_PLAIN``'s set.
-PLAIN_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
+# Chunks of these characters, with single white space only, are split by an equal of the vocabulary's pattern that Arrow's
+# regular expressions can run (they have no look-ahead, which matters for runs of white space).
+PLAIN_CHUNK = f"^[ \\t\\n\\x0b\\x0c\\r]?([\\x21-\\x7e{PLAIN_LETTERS}]+([ \\t\\n\\x0b\\x0c\\r][\\x21-\\x7e{PLAIN_LETTERS}]+)*)?$"
+PLAIN_SPLIT = (rf"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z{PLAIN_LETTERS}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[ \t\n\x0b\x0c\r]")
 
-# A mark that no cut text holds, and what sends a text down the other way: white space beside a space, or the mark.
-CUT = "\x1f"
+# What sends a text down the other way: white space beside a space, or the mark that cuts texts.
 _WHITE = r"\x09-\x0d\x1f\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE_RUN = f" [{_WHITE}]|[{_WHITE}] |\x1f"
 
@@ -64,25 +66,28 @@ class ByteVocabulary:
         model = BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=[(shown[a], shown[b]) for a, b in merges_of(ranks)],
                     ignore_merges=True, cache_capacity=0)
         self.pieces = model_ids(model, limit)
-        self.chunks = Cache(self._chunk, limit)
         # White space as Unicode's property has it; Python's own class also holds four control characters.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}")
                                    .replace(r"\s", r"\p{White_Space}"))
         self.token_bytes = {r: t for t, r in ranks.items()}
 
-    def _chunk(self, text: str) -> bytes:
-        found = self.split if NOT_PLAIN.search(text) else PLAIN_SPLIT
-        return b"".join(map(self.pieces.__getitem__, found.findall(text)))
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
+
+    @staticmethod
+    def _cut(chunks: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(pc.replace_substring_regex(chunks, f"({PLAIN_SPLIT})", rf"\1{CUT}"), CUT)
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each whole text (null: none). A pretoken takes at most one space before it, so a text is cut before
-        every space, unless one stands beside other white space: such a text is one chunk, kept in no cache."""
+        every space, unless one stands beside other white space: such a text is one chunk."""
         texts = pc.fill_null(texts, "")
         odd = np.asarray(pc.match_substring_regex(texts, SPACE_RUN).to_numpy(zero_copy_only=False), dtype=bool)
         marked = pc.replace_substring(pc.if_else(pa.array(odd), "", texts), " ", CUT + " ")
-        cut = ids_of_chunks(pc.split_pattern(marked, CUT), self.chunks)
+        cut = ids_of_chunks(pc.split_pattern(marked, CUT), lambda c: ids_of_distinct(
+            c, PLAIN_CHUNK, self._cut, self.pieces, self._whole))
         for ids, whole, text in zip(cut, odd.tolist(), texts):
-            yield np.frombuffer(self._chunk(text.as_py()), "<u4") if whole else ids
+            yield np.frombuffer(self._whole(text.as_py()), "<u4") if whole else ids
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all(pa.array([text], pa.string()))).tolist()

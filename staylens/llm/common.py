@@ -14,7 +14,7 @@ from staylens.session import ensure_checkpoint_dir
 
 # An Arrow batch is worked on in slices of at most so many rows and bytes of text (one text may be longer).
 SLICE_ROWS = 4000
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ DOCS_PER_LANGUAGE = 600
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
 # Words kept in a worker's cache of code lengths, and the longest word that is kept (bytes).
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+CACHE_WORDS, CACHE_BYTES = 150_000, 48
 
 
 def held_out(id_col: Column) -> Column:

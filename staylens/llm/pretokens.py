@@ -1,8 +1,9 @@
 """Batch token ids through bounded caches of chunks of text.
 
 Both vocabularies split a text into pretokens that are merged independently, and texts repeat their words. So Arrow
-splits a slice of texts into chunks at places where no pretoken can cross, Arrow's dictionary finds the distinct chunks,
-and only those that a worker's cache lacks go to the ``tokenizers`` library. numpy puts the ids of each text together.
+splits a slice of texts into chunks at places where no pretoken can cross, finds the distinct chunks by its dictionary,
+splits those into pretokens and finds the distinct ones again. Only pretokens that a worker's cache lacks go to the
+``tokenizers`` library. numpy puts the ids of each chunk and then of each text together.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ import pyarrow as pa  # noqa: E402
 import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-# A worker's caches are emptied when they hold so many entries (about 100 MB each); results don't depend on it.
-CACHE_ENTRIES = 500_000
+# A worker's cache is emptied when it holds so many pretokens (about 85 MB); results don't depend on it.
+CACHE_ENTRIES = 400_000
+# A mark that no chunk holds where one is split by it.
+CUT = "\x1f"
 
 
 def byte_characters() -> list[str]:
@@ -60,29 +63,65 @@ def model_ids(model, limit: int) -> Cache:
     return Cache(lambda piece: packed([t.id for t in model.tokenize(as_byte_chars(piece))]), limit)
 
 
-def ids_of_chunks(chunks: pa.ListArray, ids: Cache) -> Iterator[np.ndarray]:
-    """For each list of chunks, the ids of its chunks one after the other."""
+class Ragged:
+    """Id lists of many chunks, one after the other."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths = flat, lengths
+        self.firsts = np.cumsum(lengths) - lengths
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> Ragged:
+        return cls(np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), "i8", len(parts)) // 4)
+
+    def take(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of these chunks, one after the other."""
+        n = self.lengths[codes]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(n) else 0
+        return self.flat[np.repeat(self.firsts[codes] - ends + n, n) + np.arange(total)]
+
+
+def ids_of_pieces(pieces: pa.ListArray, ids: Cache) -> Ragged:
+    """Ids of each list of pretokens. An empty pretoken has none."""
+    coded = pieces.flatten().dictionary_encode()
+    table = Ragged.of([ids[p] if p else b"" for p in coded.dictionary.to_pylist()])
+    codes = np.asarray(coded.indices)
+    sums = np.concatenate([[0], np.cumsum(table.lengths[codes])])
+    offsets = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
+    return Ragged(table.take(codes), np.diff(sums[offsets]))
+
+
+def ids_of_chunks(chunks: pa.ListArray, encode: Callable[[pa.Array], Ragged]) -> Iterator[np.ndarray]:
+    """For each list of chunks, the ids of its chunks one after the other; ``encode`` sees the distinct chunks."""
     offsets = np.asarray(chunks.offsets)
     coded = chunks.values.dictionary_encode()
-    parts = list(map(ids.__getitem__, coded.dictionary.to_pylist()))
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    lengths = np.fromiter(map(len, parts), "i8", len(parts)) // 4
-    firsts = np.cumsum(lengths) - lengths
+    table = encode(coded.dictionary)
     codes = np.asarray(coded.indices)
     for at, to in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        own = codes[at:to]
-        n = lengths[own]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(n) else 0
-        yield flat[np.repeat(firsts[own] - ends + n, n) + np.arange(total)]
+        yield table.take(codes[at:to])
 
 
-# Lower-case text in these characters is split here as the vocabulary's own normaliser and splitter do; anything else
-# goes to the library whole. Latin letters with marks up to U+024F are single, composed letters (except U+0130).
-_PLAIN = r"\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ"
-NOT_PLAIN = re.compile(f"[^{_PLAIN}]")
-WORD_PRETOKENS = re.compile(
-    r"[a-zß-öø-ɏ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
+def ids_of_distinct(chunks: pa.Array, plain: str, cut: Callable[[pa.Array], pa.ListArray], ids: Cache,
+                    other: Callable[[str], bytes]) -> Ragged:
+    """Ids of distinct chunks: those that match ``plain`` are cut into pretokens by Arrow, each other one goes to ``other``."""
+    fast = np.asarray(pc.match_substring_regex(chunks, plain).to_numpy(zero_copy_only=False), dtype=bool)
+    if fast.all():
+        return ids_of_pieces(cut(chunks), ids)
+    quick = ids_of_pieces(cut(chunks.filter(pa.array(fast))), ids)
+    slow = Ragged.of([other(c) for c in chunks.filter(pa.array(~fast)).to_pylist()])
+    both = Ragged(np.concatenate([quick.flat, slow.flat]), np.concatenate([quick.lengths, slow.lengths]))
+    place = np.empty(len(chunks), "i8")
+    place[np.flatnonzero(fast)] = np.arange(len(quick.lengths))
+    place[np.flatnonzero(~fast)] = np.arange(len(quick.lengths), len(both.lengths))
+    return Ragged(both.take(place), both.lengths[place])
+
+
+# Words in these characters are split here as the vocabulary's own normaliser and splitter do; any other goes to the
+# library whole. Latin letters with marks up to U+024F are single, composed letters (except U+0130).
+PLAIN_LETTERS = "À-ÖØ-öø-įı-ɏ"
+PLAIN_WORD = f"^[\x21-\x7e{PLAIN_LETTERS}]*$"
+WORD_PRETOKENS = r"[a-zß-öø-ɏ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+"
 
 
 class WordVocabulary:
@@ -92,17 +131,20 @@ class WordVocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = model_ids(self.tokenizer.model, limit)
-        self.words = Cache(self._word, limit)
 
-    def _word(self, word: str) -> bytes:
-        if NOT_PLAIN.search(word):
-            return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, WORD_PRETOKENS.findall(word.lower())))
+    def _whole(self, word: str) -> bytes:
+        return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _cut(words: pa.Array) -> pa.ListArray:
+        marked = pc.replace_substring_regex(pc.utf8_lower(words), f"({WORD_PRETOKENS})", rf"\1{CUT}")
+        return pc.split_pattern(marked, CUT)
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each whole text (null: none). ASCII white space separates pretokens in any text, and no
         normalisation crosses it."""
-        return ids_of_chunks(pc.ascii_split_whitespace(pc.fill_null(texts, "")), self.words)
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        return ids_of_chunks(words, lambda c: ids_of_distinct(c, PLAIN_WORD, self._cut, self.pieces, self._whole))
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all(pa.array([text], pa.string()))).tolist()
