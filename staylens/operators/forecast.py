@@ -29,7 +29,7 @@ from staylens.functions.semantics import checkpointed, quantiles
 
 ALL_SERIES = "all"
 HORIZON = 90
-MIN_DAYS = 2  # a line needs two days; shorter series than the whole design get fewer terms
+MIN_DAYS = 14  # default of ``fit_models``; from two days on a series can be fitted, with fewer terms
 MONEY_SCALE = 10
 Z95 = 1.959963984540054
 CHANGEPOINTS = 25

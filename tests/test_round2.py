@@ -127,7 +127,7 @@ def test_daily_means_keep_all_decimals(spark):
 def test_short_series_are_fitted(spark):
     rows = [("s", f"2024-01-{d:02d}", 100.0 + d) for d in range(1, 6)] + [("one", "2024-01-01", 5.0)]
     series = spark.createDataFrame(rows, "series string, ds string, y double").withColumn("ds", F.to_date("ds"))
-    fc, models = T.forecast(series, 2)
+    fc, models = T.forecast(series, 2, min_days=2)
     assert {r.series: r.status for r in models.collect()} == {"s": "ok", "one": "skipped"}
     last = fc.where("series = 's'").orderBy(F.desc("ds")).first()
     assert abs(last.yhat - 107) < 0.5
