@@ -40,6 +40,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int =
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker may sit idle beside others after this task
 
 
 def materialised(df: DataFrame) -> DataFrame:
