@@ -117,11 +117,13 @@ def ids_of_distinct(chunks: pa.Array, plain: str, cut: Callable[[pa.Array], pa.L
     return Ragged(both.take(place), both.lengths[place])
 
 
+WORD_LETTERS = "a-zß-öø-ɏ"
 # Words in these characters are split here as the vocabulary's own normaliser and splitter do; any other goes to the
-# library whole. Latin letters with marks up to U+024F are single, composed letters (except U+0130).
-PLAIN_LETTERS = "À-ÖØ-öø-įı-ɏ"
+# library whole. Latin letters with marks up to U+024F are single, composed letters; those whose lower case is longer or
+# lies outside WORD_LETTERS (as of Ə, Ɔ and İ) aren't among them.
+PLAIN_LETTERS = "".join(c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(f"[{WORD_LETTERS}]", c.lower()))
 PLAIN_WORD = f"^[\x21-\x7e{PLAIN_LETTERS}]*$"
-WORD_PRETOKENS = r"[a-zß-öø-ɏ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+"
+WORD_PRETOKENS = rf"[{WORD_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{{-~]+"
 
 
 class WordVocabulary:

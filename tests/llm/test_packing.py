@@ -22,6 +22,12 @@ def test_ids_equal_the_library(text):
     assert OURS.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_every_plain_character_inside_a_word_equals_the_library():
+    odd = [w for c in map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]) for w in (f"q{c}rar", f"Q{c}RAR", f"{c}a", f"AK{c}", c + c)
+           if OURS.encode(w) != LIBRARY.encode(w, add_special_tokens=False).ids]
+    assert odd == []
+
+
 def check(docs, capacity=2048):
     got = packing.pack_documents(docs, PATH, capacity=capacity).collect()
     want = Counter()
