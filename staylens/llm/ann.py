@@ -3,14 +3,17 @@
 * ``build_graph``: first lists come from short blocks of rows that random projections place together. Each round of
   NN-descent then joins every node's list (its neighbours and a bounded sample of the nodes that list it) with their
   vectors, compares the members of a list with one another, as neighbours of neighbours, and merges what is nearer than
-  a member's farthest neighbour into that member's list.
-* ``search``: every query expands the nearest nodes of its beam that it hasn't expanded yet, as many in each round as
-  ``EXPAND`` says, by a join with the graph, whose rows carry the vectors of their neighbours; at last the best of the beam
-  are scored on the original vectors in double precision.
+  a member's farthest neighbour into that member's list, until a round changes hardly any edge (``CHANGED``).
+* ``search``: every query expands the nearest nodes of its beam that it hasn't expanded yet, by a join with the graph, whose
+  rows carry the vectors of their neighbours. Each round expands as many as all before it, and a query ends when such a
+  round leaves its best as they were (from ``LEAST`` on). At last the best of the beam are
+  scored on the original vectors in double precision.
+
+Similarities are the cosine less one, as half the negative squared distance of half-precision unit vectors.
 
 Equal vectors are one node, so copies, however many, are compared once; of a node's ids only the few smallest can be in a
-result, as ties go to the smaller id. Lists, beams and blocks have fixed lengths, so no task gathers more than these.
-The bounds (neighbours, sampled listers, expansions) are the index's approximation: every vector is indexed, and recall
+result, as ties go to the smaller id. Lists and blocks have fixed lengths, and a beam has twice the nodes it expanded.
+The bounds (neighbours, sampled listers) are the index's approximation: every vector is indexed, and recall
 is measured against brute force in tests/llm and stated in the README.
 """
 
@@ -30,15 +33,15 @@ NEIGHBOURS = 16  # of a node
 LISTERS = 16  # of the nodes that list a node, picked by a hash
 BLOCK = 64  # rows of a first block
 PROJECTIONS = 4  # first blocks that a row is in
-DESCENTS = 3  # rounds of NN-descent
-PER_LIST = 8  # proposals that one list makes to one member
-EXPAND = (48, 96, 160, 256, 400, 600)  # nodes that a query expands in each round
+CHANGED = 0.01  # share of the edges; NN-descent ends with a round that changes fewer
+LEAST = 512  # nodes that a query expands before it may end
 RESCORED = 64  # of a beam, on the original vectors
+NONE = -4.0  # below any similarity
 ROWS_A_TASK = 4000  # of the small frames made here
 
 EDGES = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("sim", pa.float32())])
 EDGES_DDL = "id long, near long, sim float"
-PAIRS = pa.schema([("id", pa.int64()), ("member", pa.int64()), ("own", pa.bool_()), ("floor", pa.float32())])
+PAIRS = pa.schema([("id", pa.int64()), ("member", pa.int64()), ("own", pa.bool_())])
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -51,6 +54,15 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], "u1")[ends[0]:ends[-1]].view("<f2").reshape(len(column), -1).astype("f4")
 
 
+def _all_pairs(x: np.ndarray) -> np.ndarray:
+    """Similarity of every row with every other (``NONE`` with itself), by products from the rows' mean."""
+    y = x - x.mean(axis=0)
+    half = np.einsum("ij,ij->i", y, y) / 2
+    sims = np.minimum(y @ y.T - half[:, None] - half, 0)
+    np.fill_diagonal(sims, NONE)
+    return sims
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by ``key`` as tables of whole groups, with the groups' first rows (and the end) in each."""
     held: list[pa.RecordBatch] = []
@@ -157,9 +169,8 @@ def first_lists(units: DataFrame, n: int) -> DataFrame:
         ids = np.concatenate([b["id"].to_numpy() for b in held])
         x = np.concatenate([_vectors(b["unit"]) for b in held])
         for rows in np.array_split(np.arange(len(ids)), -(-len(ids) // BLOCK)):
-            sims = x[rows] @ x[rows].T
-            np.fill_diagonal(sims, -2)
-            a, b = np.nonzero(sims > -2)
+            sims = _all_pairs(x[rows])
+            a, b = np.nonzero(sims > NONE)
             yield _batch(EDGES, *best_of(ids[rows][a], ids[rows][b], sims[a, b], NEIGHBOURS))
 
     tasks = max(1, n * PROJECTIONS // ROWS_A_TASK)
@@ -207,9 +218,15 @@ def _few(ids: np.ndarray, members: np.ndarray, most: int) -> np.ndarray:
     return np.sort(order[rank < most])
 
 
-def lists(edges: DataFrame, units: DataFrame) -> DataFrame:
-    """``id, member, own, floor, unit``, sorted by id: each node's neighbours (``own``) and nodes that list it, with their
-    vectors and, where it is at hand, the similarity that a node must exceed to enter the member's list.
+def floors(edges: DataFrame) -> DataFrame:
+    """``id, floor``: the similarity that a node must exceed to enter a node's list."""
+    full = F.count(F.lit(1)) >= NEIGHBOURS
+    return edges.groupBy("id").agg(F.when(full, F.min("sim")).otherwise(F.lit(NONE)).cast("float").alias("floor"))
+
+
+def lists(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, member, own`` and the columns of ``nodes`` for each member, sorted by id: each node's neighbours (``own``) and
+    nodes that list it.
 
     A task passes on at most ``LISTERS`` nodes that list a node, so a node that very many list stays small."""
 
@@ -217,17 +234,13 @@ def lists(edges: DataFrame, units: DataFrame) -> DataFrame:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        ids, near, sims = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("id", "near", "sim"))
-        # A node's edges are together, nearest first: its last one has its floor, if its list is full.
-        ends = np.append(ids[1:] != ids[:-1], True)
-        sizes = np.diff(np.append(-1, np.flatnonzero(ends)))
-        floor = np.repeat(np.where(sizes >= NEIGHBOURS, sims[ends], np.float32(-2)), sizes)
+        ids, near = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("id", "near"))
         few = _few(near, ids, LISTERS)
-        yield _batch(PAIRS, ids, near, np.ones(len(ids), bool), np.full(len(ids), -2.0))
-        yield _batch(PAIRS, near[few], ids[few], np.zeros(len(few), bool), floor[few])
+        yield _batch(PAIRS, ids, near, np.ones(len(ids), bool))
+        yield _batch(PAIRS, near[few], ids[few], np.zeros(len(few), bool))
 
-    rows = edges.mapInArrow(pairs, "id long, member long, own boolean, floor float")
-    known = units.select(F.col("id").alias("member"), "unit").hint("shuffle_hash")
+    rows = edges.mapInArrow(pairs, "id long, member long, own boolean")
+    known = nodes.withColumnRenamed("id", "member").hint("shuffle_hash")
     return rows.join(known, "member").repartition("id").sortWithinPartitions("id")
 
 
@@ -253,38 +266,39 @@ def descend(edges: DataFrame, units: DataFrame) -> DataFrame:
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in groups(batches, "id"):
             table = _cut_lists(table)
-            x, floors, ids = _vectors(table["unit"].chunk(0)), table["floor"].to_numpy(), table["member"].to_numpy()
+            x, least, ids = _vectors(table["unit"].chunk(0)), table["floor"].to_numpy(), table["member"].to_numpy()
             at = _starts(table["id"].to_numpy())
             found = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                sims = x[a:b] @ x[a:b].T
-                np.fill_diagonal(sims, -2)
-                if b - a > PER_LIST:  # each member hears of the nearest of the list
-                    sims[sims < -np.partition(-sims, PER_LIST - 1, axis=1)[:, PER_LIST - 1:PER_LIST]] = -2
-                to, of = np.nonzero(sims > floors[a:b, None])
+                sims = _all_pairs(x[a:b])
+                to, of = np.nonzero(sims > least[a:b, None])
                 found.append((ids[a + to], ids[a + of], sims[to, of]))
             yield _batch(EDGES, *best_of(*(np.concatenate(c) for c in zip(*found)), NEIGHBOURS))
 
-    return merged(edges.union(lists(edges, units).mapInArrow(propose, EDGES_DDL)), NEIGHBOURS)
+    nodes = units.join(floors(edges).hint("shuffle_hash"), "id", "left").fillna(NONE, ["floor"])
+    return merged(edges.union(lists(edges, nodes).mapInArrow(propose, EDGES_DDL)), NEIGHBOURS)
 
 
-def build_graph(units: DataFrame, n: int, descents: int = DESCENTS) -> DataFrame:
+def build_graph(units: DataFrame, n: int, changed: float = CHANGED) -> DataFrame:
     """Edges ``id, near, sim`` of the neighbour graph over ``units`` (``n`` rows); a node's edges are together."""
     edges = materialised(merged(first_lists(units, n), NEIGHBOURS))
-    for _ in range(descents):
-        edges = materialised(descend(edges, units))
-    return edges
+    while True:
+        before, edges = edges, materialised(descend(edges, units))
+        # Lists only ever get nearer, so this ends.
+        if edges.join(before, ["id", "near"], "left_anti").count() <= changed * NEIGHBOURS * n:
+            return edges
 
 
 STATE = "query long, unit binary, ids array<long>, sims array<float>, open array<boolean>"
 
 
-def search(starts: DataFrame, edges: DataFrame, units: DataFrame, expand: tuple[int, ...] = EXPAND) -> DataFrame:
+def search(starts: DataFrame, edges: DataFrame, units: DataFrame, k: int, least: int = LEAST) -> DataFrame:
     """``query, ids, sims``: the beam of each query node (``query``, its ``unit``) after greedy search from itself.
 
-    A beam is one row of at most ``sum(expand)`` nodes. A round joins ``expand`` rows of the graph per query.
+    A query ends when its nearest ``k`` (beside itself) outlast a round that doubles the nodes it has expanded, ``least`` at
+    least, or when nothing is left to expand. A beam is one row of at most twice those nodes; a round joins a row of the
+    graph per node that it expands.
     """
-    beam = sum(expand)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in groups(batches, "id"):
@@ -309,14 +323,15 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, expand: tuple[
             at = np.asarray(members.offsets)
             ids, x = np.asarray(members.flatten()), _vectors(near.flatten())
             at = at - at[0]
-            sims = np.einsum("ij,ij->i", x, np.repeat(q, np.diff(at), axis=0))
+            apart = x - np.repeat(q, np.diff(at), axis=0)
+            sims = np.einsum("ij,ij->i", apart, apart) / -2
             keep = sims > np.repeat(floors, np.diff(at))
             kept = np.concatenate([[0], np.cumsum(keep)])[at].astype("i4")
             yield pa.RecordBatch.from_arrays([b["query"], pa.ListArray.from_arrays(pa.array(kept), pa.array(ids[keep])),
                                               pa.ListArray.from_arrays(pa.array(kept), pa.array(sims[keep].astype("f4")))],
                                              schema=schema)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch], beam: int, may_end: bool) -> Iterator[pa.RecordBatch]:
         names = ["query", "unit", "ids", "sims", "open"]
         for table, at in groups(batches, "query"):
             rows = []
@@ -334,17 +349,19 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, expand: tuple[
                 new[:last - first] = table["open"][own].as_py()
                 _, once = np.unique(ids, return_index=True)
                 order = once[np.lexsort((ids[once], -sims[once]))][:beam]
+                if may_end and np.array_equal(ids[order][:k + 1], ids[:last - first][:k + 1]):
+                    new[:] = False
                 rows.append((table["query"][own].as_py(), table["unit"][own].as_py(), ids[order], sims[order], new[order]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int64()),
                                                              pa.list_(pa.float32()), pa.list_(pa.bool_())))], names=names)
 
-    def step(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    def step(batches: Iterator[pa.RecordBatch], most: int, beam: int) -> Iterator[pa.RecordBatch]:
         """The nodes that each beam expands next, with the least similarity that would still enter the beam."""
         for b in batches:
             out = []
             for q, unit, ids, sims, new in zip(*(b[c].to_pylist() for c in ("query", "unit", "ids", "sims", "open"))):
-                floor = sims[-1] if len(ids) >= beam else -2.0
+                floor = sims[beam - 1] if len(ids) >= beam else NONE
                 out += [(n, q, unit, floor) for n, ok in zip(ids, new) if ok][:most]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
@@ -363,16 +380,18 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, expand: tuple[
             yield pa.RecordBatch.from_arrays([b["query"], b["unit"], b["ids"], b["sims"], pa.array(marks, pa.list_(pa.bool_()))],
                                              names=["query", "unit", "ids", "sims", "open"])
 
-    state = materialised(starts.select("query", "unit", F.array("query").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims"),
+    state = materialised(starts.select("query", "unit", F.array("query").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("sims"),
                                        F.array(F.lit(True)).alias("open")))
-    for most in expand:
-        frontier = state.mapInArrow(partial(step, most=most), "node long, query long, unit binary, floor float")
+    most, total = 2 * NEIGHBOURS, 0
+    while not state.filter(F.exists("open", lambda x: x)).isEmpty():
+        total, beam = total + most, max(2 * (total + most), least)
+        frontier = state.mapInArrow(partial(step, most=most, beam=beam), "node long, query long, unit binary, floor float")
         seen = frontier.hint("shuffle_hash").join(graph, "node").select("query", "unit", "floor", "members", "units").mapInArrow(
             look, "query long, ids array<long>, sims array<float>")
         both = state.mapInArrow(partial(closed, most=most), STATE).unionByName(seen, allowMissingColumns=True)
-        state = materialised(both.repartition("query").sortWithinPartitions("query").mapInArrow(merge, STATE))
-        if state.filter(F.exists("open", lambda x: x)).isEmpty():
-            break  # every beam has expanded all that it holds
+        state = materialised(both.repartition("query").sortWithinPartitions("query").mapInArrow(
+            partial(merge, beam=beam, may_end=total >= least), STATE))
+        most = total
     graph.unpersist()
     return state.select("query", "ids", "sims")
 
@@ -393,7 +412,7 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
         F.col("row_id").alias("query_id"), "node"))
     starts = asked.select(F.col("node").alias("query")).distinct().join(
         units.select(F.col("id").alias("query"), "unit"), "query")
-    beams = search(starts, edges, units)
+    beams = search(starts, edges, units, k)
     units.unpersist()
     found = beams.select("query", F.explode(F.array_union(F.slice("ids", 1, RESCORED), F.array("query"))).alias("id"))
     pairs = found.join(nodes.select("id", "vec"), "id").join(

@@ -41,6 +41,20 @@ def test_recall_on_points_without_structure(spark):
         assert len(rows) == 5 and scores == sorted(scores, reverse=True)
 
 
+def test_descent_goes_on_until_the_graph_is_built(spark):
+    x = np.random.default_rng(5).standard_normal((4000, 32)).astype("f4")
+    _, nodes = ann.nodes_of(frame(spark, [(k, v) for k, v in enumerate(x.tolist())]))
+    units = ann.packed_units(nodes).repartition("id").persist()
+    edges = ann.build_graph(units, len(x))
+    before, after = ({(r.id, r.near) for r in e.collect()} for e in (edges, ann.descend(edges, units)))
+    units.unpersist()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    want = {(k, int(j)) for k, row in enumerate(np.argpartition(-sims, 16, axis=1)[:, :16]) for j in row}
+    assert len(after - before) <= 0.01 * len(want) and len(before & want) >= 0.7 * len(want)
+
+
 def test_copies_ties_and_unusable_rows(spark):
     rng = np.random.default_rng(4)
     one = [1.0, 2.0, 3.0, 4.0]
