@@ -6,10 +6,11 @@
   a member's farthest neighbour into that member's list, until a round changes hardly any edge (``CHANGED``).
 * ``search``: every query expands the nearest nodes of its beam that it hasn't expanded yet, by a join with the graph, whose
   rows carry the vectors of their neighbours. Each round expands as many as all before it, and a query ends when such a
-  round leaves its best as they were (from ``LEAST`` on). At last the best of the beam are
+  round leaves its best as they were (from ``LEAST`` on). At last all of the beam that rounding can't tell from the best are
   scored on the original vectors in double precision.
 
-Similarities are the cosine less one, as half the negative squared distance of half-precision unit vectors.
+Similarities are the cosine less one, as half the negative squared distance of single-precision unit vectors: near copies
+differ in it by far more than its rounding error, whereas a product of vectors would lose their differences.
 
 Equal vectors are one node, so copies, however many, are compared once; of a node's ids only the few smallest can be in a
 result, as ties go to the smaller id. Lists and blocks have fixed lengths, and a beam has twice the nodes it expanded.
@@ -35,7 +36,7 @@ BLOCK = 64  # rows of a first block
 PROJECTIONS = 4  # first blocks that a row is in
 CHANGED = 0.01  # share of the edges; NN-descent ends with a round that changes fewer
 LEAST = 512  # nodes that a query expands before it may end
-RESCORED = 64  # of a beam, on the original vectors
+RESCORED = 64  # of a beam at least, on the original vectors
 NONE = -4.0  # below any similarity
 ROWS_A_TASK = 4000  # of the small frames made here
 
@@ -49,9 +50,9 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    """Packed half-precision vectors (none null, all of one length) as a float matrix."""
+    """Packed single-precision vectors (none null, all of one length) as a float matrix."""
     ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset:column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], "u1")[ends[0]:ends[-1]].view("<f2").reshape(len(column), -1).astype("f4")
+    return np.frombuffer(column.buffers()[2], "u1")[ends[0]:ends[-1]].view("<f4").reshape(len(column), -1)
 
 
 def _all_pairs(x: np.ndarray) -> np.ndarray:
@@ -132,14 +133,14 @@ def smallest_ids(own: DataFrame, nodes: DataFrame, keep: int) -> DataFrame:
 
 
 def packed_units(nodes: DataFrame) -> DataFrame:
-    """``id, unit``: vectors of length one in half precision, for building and walking the graph."""
+    """``id, unit``: vectors of length one in single precision, for building and walking the graph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = np.stack(b["vec"].to_numpy(zero_copy_only=False)).astype("f8")
                 x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
-                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f2")
+                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
                 yield pa.RecordBatch.from_arrays([b["id"], pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "unit"])
 
     return nodes.mapInArrow(run, "id long, unit binary")
@@ -414,7 +415,12 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
         units.select(F.col("id").alias("query"), "unit"), "query")
     beams = search(starts, edges, units, k)
     units.unpersist()
-    found = beams.select("query", F.explode(F.array_union(F.slice("ids", 1, RESCORED), F.array("query"))).alias("id"))
+    # Whatever rounding can't tell from the last of the best: single-precision distances err by less than this slack.
+    apart = F.sqrt(-2 * F.element_at("sims", F.least(F.lit(k + 1), F.size("sims"))).cast("double"))
+    far = F.pow(apart * (1 + 2.0 ** -14) + 2.0 ** -20, 2) / -2
+    within = F.size(F.filter("sims", lambda x: x >= far))
+    found = beams.withColumn("_n", F.greatest(F.lit(RESCORED), within)).select("query", F.explode(
+        F.array_union(F.expr("slice(ids, 1, _n)"), F.array("query"))).alias("id"))
     pairs = found.join(nodes.select("id", "vec"), "id").join(
         nodes.select(F.col("id").alias("query"), F.col("vec").alias("query_vec")), "query")
 

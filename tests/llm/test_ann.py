@@ -55,6 +55,17 @@ def test_descent_goes_on_until_the_graph_is_built(spark):
     assert len(after - before) <= 0.01 * len(want) and len(before & want) >= 0.7 * len(want)
 
 
+def test_near_copies_are_told_apart(spark):
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal(64)
+    for spread in (0.01, 0.003):
+        x = np.float32(middle + spread * rng.standard_normal((2000, 64)))
+        vectors = list(enumerate(x.tolist()))
+        got, want = found(ann.nearest(frame(spark, vectors))), brute(vectors)
+        hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+        assert got.keys() == want.keys() and hits >= 0.95 * 5 * len(want)
+
+
 def test_copies_ties_and_unusable_rows(spark):
     rng = np.random.default_rng(4)
     one = [1.0, 2.0, 3.0, 4.0]
