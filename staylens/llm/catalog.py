@@ -8,11 +8,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import ann, byte_bpe, chat_format, html_extract, language_id, packing, pii, quality_rules, secret_scan, simhash
+from staylens.llm import alignment, ann, byte_bpe, chat_format, html_extract, language_id, packing, pii, quality_rules, secret_scan, simhash
 from staylens.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +56,14 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *ALIGNED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_role_repair, op2_pattern_packing, op3_ppm_language, op4_nn_descent, op5_secret_ownership, op6_simhash,
-        op7_byte_bpe, op8_dom_model, op9_rule_ledger, op10_candidate_boosting)
+        op7_byte_bpe, op8_dom_model, op9_rule_ledger, op10_candidate_boosting, op11_pair_bitmaps)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"

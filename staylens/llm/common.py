@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,3 +53,11 @@ def materialised(df: DataFrame) -> DataFrame:
 def unsigned_hex(c: Column) -> Column:
     """A long's 64 bits as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table as Parquet to the shared folder of ``spark.checkpoint.dir`` and read it again: its rows then stay as
+    they are whatever executor is lost, and later passes read the columns they need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
