@@ -8,7 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import alignment, ann, byte_bpe, chat_format, html_extract, language_id, packing, pii, quality_rules, secret_scan, simhash
+from staylens.llm import (
+    alignment, ann, byte_bpe, chat_format, html_extract, language_id, lexical, mixing, packing, pii, quality_rules, secret_scan, simhash,
+)
 from staylens.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -60,10 +62,19 @@ def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), *ALIGNED)
 
 
+def op12_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_role_repair, op2_pattern_packing, op3_ppm_language, op4_nn_descent, op5_secret_ownership, op6_simhash,
-        op7_byte_bpe, op8_dom_model, op9_rule_ledger, op10_candidate_boosting, op11_pair_bitmaps)
+        op7_byte_bpe, op8_dom_model, op9_rule_ledger, op10_candidate_boosting, op11_pair_bitmaps,
+        op12_sainte_lague, op13_pair_maxscore)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -134,4 +145,5 @@ FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r) LEFT JOIN v USING (r)
 """
 
 
-SQL: dict[str, str] = {"op5_secret_ownership": _secret_sql(), "op9_rule_ledger": _rule_sql()}
+SQL: dict[str, str] = {"op5_secret_ownership": _secret_sql(), "op9_rule_ledger": _rule_sql(),
+                       "op12_sainte_lague": mixing.mix_sql(), "op13_pair_maxscore": lexical.rank_sql()}
