@@ -46,7 +46,8 @@ from staylens.llm.pretokens import BYTE_CHARS
 CHUNK_DOCS = 1 << 16
 CHUNK_LINKS = 4_000_000
 DENSE = 4096          # from so many documents on a container is a bitmap
-CACHE_SEGMENTS = 200_000
+CACHE_SEGMENTS = 100_000
+SLICE_BYTES = 2 << 20
 WINDOW = 1 << 21      # a longer text is split into segments window by window
 ID_BITS = 23          # of a token id in a pair's key
 
@@ -80,15 +81,19 @@ class Aligner:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte_of = {c: k for k, c in enumerate(BYTE_CHARS)}
-        self.a_bytes = {i: bytes([byte_of[c] for c in token]) if all(c in byte_of for c in token) else token.encode()
-                        for token, i in self.a.get_vocab().items()}
+        known = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(known.values()) + 1)
+        for token, i in known.items():
+            self.a_bytes[i] = bytes([byte_of[c] for c in token]) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece holds a space after another character: texts can't be cut at spaces")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
-        if max(max(self.a_bytes), len(pieces)) >> ID_BITS:
+        if max(len(self.a_bytes), len(pieces)) >> ID_BITS:
             raise ValueError(f"token ids need more than {ID_BITS} bits")
+        self.a_size, self.b_size = (np.array([len(x) for x in table], "i8") for table in (self.a_bytes, self.b_bytes))
+        self.shown = [str(i) for i in range(max(len(self.a_bytes), len(pieces)))]
         self.limit = limit
         self.clear()
 
@@ -122,21 +127,22 @@ class Aligner:
         new = [" " + s for s in islice(self.numbers, known, None)] if len(self.numbers) > known else []
         if not new:
             return
-        a_ids = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
+        a_ids = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
         # B adds a text's first space itself, but not to an empty text: a text's last space alone is its own piece.
         b_ids = [ids if len(s) > 1 else [self.b.piece_to_id("▁")]
                  for s, ids in zip(new, self.b.encode([s[1:] for s in new], num_threads=1))]
-        good, ends = np.ones(len(new), bool), []
-        for k, s in enumerate(new):
-            data = s.encode()
-            if (b"".join([self.a_bytes[i] for i in a_ids[k]]) != data
-                    or b"".join([self.b_bytes[i] for i in b_ids[k]]) != data):
-                good[k], a_ids[k], b_ids[k] = False, [], []
-            ends.append(len(data) if good[k] else 0)
+        data = [s.encode() for s in new]
+        good, ends = np.ones(len(new), bool), np.array([len(x) for x in data], "i8")
+        joined = b"".join(data)
+        # Nearly always all segments are right at once; else each is looked at.
+        if any(b"".join(map(table.__getitem__, chain.from_iterable(ids))) != joined
+               for table, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids))):
+            for k, x in enumerate(data):
+                if any(b"".join(map(table.__getitem__, ids[k])) != x for table, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids))):
+                    good[k], a_ids[k], b_ids[k], ends[k] = False, [], [], 0
         n_a, n_b = (np.array([len(x) for x in ids], "i8") for ids in (a_ids, b_ids))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), "i8") for ids in (a_ids, b_ids))
-        end_a = np.cumsum(np.fromiter((len(self.a_bytes[i]) for i in flat_a.tolist()), "i8", len(flat_a)))
-        end_b = np.cumsum(np.fromiter((len(self.b_bytes[i]) for i in flat_b.tolist()), "i8", len(flat_b)))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), "i8", int(n.sum())) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+        end_a, end_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
         both, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
         upto = np.searchsorted(both, np.cumsum(ends), side="right")  # groups up to each segment's end
         n_links = np.diff(upto, prepend=0)
@@ -144,7 +150,7 @@ class Aligner:
         self.links = np.concatenate([self.links, flat_a[at_a] << ID_BITS | flat_b[at_b]])
         self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b])
         self.n_links, self.good = np.concatenate([self.n_links, n_links]), np.concatenate([self.good, good])
-        words_a, words_b = (list(map(str, x.tolist())) for x in (flat_a, flat_b))
+        words_a, words_b = (list(map(self.shown.__getitem__, x.tolist())) for x in (flat_a, flat_b))
         cut_a, cut_b = ([0, *(x + 1).tolist()] for x in (at_a, at_b))
         shown = [",".join(words_a[cut_a[g]:cut_a[g + 1]]) + "|" + ",".join(words_b[cut_b[g]:cut_b[g + 1]])
                  for g in range(len(both))]
@@ -277,7 +283,7 @@ def postings(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, made = aligner(a_path, b_path), TaskContext.get().partitionId(), 0
         chunk = _Chunk(task << 24)
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE_BYTES):
             if len(chunk.rows) + part.num_rows > CHUNK_DOCS or chunk.entries > CHUNK_LINKS:
                 yield from chunk.cells()
                 made += 1
