@@ -40,19 +40,78 @@ def test_recovers_noiseless_multiplicative_series(spark):
 def test_flat_series_and_short_series(spark):
     flat = _series(spark, 60, lambda i, d: 50.0, "flat")
     short = _series(spark, 5, lambda i, d: 10.0 + i, "short")
-    fc, models = T.forecast(flat.unionByName(short), horizon=7)
+    single = _series(spark, 1, lambda i, d: 10.0, "single")
+    fc, models = T.forecast(flat.unionByName(short).unionByName(single), horizon=7)
     ms = {r.series: r for r in models.collect()}
-    assert ms["short"].status == "skipped" and "5 days" in ms["short"].reason
-    assert ms["flat"].status == "ok"
+    assert ms["single"].status == "skipped" and "1 days" in ms["single"].reason
+    assert ms["flat"].status == ms["short"].status == "ok"
     vals = fc.where(F.col("series") == "flat").select("yhat").toPandas().yhat
     assert np.allclose(vals, 50.0, rtol=1e-6)
-    assert fc.where(F.col("series") == "short").count() == 0
+    assert fc.where(F.col("series") == "short").count() == 12
+    assert fc.where(F.col("series") == "single").count() == 0
     summ = T.summary_table(models, T.forecast_summary(fc, 90)).collect()
     by = {r.neighborhood: r for r in summ}
-    assert by["short"].avg_price is None and by["flat"].trend in ("up", "down")
+    assert by["single"].avg_price is None and by["flat"].trend in ("up", "down") and by["short"].trend == "up"
     assert abs(by["flat"].avg_price - 50.0) < 1e-6
 
 
+def test_sparse_trend_solves_the_penalised_problem():
+    rng = np.random.default_rng(0)
+    n = 400
+    t = np.linspace(0, 1, n)
+    rest = np.column_stack([np.ones(n), t, np.sin(t * 50), np.cos(t * 50)])
+    hinges = np.column_stack([np.maximum(t - c, 0) for c in np.linspace(0.05, 0.8, 16)])
+    y = 0.3 * t + 0.2 * rest[:, 2] + 1.5 * hinges[:, 4] - 2 * hinges[:, 10] + rng.normal(0, 0.02, n)
+    coef, delta, sd = T.sparse_trend(y, rest, np.zeros(4), hinges, 0.05)
+    assert 0.017 < sd < 0.024
+    # Optimality: the residual is orthogonal to the free columns, and a hinge's correlation is the penalty where the
+    # coefficient isn't zero and at most that where it is.
+    left = y - rest @ coef - hinges @ delta
+    pull, penalty = hinges.T @ left, sd * sd / 0.05
+    assert np.abs(rest.T @ left).max() < 1e-6
+    assert np.abs(pull).max() <= penalty * 1.01 + 1e-6
+    assert np.allclose(pull[delta != 0], penalty * np.sign(delta[delta != 0]), rtol=0.02, atol=1e-6)
+    assert 2 <= np.count_nonzero(delta) <= 8
+
+
+def test_bands_widen_after_trend_changes_and_reruns_agree(spark):
+    rng = np.random.default_rng(4)
+    bends = np.cumsum(np.where(np.arange(1000) % 150 == 0, rng.normal(0, 0.004, 1000), 0))
+    level = np.exp(4 + np.cumsum(bends) + rng.normal(0, 0.02, 1000))
+    still = np.exp(4 + rng.normal(0, 0.02, 1000))
+    s = _series(spark, 1000, lambda i, d: level[i], "bent").unionByName(_series(spark, 1000, lambda i, d: still[i], "still"))
+    fc, _ = T.forecast(s, horizon=120)
+    rows = fc.where("is_future").withColumn("width", F.log(F.col("yhat_upper") / F.col("yhat_lower"))).orderBy("ds").collect()
+    width = {n: [r.width for r in rows if r.series == n] for n in ("bent", "still")}
+    assert np.mean(width["bent"][-10:]) > 2 * np.mean(width["bent"][:10])
+    assert np.mean(width["still"][-10:]) < 1.5 * np.mean(width["still"][:10])
+    again, _ = T.forecast(s.repartition(3), horizon=120)
+    keyed = lambda df: {(r.series, r.ds): (round(r.yhat_lower, 9), round(r.yhat_upper, 9)) for r in df.where("is_future").collect()}
+    assert keyed(fc) == keyed(again)
+
+
+def test_backtest_covers_made_series(spark):
+    rng = np.random.default_rng(1)
+    n = 4 * 365
+    made = {}
+    for name, trend in (("flat", 0.0), ("rising", 0.0004), ("falling", -0.0003)):
+        made[name] = [100 * math.exp(trend * i + 0.1 * math.sin(2 * math.pi * i / 365.25) + 0.05 * math.sin(2 * math.pi * i / 7)
+                                     + e) for i, e in enumerate(rng.normal(0, 0.05, n))]
+    s = None
+    for name, y in made.items():
+        one = _series(spark, n, lambda i, d: y[i], name)
+        s = one if s is None else s.unionByName(one)
+    scored = T.backtest(s, horizon=60, initial=800, period=120)
+    assert scored.where("ds <= cutoff or datediff(ds, cutoff) > 60").count() == 0
+    out = {r.series: r for r in T.backtest_summary(scored).collect()}
+    assert set(out) == set(made)
+    for r in out.values():
+        assert r.cutoffs == 5 and r.days == 300
+        assert 0.80 <= r.coverage <= 0.98 and r.mape < 0.08, r
+    assert out["rising"].mae < out["rising"].naive_mae / 2
+    assert T.backtest(s.where("ds < '2020-03-01'")).count() == 0
+
+
 def test_empty_series_yields_no_model(spark):
     empty = spark.createDataFrame([], "series string, ds date, y double")
     fc, models = T.forecast(empty)
