@@ -1,30 +1,29 @@
 """Review retrieval: corpus, vectors, upserts and exact top-k search (V-1 .. V-11).
 
-Search is exact (a scan), unlike an approximate index. One query: cosine by native array expressions with the
-query vector as a literal, then a bounded top-k (``TakeOrderedAndProject``). Many queries: queries and stored rows
-are packed into blocks, each pair of blocks is one matrix product (NumPy inside ``mapInPandas``) that keeps its own
-top-k per query, and the final per-query ranking sees k rows per block.
+Search is exact. One query over a plain table: a scan with cosine by native array expressions and the query vector as a
+literal, then a bounded top-k (``TakeOrderedAndProject``). Many queries, or a table that is searched again and again: an
+inverted file of cells whose blocks are skipped by the triangle inequality (``vector_index``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.semantics import hash_sample, unicode_strip
+from staylens.operators import vector_index
+from staylens.operators.vector_index import VectorIndex
 
 # Fixed values of the retrieval setup.
 MIN_REVIEW_CHARS = 30
 EMBED_DIMS = 256
 DEFAULT_K = 10
 NO_RESULTS = "No relevant reviews found for that query and filter."
-QUERY_BLOCK = 1_000  # queries, and stored rows, of one block of the batch search
-STORE_BLOCK = 4_000
+QUERY_BLOCK = 1_000  # queries of a pack, and stored rows of a block, in the batch search
+STORE_BLOCK = 1_000
 
 
 def build_corpus(reviews: DataFrame, listings: DataFrame, sample: int | None = None,
@@ -117,52 +116,14 @@ def context(results: DataFrame, text_col: str, district_col: str) -> DataFrame:
                       F.col("_n").alias("sources"))
 
 
-def _blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, prefix: str) -> DataFrame:
-    """Rows packed into blocks: a row holds up to ``rows`` ids and their unit vectors as packed doubles. A vector that
-    is null or zero has no direction: it is packed as NaNs, so its similarities are null."""
-
-    def pack(frames):
-        for pdf in frames:
-            for lo in range(0, len(pdf), rows):
-                part = pdf.iloc[lo:lo + rows]
-                dims = max((len(v) for v in part["_v"] if v is not None), default=0)
-                mat = np.full((len(part), dims), np.nan)
-                for i, v in enumerate(part["_v"]):
-                    if v is not None and len(v) == dims:
-                        mat[i] = v
-                norm = np.linalg.norm(mat, axis=1, keepdims=True)
-                mat = np.divide(mat, norm, out=np.full_like(mat, np.nan), where=norm > 0)
-                yield pd.DataFrame({f"{prefix}_ids": [part["_id"].to_numpy(np.int64)], f"{prefix}_vecs": [mat.tobytes()]})
-
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    return df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).mapInPandas(
-        pack, f"{prefix}_ids array<long>, {prefix}_vecs binary")
-
-
-def batch_search(store: DataFrame, queries: DataFrame, k: int = DEFAULT_K, col: str = "embedding", id_col: str = "id",
+def batch_search(store: DataFrame | VectorIndex, queries: DataFrame, k: int = DEFAULT_K, col: str = "embedding", id_col: str = "id",
                  qid_col: str = "query_id", qvec_col: str = "query_vector") -> DataFrame:
-    """V-11: exact top-k per query for any number of queries. Both sides are packed into blocks; every block of
-    queries meets every block of the store once, as one matrix product (NumPy) that forwards only its k best per
-    query, and a per-query ranking over k × blocks candidates picks the final k. No vector visits the driver.
-    For an approximate form over large stores see the neighbour-graph search of the training-data operators."""
-
-    def score(frames):
-        for pdf in frames:
-            for q_ids, q_vecs, s_ids, s_vecs in pdf[["q_ids", "q_vecs", "s_ids", "s_vecs"]].itertuples(index=False):
-                q = np.frombuffer(q_vecs).reshape(len(q_ids), -1)
-                s = np.frombuffer(s_vecs).reshape(len(s_ids), -1)
-                sims = (q @ s.T).T if q.shape[1] == s.shape[1] else np.full((len(s_ids), len(q_ids)), np.nan)
-                ids = np.broadcast_to(np.asarray(s_ids, np.int64)[:, None], sims.shape)
-                # Final order (similarity desc, nulls last, id asc), so no tie is lost.
-                order = np.lexsort((ids, -np.where(np.isnan(sims), -np.inf, sims)), axis=0)[:k]
-                yield pd.DataFrame({qid_col: np.broadcast_to(np.asarray(q_ids)[None, :], order.shape).ravel(),
-                                    id_col: np.take_along_axis(ids, order, 0).ravel(),
-                                    "similarity": np.take_along_axis(sims, order, 0).ravel()})
-
-    pairs = _blocks(store, id_col, col, STORE_BLOCK, "s").crossJoin(_blocks(queries, qid_col, qvec_col, QUERY_BLOCK, "q"))
-    cand = pairs.mapInPandas(score, f"{qid_col} long, {id_col} long, similarity double")
-    w = Window.partitionBy(qid_col).orderBy(F.col("similarity").desc_nulls_last(), F.col(id_col))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """V-11: exact top-k per query for any number of queries, through the cells of a vector index: blocks that can't
+    hold one of a query's k nearest are not read for it. ``store`` is an index that was built before, or a frame, which is indexed
+    into the shared checkpoint folder first. No stored vector visits the driver."""
+    if isinstance(store, DataFrame):
+        store = vector_index.build_index(store, vector_index.scratch_path(store.sparkSession), None, col, id_col, STORE_BLOCK)
+    return vector_index.search_index(store, queries, k, id_col, qid_col, qvec_col, QUERY_BLOCK)
 
 
 def upsert(store: DataFrame, new: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:

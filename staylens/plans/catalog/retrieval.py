@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from staylens.functions.semantics import r4
 from staylens.operators import retrieval as V
+from staylens.operators import vector_index
+from staylens.operators.versioned_store import VersionedStore
 from staylens.plans.registry import register
 from staylens.sources import roles
 
@@ -90,7 +92,7 @@ def v9_similarity_3(spark, d):
     return V.search(store, _centroid_all(store), 25).select("id", "similarity_3")
 
 
-@register("v5_upsert_index", roles=("vectors",), sql=f"""
+_UPSERT_SQL = f"""
 WITH {_CENTROID_LABEL.strip()},
 upd AS (SELECT min(v.id) AS id, v.label, any_value(ql.qv) AS embedding FROM vectors v JOIN ql ON v.label = ql.query_id
         GROUP BY v.label),
@@ -98,7 +100,10 @@ st AS (SELECT id, label, list_transform(embedding, lambda x: x::DOUBLE) AS embed
        WHERE id NOT IN (SELECT id FROM upd)
        UNION ALL SELECT id, label, embedding FROM upd)
 SELECT id, label, CAST(len(embedding) AS INTEGER) AS dims, round(list_sum(embedding), 4) AS total FROM st
-""")
+"""
+
+
+@register("v5_upsert_index", roles=("vectors",), sql=_UPSERT_SQL)
 def v5_upsert_index(spark, d):
     store = roles.vectors(spark, d).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
     cent = V.label_centroids(store)
@@ -109,6 +114,19 @@ def v5_upsert_index(spark, d):
                       r4(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
+@register("v5_versioned_store", roles=("vectors",), sql=_UPSERT_SQL)
+def v5_versioned_store(spark, d):
+    """V-5 by versions: the store is written once, the upsert and a deletion of ids that it puts back write only their own rows."""
+    store = roles.vectors(spark, d).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
+    new = store.groupBy("label").agg(F.min("id").alias("id")).join(V.label_centroids(store), "label").select("id", "label", "embedding")
+    kept = VersionedStore(spark, vector_index.scratch_path(spark))
+    kept.upsert(store.select("id", "label", "embedding"))
+    kept.delete(new.select("id"))
+    kept.upsert(new)
+    return kept.read().select("id", "label", F.size("embedding").alias("dims"),
+                              r4(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
 _TOPK_SQL = """
 WITH {cent},
 s AS (SELECT v.id, v.label, list_cosine_similarity(list_transform(v.embedding, lambda x: x::DOUBLE), q.qv) AS sim
@@ -125,6 +143,38 @@ def v7_top_k_search(spark, d):
     return t.select("id", "label", r4("similarity").alias("similarity"), "rank")
 
 
+@register("v7_indexed_search", roles=("vectors",), sql=_TOPK_SQL.format(cent=_CENTROID_ALL.strip(), where=""))
+def v7_indexed_search(spark, d):
+    """V-7 through the index of cells instead of a scan."""
+    store = roles.vectors(spark, d)
+    found = V.batch_search(store, _centroid_all(store).select(F.lit(0).alias("query_id"), "query_vector"), 10)
+    return found.join(store.select("id", "label"), "id").select("id", "label", r4("similarity").alias("similarity"), "rank")
+
+
+@register("v11_neighbours", roles=("vectors",), sql="""
+WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vectors),
+s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(v.e, q.e) AS sim FROM v q, v WHERE q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, id) AS rk FROM s)
+SELECT query_id, rk::INTEGER AS rank, round(sim, 4) AS similarity FROM r WHERE rk <= 5
+""")
+def v11_neighbours(spark, d):
+    """V-11 with stored rows as queries: every row whose id is divisible by 20, against all rows."""
+    store = roles.vectors(spark, d)
+    queries = store.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return V.batch_search(store, queries, 5).select("query_id", "rank", r4("similarity").alias("similarity"))
+
+
+@register("v11_rows_stored", roles=("vectors",), sql="""
+SELECT label::BIGINT AS query_id, (SELECT count(*) FROM vectors)::BIGINT AS stored, true AS within FROM vectors GROUP BY label
+""")
+def v11_rows_stored(spark, d):
+    """What the batch search reads for each query: never more than is stored."""
+    store = roles.vectors(spark, d)
+    queries = V.label_centroids(store).select(F.col("label").cast("long").alias("query_id"), F.col("embedding").alias("query_vector"))
+    read = vector_index.rows_read(vector_index.build_index(store, vector_index.scratch_path(spark)), queries, 10)
+    return read.select("query_id", "stored", (F.col("rows_read") <= F.col("stored")).alias("within"))
+
+
 @register("v8_filtered_search", roles=("vectors",),
           sql=_TOPK_SQL.format(cent=_CENTROID_ALL.strip(), where="WHERE v.label = 3"))
 def v8_filtered_search(spark, d):
