@@ -8,8 +8,10 @@ expressions so Catalyst can push, prune and code-generate around them.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ from staylens.session import ensure_checkpoint_dir
 MAX_BROADCAST_GROUPS = 20_000
 SALTS = 32
 
-# Relative rank error of the sketch used to bracket exact quantiles (see ``quantiles``).
+# Relative rank error of the sketch used to bracket exact quantiles, and how many values a bracket may still hold when
+# they are ranked in one window (see ``quantiles``).
 DEFAULT_ACCURACY = 10000
+LAST_VALUES = 50_000
 
 # A number as pandas.to_numeric accepts it, after the caller has stripped currency marks. Spark's own cast is more
 # lenient ('12d' -> 12.0, 'nan' -> NaN), so the text is tested first.
@@ -123,6 +127,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def evaluated_once(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` persisted for a few passes, unless it already is. What is built inside must be computed inside."""
+    level = df.storageLevel
+    if level.useMemory or level.useDisk:
+        yield df
+        return
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``stats`` (one row per group) by equal keys, never shuffling a hot group whole.
 
@@ -173,21 +191,28 @@ def quantiles(
     names: Sequence[str] | None = None,
     accuracy: int = DEFAULT_ACCURACY,
     method: str = "bracket",
+    last_values: int = LAST_VALUES,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group (pandas ``quantile``, DuckDB ``quantile_cont``).
 
-    Returns one row per non-null key (one row in total when ``keys`` is empty) with one column per probability.
+    Returns one row per non-null key (one row in total when ``keys`` is empty) with one column per probability, and the
+    named aggregates ``extra`` over the group's values that aren't null (column ``_v``), taken in the first pass.
 
     ``method="direct"`` uses Spark's ``percentile``: one pass, but its buffer holds every distinct value of a
-    group in one task. ``method="bracket"`` (default) is exact and bounded for hot groups:
+    group in one task. ``method="bracket"`` (default) is exact and bounded for hot groups. The keys and values are
+    persisted while it runs, so their source is evaluated once, and the result (a row per group) is computed at once:
 
     1. one partial-aggregated pass counts each group and builds a mergeable rank sketch; for every probability
        it brackets the target rank between two sketch values (only for groups of at least ``accuracy`` rows;
        smaller groups keep every value);
-    2. every row outside the brackets is folded into one gap marker per gap, and rows are counted per
+    2. while a bracket may hold more than ``last_values`` values, a pass over these groups counts the rows up to its lower
+       end and sketches the rows strictly inside; the target ranks then lie between two neighbouring points of that
+       finer grid. Each pass leaves about one in ``accuracy / 40`` of the rows, all columns and groups together;
+    3. every row outside the brackets is folded into one gap marker per gap, and rows are counted per
        (group, value) with map-side combine, so ties and the bulk of a hot group collapse before the shuffle;
-    3. a window per group over these at most ~8·n/accuracy distinct values accumulates counts and picks the
-       values at the two ranks around ``p·(n-1)``, then interpolates.
+    4. a window per group over these at most ``len(probs) * (last_values + 3)`` distinct values, however large the group,
+       accumulates counts and picks the values at the two ranks around ``p·(n-1)``, then interpolates.
     """
     keys = list(keys)
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
@@ -196,52 +221,101 @@ def quantiles(
     if not keys:
         base = base.withColumn("_g", F.lit(0))
     kcols = keys or ["_g"]
+    more = [c for c in extra]
 
     if method == "direct":
-        agg = base.groupBy(*kcols).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
-        out = agg.select(*kcols, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+        agg = base.groupBy(*kcols).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"), *more)
+        out = agg.select(*kcols, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)],
+                         *[c for c in agg.columns if c not in (*kcols, "_q")])
     elif method == "bracket":
-        out = _bracket_quantiles(base, kcols, probs, names, accuracy)
+        cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+        with evaluated_once(df if cached else base):
+            out = checkpointed(_bracket_quantiles(base, kcols, probs, names, accuracy, last_values, more))
     else:
         raise ValueError(f"unknown quantile method {method!r}")
 
     if keys:
         return out
     # A global quantile is always one row, null on empty input, as pandas / SQL give.
-    return out.groupBy().agg(*[F.max(nm).alias(nm) for nm in names])
+    return out.groupBy().agg(*[F.max(c).alias(c) for c in out.columns if c not in kcols])
+
+
+def column_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], **qkw) -> DataFrame:
+    """One row with a quantile of several columns, all found in the same passes: name -> (column, probability)."""
+    probs = sorted({p for _, p in wanted.values()})
+    pairs = F.explode(F.array(*[F.struct(F.lit(nm).alias("_column"), nan_to_null(col_of(c)).cast("double").alias("_x"))
+                                for nm, (c, _) in wanted.items()])).alias("_pair")
+    long = df.select(pairs).select("_pair.*")
+    q = quantiles(long, "_x", probs, ["_column"], [f"q{i}" for i in range(len(probs))], **qkw)
+    return q.groupBy().agg(*[F.max(F.when(F.col("_column") == nm, F.col(f"q{probs.index(p)}"))).alias(nm)
+                             for nm, (_, p) in wanted.items()])
 
 
-def _bracket_quantiles(base: DataFrame, kcols: list[str], probs, names, accuracy: int) -> DataFrame:
-    eps = 1.0 / accuracy
-    lo_p = [max(0.0, p - 3 * eps) for p in probs]
-    hi_p = [min(1.0, p + 3 * eps) for p in probs]
-    k = len(probs)
+def _ranks(p: float) -> tuple[Column, Column]:
+    """The two ranks (from 0) around p * (n - 1)."""
+    pos = F.lit(float(p)) * (F.col("_n") - 1)
+    return F.floor(pos), F.ceil(pos)
+
+
+def _brackets(base: DataFrame, kcols: list[str], probs, accuracy: int, last_values: int, extra: Sequence[Column]) -> DataFrame:
+    """Per group: ``_n``, and arrays over the probabilities of the bracket's ends (``_lo``, ``_hi``, equal to ranked values or
+    beyond them) and of how many values may lie strictly inside (``_in``); groups under ``accuracy`` rows have null brackets."""
+    eps, k = 1.0 / accuracy, len(probs)
+    ends = [max(0.0, p - 3 * eps) for p in probs] + [min(1.0, p + 3 * eps) for p in probs]
     stats = base.groupBy(*kcols).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(float(p)) for p in lo_p + hi_p]), accuracy).alias("_sk"),
-    )
-    # Rows fold into their brackets before any shuffle wherever the sketches can be broadcast.
-    joined = base.join(F.broadcast(stats), kcols) if kcols == ["_g"] else join_group_stats(base, stats, kcols)
-    v = F.col("_v")
-    large = F.col("_n") >= F.lit(accuracy)
-    los = [F.col("_sk")[i] for i in range(k)]
-    his = [F.col("_sk")[k + i] for i in range(k)]
-    inside = None
-    for lo, hi in zip(los, his):
-        c = (v >= lo) & (v <= hi)
-        inside = c if inside is None else inside | c
-    inside = F.when(~large, F.lit(True)).otherwise(inside)
-    nexts = [F.when(lo > v, lo) for lo in los]
-    next_lo = nexts[0] if k == 1 else F.least(*nexts)
-    key_v = F.when(inside, v).otherwise(F.coalesce(next_lo, F.lit(math.inf)))
-    kind = F.when(inside, F.lit(1)).otherwise(F.lit(0))
-    counted = joined.groupBy(*kcols, "_n", key_v.alias("_kv"), kind.alias("_kind")).agg(F.count(F.lit(1)).alias("_c"))
+        F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(float(p)) for p in ends]), accuracy).alias("_sk"), *extra)
+    more = [c for c in stats.columns if c not in (*kcols, "_n", "_sk")]
+    large = F.col("_n") >= accuracy
+    # The sketch's ranks may be off by one in ``accuracy`` at either end.
+    inside = F.when(large, F.col("_n") * (8 * eps)).otherwise(0.0)
+    state = checkpointed(stats.select(
+        *kcols, *more, "_n", F.when(large, F.slice("_sk", 1, k)).alias("_lo"), F.when(large, F.slice("_sk", k + 1, k)).alias("_hi"),
+        F.array(*[inside] * k).alias("_in")))
+    grid = max(4, accuracy // 10)
+    points = F.array(*[F.lit(j / grid) for j in range(grid + 1)])
+    wide = F.exists("_in", lambda x: x > last_values)
+    while state.where(wide).limit(1).count():
+        hot = state.where(wide)
+        # Only the few ends are sent to the rows.
+        rows = base.join(F.broadcast(hot), kcols) if kcols == ["_g"] else join_group_stats(base, hot, kcols)
+        aggs = [F.first(c).alias(c) for c in (*more, "_n", "_lo", "_hi")]
+        for i in range(k):
+            low, high = F.col("_lo")[i], F.col("_hi")[i]
+            strictly = (F.col("_v") > low) & (F.col("_v") < high)
+            aggs += [F.count(F.when(F.col("_v") <= low, 1)).alias(f"_b{i}"), F.count(F.when(strictly, 1)).alias(f"_s{i}"),
+                     F.percentile_approx(F.when(strictly, F.col("_v")), points, accuracy).alias(f"_g{i}")]
+        seen = rows.groupBy(*kcols).agg(*aggs)
+        lows, highs, lefts = [], [], []
+        for i, p in enumerate(probs):
+            low, high, below, strict, at = F.col("_lo")[i], F.col("_hi")[i], F.col(f"_b{i}"), F.col(f"_s{i}"), F.col(f"_g{i}")
+            first, last = _ranks(p)
+            # One grid cell of slack on either side, which is ten times the sketch's error.
+            a = F.floor((first - below) / strict * grid) - 1
+            z = F.ceil((last - below + 1) / strict * grid) + 1
+            lows.append(F.when(first >= below + strict, high).when((strict == 0) | (first < below) | (a <= 0), low).otherwise(at[a.cast("int")]))
+            highs.append(F.when(last < below, low).when((strict == 0) | (last >= below + strict) | (z >= grid), high).otherwise(at[z.cast("int")]))
+            span = F.least(z, F.lit(grid)) - F.greatest(a, F.lit(0)) + 1
+            lefts.append(F.when((strict == 0) | (first >= below + strict) | (last < below), 0.0).otherwise(
+                F.least(strict * 1.0, strict * span / grid)))
+        narrower = seen.select(*kcols, *more, "_n", F.array(*lows).alias("_nlo"), F.array(*highs).alias("_nhi"), F.array(*lefts).alias("_in"), "_lo", "_hi")
+        # A bracket that no longer shrinks holds few distinct values: its ends are as close as the grid can tell.
+        still = (F.col("_nlo") == F.col("_lo")) & (F.col("_nhi") == F.col("_hi"))
+        narrower = narrower.select(*kcols, *more, "_n", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"),
+                                   F.when(still, F.array(*[F.lit(0.0)] * k)).otherwise(F.col("_in")).alias("_in"))
+        state = checkpointed(state.where(~wide).unionByName(narrower))
+    return state
+
+
+def _bracket_quantiles(base: DataFrame, kcols: list[str], probs, names, accuracy: int, last_values: int = LAST_VALUES,
+                       extra: Sequence[Column] = ()) -> DataFrame:
+    stats = _brackets(base, kcols, probs, accuracy, last_values, extra)
+    more = [c for c in stats.columns if c not in (*kcols, "_n", "_lo", "_hi", "_in")]
+    counted = folded_values(base, kcols, stats.select(*kcols, "_n", "_lo", "_hi"), len(probs))
     w = Window.partitionBy(*kcols).orderBy("_kv", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = counted.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
     aggs = [F.first("_n").alias("_n")]
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        for side, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+        for side, r in zip(("lo", "hi"), _ranks(p)):
             hit = (F.col("_kind") == 1) & (F.col("_start") <= r) & (r < F.col("_end"))
             aggs.append(F.max(F.when(hit, F.col("_kv"))).alias(f"_{side}{i}"))
     picked = cum.groupBy(*kcols).agg(*aggs)
@@ -252,7 +326,26 @@ def _bracket_quantiles(base: DataFrame, kcols: list[str], probs, names, accuracy
         a, b = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         missed = F.raise_error(F.lit(f"quantile {p} fell outside its bracket; use method='direct'"))
         outs.append(F.when(a.isNull() | b.isNull(), missed.cast("double")).otherwise(a + (b - a) * frac).alias(nm))
-    return picked.select(*kcols, *outs)
+    out = picked.select(*kcols, *outs)
+    return out.join(stats.select(*kcols, *more), kcols) if more else out
+
+
+def folded_values(base: DataFrame, kcols: list[str], stats: DataFrame, k: int) -> DataFrame:
+    """What the last window ranks: rows counted per (group, value) inside the brackets, and one marker per gap (kind 0)."""
+    # Rows fold into their brackets before any shuffle wherever the brackets can be broadcast.
+    joined = base.join(F.broadcast(stats), kcols) if kcols == ["_g"] else join_group_stats(base, stats, kcols)
+    v = F.col("_v")
+    los, his = [F.col("_lo")[i] for i in range(k)], [F.col("_hi")[i] for i in range(k)]
+    inside = None
+    for lo, hi in zip(los, his):
+        c = (v >= lo) & (v <= hi)
+        inside = c if inside is None else inside | c
+    inside = F.when(F.col("_lo").isNull(), F.lit(True)).otherwise(inside)
+    nexts = [F.when(lo > v, lo) for lo in los]
+    next_lo = nexts[0] if k == 1 else F.least(*nexts)
+    key_v = F.when(inside, v).otherwise(F.coalesce(next_lo, F.lit(math.inf)))
+    kind = F.when(inside, F.lit(1)).otherwise(F.lit(0))
+    return joined.groupBy(*kcols, "_n", key_v.alias("_kv"), kind.alias("_kind")).agg(F.count(F.lit(1)).alias("_c"))
 
 
 def median(df: DataFrame, value: str | Column, keys: Sequence[str] = (), name: str = "median", **kw) -> DataFrame:

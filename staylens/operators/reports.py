@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.semantics import (
-    drop_null_keys, hash_order, join_group_stats, nan_to_null, quantiles, round_half_up, sample_skew,
-    with_scalars,
+    checkpointed, column_quantiles, drop_null_keys, evaluated_once, hash_order, join_group_stats, nan_to_null, quantiles,
+    round_half_up, sample_skew, with_scalars,
 )
 
 # Columns the reference's correlation heat map considers (fixed list; only present ones are used).
@@ -224,11 +224,10 @@ def price_vs_rating(df: DataFrame, price="price", rating="review_scores_rating",
                     id_col="id", **qkw) -> DataFrame:
     """A-10: per district mean price, mean rating, listings; medians across districts; quadrant label.
     'best value' = mean price at or below the median and mean rating at or above the median."""
-    g = drop_null_keys(df, [district]).groupBy(district).agg(
+    g = checkpointed(drop_null_keys(df, [district]).groupBy(district).agg(
         F.avg(nan_to_null(F.col(price))).alias("avg_price"), F.avg(nan_to_null(F.col(rating))).alias("avg_rating"),
-        F.count(id_col).alias("listings")).where(F.col("avg_rating").isNotNull())
-    meds = quantiles(g, "avg_price", [0.5], names=["med_price"], **qkw).crossJoin(
-        quantiles(g, "avg_rating", [0.5], names=["med_rating"], **qkw))
+        F.count(id_col).alias("listings")).where(F.col("avg_rating").isNotNull()))
+    meds = column_quantiles(g, {"med_price": ("avg_price", 0.5), "med_rating": ("avg_rating", 0.5)}, **qkw)
     cheap = F.col("avg_price") <= F.col("med_price")
     good = F.col("avg_rating") >= F.col("med_rating")
     quadrant = (F.when(cheap & good, "best value").when(~cheap & good, "premium")
@@ -265,13 +264,13 @@ def price_estimate(df: DataFrame, accommodates="accommodates", bathrooms: str |
 def distribution_stats(df: DataFrame, columns: Sequence[str], **qkw) -> DataFrame:
     """A-12 (one column) and A-18 (all numeric columns): count, mean, median, sd (n-1), min, q1, q3, max, bias-
     corrected skew and its label, nulls and null %. One unpivot, one grouped aggregate, one quantile job."""
-    long = _long(df, columns)
-    n_rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    stats = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"), sample_skew("value").alias("skew"))
-    q = quantiles(long, "value", [0.25, 0.5, 0.75], ["column"], ["q1", "median", "q3"], **qkw)
-    out = with_scalars(stats, n_rows).join(q, "column", "left")
+    with evaluated_once(_long(df, columns)) as long:
+        stats = checkpointed(long.groupBy("column").agg(
+            F.count(F.lit(1)).alias("_rows"), F.count("value").alias("count"), F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
+            sample_skew("value").alias("skew")))
+        q = quantiles(long, "value", [0.25, 0.5, 0.75], ["column"], ["q1", "median", "q3"], **qkw)
+    out = stats.join(q, "column", "left")
     label = (F.when(F.col("skew") > 0.5, "right-skewed").when(F.col("skew") < -0.5, "left-skewed")
              .otherwise("roughly symmetric"))
     nulls = F.col("_rows") - F.col("count")
