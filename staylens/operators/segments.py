@@ -1,7 +1,7 @@
 """Market segments (G-1 .. G-6, G-11): standardised features, K-Means with restarts, elbow, names and summaries.
 
-Scaling statistics are one global aggregate (a one-row frame, broadcast). K-Means runs Lloyd's iteration for all
-restarts and all k together: one job per iteration over the complete-feature rows, which are persisted once.
+Scaling statistics are one global aggregate (a one-row frame, broadcast). K-Means itself is in ``kmeans``: packed blocks
+of complete rows, all restarts and all k in one job per iteration, and bounds that spare most distances.
 Labelling does not join back: the fitted centres (k x d numbers, bounded by k) are applied to every
 listing by a native arg-min expression, so rows with a missing feature get a null label with no shuffle.
 """
@@ -10,21 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.semantics import nan_to_null, with_scalars
+from staylens.operators import kmeans
+from staylens.operators.kmeans import MAX_ITER, TOL
 
 FEATURES = ("latitude", "longitude", "price")
 N_INIT = 10
 SEED = 42
-MAX_ITER = 300
-TOL = 1e-4
 MAX_K = 10
-INIT_ROWS = 5_000
 # Segment naming (fixed values, parameters of ``name_segments``): mean price above 30,000 Luxury, above 20,000
 # Premium, above 12,000 Standard, else Budget; mean latitude above 35.75 North, above 35.65 Central, else South.
 PRICE_LEVELS = ((30_000, "Luxury"), (20_000, "Premium"), (12_000, "Standard"))
@@ -75,85 +72,6 @@ def _rows(scaled: DataFrame, d: int) -> DataFrame:
     return scaled.where(F.col(_z(0)).isNotNull()).select(*[_z(i) for i in range(d)])
 
 
-def _seeds(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ starting centres from a bounded sample (fewer if it has fewer distinct rows)."""
-    rng = np.random.default_rng(seed)
-    centres = sample[rng.integers(len(sample))][None, :]
-    while len(centres) < k:
-        near = ((sample[:, None, :] - centres[None, :, :]) ** 2).sum(2).min(1)
-        if not near.sum() > 0:
-            break
-        centres = np.vstack([centres, sample[rng.choice(len(sample), p=near / near.sum())]])
-    return centres
-
-
-def _pass(rows: DataFrame, runs: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """One job for all runs: per run and cluster the rows nearest to its centre (lowest index on ties), their feature
-    sums, and the run's cost. Tasks add up their rows before the shuffle; the driver gets one row per cluster."""
-    d = len(rows.columns)
-    stacked = np.vstack(list(runs.values()))
-    spans, at = {}, 0
-    for run, centres in runs.items():
-        spans[run] = (at, at + len(centres))
-        at += len(centres)
-
-    def add(frames):
-        n, sums, cost = np.zeros(at), np.zeros((at, d)), np.zeros(at)
-        for pdf in frames:
-            for lo in range(0, len(pdf), 20_000):
-                x = pdf.iloc[lo:lo + 20_000].to_numpy(dtype=float)
-                dist = sum((x[:, i:i + 1] - stacked[None, :, i]) ** 2 for i in range(d))
-                for first, last in spans.values():
-                    own = dist[:, first:last].argmin(1)
-                    n[first:last] += np.bincount(own, minlength=last - first)
-                    cost[first:last] += np.bincount(own, dist[np.arange(len(x)), first + own], last - first)
-                    for i in range(d):
-                        sums[first:last, i] += np.bincount(own, x[:, i], last - first)
-        yield pd.DataFrame({"c": np.arange(at), "n": n, "cost": cost, **{f"s{i}": sums[:, i] for i in range(d)}})
-
-    names = ["n", "cost", *[f"s{i}" for i in range(d)]]
-    total = rows.mapInPandas(add, "c long, " + ", ".join(f"{c} double" for c in names)).groupBy("c").agg(
-        *[F.sum(c).alias(c) for c in names]).collect()
-    table = np.zeros((at, 2 + d))
-    for r in total:
-        table[r["c"]] = [r[c] for c in names]
-    return {run: (table[a:b, 0], table[a:b, 2:], float(table[a:b, 1].sum())) for run, (a, b) in spans.items()}
-
-
-def best_of_restarts(rows: DataFrame, ks: Sequence[int], n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER,
-                     tol: float = TOL) -> dict[int, tuple[float, list[list[float]], bool]]:
-    """G-3: Lloyd's iteration from ``n_init`` k-means++ starts for every k together, one job per iteration. Per k: the
-    lowest cost (first on ties), its centres, and whether it settled (no centre moved more than ``tol``) in ``max_iter``
-    iterations. Starts come from a hash sample of about ``INIT_ROWS`` rows, the bound of what the driver sees."""
-    n = rows.count()
-    if not n:
-        return {k: (0.0, [], True) for k in ks}
-    share = min(1_000_000, 1_000_000 * INIT_ROWS // n + 1)
-    picked = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)) < share).distinct().limit(2 * INIT_ROWS)
-    sample = np.array(sorted(tuple(r) for r in picked.collect()), dtype=float).reshape(-1, len(rows.columns))
-    if not len(sample):
-        sample = np.array([tuple(rows.first())], dtype=float)
-    runs = {(k, j): _seeds(sample, k, seed + j) for k in ks for j in range(n_init)}
-    ids = list(runs)
-    settled: set[int] = set()
-    for _ in range(max_iter):
-        moving = {i: runs[ids[i]] for i in range(len(ids)) if i not in settled}
-        if not moving:
-            break
-        for i, (count, sums, _) in _pass(rows, moving).items():
-            old = moving[i]
-            new = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], old)  # an empty cluster stays
-            runs[ids[i]] = new
-            if ((new - old) ** 2).sum(1).max() <= tol ** 2:
-                settled.add(i)
-    costs = _pass(rows, {i: runs[ids[i]] for i in range(len(ids))})
-    out = {}
-    for i, (k, _) in enumerate(ids):
-        if k not in out or costs[i][2] < out[k][0]:
-            out[k] = (costs[i][2], [list(map(float, c)) for c in runs[ids[i]]], i in settled)
-    return out
-
-
 def _total_ss(scaled: DataFrame, d: int) -> float:
     """Cost at k = 1: squared distance of every complete row to the feature means (MLlib refuses k = 1)."""
     rows = scaled.where(F.col(_z(0)).isNotNull())
@@ -162,6 +80,27 @@ def _total_ss(scaled: DataFrame, d: int) -> float:
     return float(with_scalars(rows, means).agg(F.sum(ss)).first()[0] or 0.0)
 
 
+def check_segments(listings: DataFrame, k: int = 5, features: Sequence[str] = FEATURES, near: float = 1e-2, **kw) -> DataFrame:
+    """One row of what K-Means promises: complete rows, clusters, whether every row has its nearest centre, whether every
+    centre is the mean of its rows (to ``near`` in scaled units), and whether the cost is below that of one cluster."""
+    features = tuple(c for c in features if c in listings.columns)
+    d = len(features)
+    labelled, cost, centres = cluster(listings, k, features, **kw)
+    scaled = scale(labelled, feature_stats(listings, features), features).where(F.col("cluster").isNotNull())
+    squares = [sum((F.col(_z(i)) - F.lit(float(c[i]))) ** 2 for i in range(d)) for c in centres]
+    own = F.element_at(F.array(*squares), F.col("cluster") + 1)
+    per = scaled.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(own - F.least(*squares)).alias("excess"), F.sum(own).alias("cost"),
+        F.sum(sum(F.col(_z(i)) ** 2 for i in range(d))).alias("one"),
+        *[F.avg(_z(i)).alias(f"m{i}") for i in range(d)])
+    of = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
+    away = sum((F.col(f"m{i}") - F.element_at(of, F.col("cluster") + 1)[i]) ** 2 for i in range(d))
+    return per.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("clusters"), (F.max("excess") <= 1e-9).alias("nearest"),
+                   (F.max(away) <= near ** 2).alias("centred"),
+                   ((F.sum("cost") <= F.sum("one")) & (F.abs(F.sum("cost") - cost) <= 1e-6 * F.lit(max(cost, 1.0)))).alias("cheaper"),
+                   F.sum("one").alias("one_cluster_cost"))
+
+
 def assign(scaled: DataFrame, centres: Sequence[Sequence[float]], d: int, name: str = "cluster") -> DataFrame:
     """Nearest centre (squared Euclidean, lowest index on ties) as a native expression; null when incomplete."""
     if not centres:
@@ -184,7 +123,7 @@ def cluster(listings: DataFrame, k: int = 5, features: Sequence[str] = FEATURES,
     scaled = scale(listings, feature_stats(listings, features), features)
     rows = _rows(scaled, d).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cost, centres, _ = best_of_restarts(rows, [k], n_init, seed, max_iter, tol)[k]
+        cost, centres, _ = kmeans.best_of_restarts(rows, [k], n_init, seed, max_iter, tol)[k]
     finally:
         rows.unpersist()
     labelled = assign(scaled, centres, d).drop(*[_z(i) for i in range(d)])
@@ -199,7 +138,7 @@ def elbow(listings: DataFrame, max_k: int = MAX_K, features: Sequence[str] = FEA
     scaled = scale(listings, feature_stats(listings, features), features)
     rows = _rows(scaled, d).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = best_of_restarts(rows, range(2, max_k + 1), n_init, seed, max_iter, tol)
+        fits = kmeans.best_of_restarts(rows, range(2, max_k + 1), n_init, seed, max_iter, tol)
         costs = [_total_ss(scaled, d)] + [fits[k][0] for k in range(2, max_k + 1)]
     finally:
         rows.unpersist()

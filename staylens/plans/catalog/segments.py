@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from staylens.functions.semantics import r4
@@ -117,6 +118,17 @@ def g3_kmeans_segments(spark, d):
     return S.name_segments(labelled).select("id", "cluster", "cluster_name")
 
 
+@register("g3_kmeans_holds", roles=L, sql=f"""
+WITH {_scaled_sql().strip()}
+SELECT count(*)::BIGINT AS rows, 5::BIGINT AS clusters, true AS nearest, true AS centred, true AS cheaper,
+       round(sum(z0 * z0 + z1 * z1 + z2 * z2) / count(*), 4) AS one_cluster_cost FROM z
+""")
+def g3_kmeans_holds(spark, d):
+    """What any K-Means result must satisfy, and the cost per row of a single cluster."""
+    out = S.check_segments(roles.listings(spark, d), k=5)
+    return out.withColumn("one_cluster_cost", r4(F.col("one_cluster_cost") / F.col("rows")))
+
+
 @register("g6_kmeans_summary")
 def g6_kmeans_summary(spark, d):
     labelled, _, _ = S.cluster(roles.listings(spark, d), k=5)
@@ -148,6 +160,33 @@ def g8_grid_density(spark, d):
     return _r4all(G.grid_density(roles.listings(spark, d), 0.01))
 
 
+@register("g8_kernel_density", roles=L, sql=f"""
+WITH k AS (SELECT * FROM (VALUES {", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for i, j, w in G.kernel_weights())}) AS x(i, j, w)),
+c AS (SELECT CAST(floor(latitude / 0.01::DOUBLE) AS BIGINT) AS lat_cell, CAST(floor(longitude / 0.01::DOUBLE) AS BIGINT) AS lon_cell,
+             count(*) AS n FROM listings WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY ALL)
+SELECT lat_cell + i AS lat_cell, lon_cell + j AS lon_cell, round(sum(n * w), 4) AS density FROM c, k GROUP BY lat_cell + i, lon_cell + j
+""")
+def g8_kernel_density(spark, d):
+    return _r4all(G.kernel_density(roles.listings(spark, d), 0.01))
+
+
+@register("g9_cluster_totals", roles=L, sql=f"""
+SELECT zoom, count(*)::BIGINT AS listings, true AS apart
+FROM listings, (SELECT unnest(range({len(G.ZOOM_CELLS)}))::INTEGER AS zoom) WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY zoom
+""")
+def g9_cluster_totals(spark, d):
+    """Marker clusters of all zooms: every listing is in one cluster of each, and zooming out never adds clusters."""
+    per = G.marker_clusters(roles.listings(spark, d)).groupBy("zoom").agg(F.sum("count").alias("listings"), F.count(F.lit(1)).alias("n"))
+    wider = Window.partitionBy(F.lit(0)).orderBy("zoom")  # one row a zoom
+    return per.select("zoom", "listings", (F.col("n") >= F.coalesce(F.lag("n").over(wider), F.lit(0))).alias("apart"))
+
+
+@register("g9_marker_clusters")
+def g9_marker_clusters(spark, d):
+    """Clusters by distance for every zoom (an order-bound merge, checked against brute force)."""
+    return _r4all(G.marker_clusters(roles.listings(spark, d)))
+
+
 def _rollup_sql() -> str:
     parts = [f"SELECT {z} AS zoom, CAST(floor(latitude / {s!r}::DOUBLE) AS BIGINT) AS lat_cell, "
              f"CAST(floor(longitude / {s!r}::DOUBLE) AS BIGINT) AS lon_cell, latitude, longitude FROM listings "
