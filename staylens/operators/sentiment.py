@@ -55,14 +55,12 @@ def tokens(c) -> F.Column:
     return F.regexp_extract_all(F.lower(col_of(c)), F.lit(TOKEN_PATTERN), 0)
 
 
-def polarity(text, lexicon: Mapping[str, float] | None = None, negations: Sequence[str] = NEGATIONS) -> F.Column:
-    """R-2: mean lexicon polarity of a text's tokens (negation-aware), 0.0 when no token matches or the text is
-    null."""
+def token_scores(t: F.Column, lexicon: Mapping[str, float] | None = None, negations: Sequence[str] = NEGATIONS) -> F.Column:
+    """The polarities of the tokens that the lexicon holds, each turned by a negation right before it."""
     lex = dict(lexicon or DEFAULT_LEXICON)
     lex_map = F.map_from_arrays(F.array(*[F.lit(k) for k in lex]).cast("array<string>"),
                                 F.array(*[F.lit(float(v)) for v in lex.values()]).cast("array<double>"))
     negs = F.array(*[F.lit(w) for w in negations])
-    t = tokens(text)
     # Pair each token with its predecessor ("" before the first): one linear pass, no per-index lookups.
     prev = F.concat(F.array(F.lit("")), t)
 
@@ -72,11 +70,20 @@ def polarity(text, lexicon: Mapping[str, float] | None = None, negations: Sequen
 
     # A map literal is searched from its start, a membership test is one hash lookup: most tokens end there.
     pairs = F.zip_with(t, prev, lambda w, p: F.struct(w.alias("w"), p.alias("p")))
-    scores = F.transform(F.filter(pairs, lambda x: x["w"].isin(list(lex))), score)
+    return F.transform(F.filter(pairs, lambda x: x["w"].isin(list(lex))), score)
+
+
+def mean_score(scores: F.Column) -> F.Column:
     total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)
     return F.when(F.size(scores) > 0, total / F.size(scores)).otherwise(F.lit(0.0))
 
 
+def polarity(text, lexicon: Mapping[str, float] | None = None, negations: Sequence[str] = NEGATIONS) -> F.Column:
+    """R-2: mean lexicon polarity of a text's tokens (negation-aware), 0.0 when no token matches or the text is
+    null."""
+    return mean_score(token_scores(tokens(text), lexicon, negations))
+
+
 def polarity_by_table(reviews: DataFrame, lexicon: DataFrame, text: str = "comments", id_col: str = "id",
                       word: str = "word", score: str = "polarity", negations: Sequence[str] = NEGATIONS) -> DataFrame:
     """R-2 with a lexicon table of any size: ``id``, ``sentiment`` of every review (ids are unique).
@@ -111,8 +118,10 @@ def reviews_for_listings(reviews: DataFrame, listings: DataFrame, cap: int | Non
 
 
 def score_reviews(reviews: DataFrame, text: str = "comments", lexicon=None, compat: bool = False) -> DataFrame:
-    """R-2 + R-3: add ``sentiment`` and ``sentiment_label``."""
-    return (reviews.withColumn("sentiment", polarity(text, lexicon))
+    """R-2 + R-3: add ``sentiment`` and ``sentiment_label``. Tokens and scores are columns of their own on the way: the optimizer
+    keeps a costly column that is used twice, but would repeat an expression that is written twice."""
+    return (reviews.withColumn("_tokens", tokens(text)).withColumn("_scores", token_scores(F.col("_tokens"), lexicon))
+            .withColumn("sentiment", mean_score(F.col("_scores"))).drop("_tokens", "_scores")
             .withColumn("sentiment_label", sentiment_label("sentiment", compat)))
 
 
