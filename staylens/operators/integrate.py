@@ -10,6 +10,8 @@ from __future__ import annotations
 import difflib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from staylens.functions.semantics import nan_to_null, with_scalars
 KNOWN_KEYS = ["neighbourhood", "neighbourhood_cleansed", "id", "host_id", "latitude", "longitude", "name", "price"]
 FUZZY_CUTOFF = 0.55
 SAMPLE_SEPARATOR = " | "
+SKETCH_SIZE = 1024  # smallest hashes kept of a column
 
 
 def _normalise(c) -> F.Column:
@@ -88,30 +91,46 @@ def profile_table(df: DataFrame, samples: int = 3, approx: bool = False) -> Data
         F.col("_rows").alias("n_rows"), F.lit(len(cols)).cast("long").alias("n_cols"))
 
 
-def _padded_bigrams(c) -> F.Column:
-    s = F.concat(F.lit("\u0002"), c, F.lit("\u0003"))
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, 2))
-
-
-def _prefix_tokens(keys: DataFrame, key: str, norm: str, freq: DataFrame | None, cutoff: float):
-    """Tagged bigrams of each key (a bigram's n-th occurrence is its own token, so multiset overlap becomes set
-    overlap) and, given global token frequencies, each key's prefix: its rarest |G| - T + 1 tokens, where T is
-    the least overlap any partner within the cutoff must share with it."""
-    ex = keys.select(key, norm, F.posexplode(_padded_bigrams(F.col(norm))).alias("_pos", "_g"))
-    # One window partition per (key, bigram): bounded by the length of one key.
-    occ = F.row_number().over(Window.partitionBy(key, "_g").orderBy("_pos"))
-    tok = ex.select(key, F.length(norm).alias("_len"), F.concat("_g", F.lit("\u0001"), occ.cast("string"))
-                    .alias("_tok"))
-    if freq is None:
-        return tok
-    # Edit distance d destroys at most 2 padded bigrams per edit, so a partner within the cutoff shares at least
-    # L + 1 - 2 (1 - cutoff) L >= (2 cutoff - 1) len + 1 tokens (L = the longer length).
-    need = F.ceil(F.lit(2 * cutoff - 1) * F.col("_len") + F.lit(1.0 - 1e-9))
-    plen = F.greatest(F.lit(1), F.col("_len") + 1 - need + 1).cast("int")
-    ranked = (tok.join(freq, "_tok").groupBy(key, "_len")
-              .agg(F.array_sort(F.collect_list(F.struct("_f", "_tok"))).alias("_toks")))
-    return ranked.select(key, F.explode(F.slice("_toks", F.lit(1), plen)).alias("_t")).select(
-        key, F.col("_t._tok").alias("_tok"))
+def _edits(la: F.Column, lb: F.Column, cutoff: float) -> F.Column:
+    """The most edits between strings of these lengths whose similarity reaches the cutoff."""
+    return F.floor(F.lit(1 - cutoff) * F.greatest(la, lb) + 1e-9).cast("int")
+
+
+def _segments(keys: DataFrame, norm: str, own: str, other: str, cutoff: float, other_lengths: DataFrame) -> DataFrame:
+    """Each key once per length that a partner may have, as (own length, other length, edits)."""
+    length = F.length(norm)
+    lengths = F.filter("_lengths", lambda x: F.abs(x - length) <= _edits(x, length, cutoff))
+    return with_scalars(keys, other_lengths).withColumn(own, length).withColumn(other, F.explode(lengths)).drop("_lengths").withColumn(
+        "_d", _edits(F.col(own), F.col(other), cutoff))
+
+
+def _segment(i: F.Column, length: F.Column, edits: F.Column) -> tuple[F.Column, F.Column]:
+    """Start (from 1) and length of segment i (from 1) of edits + 1 even ones; the longer ones come last."""
+    parts = edits + 1
+    base, longer = F.floor(length / parts).cast("int"), length % parts
+    return (i - 1) * base + F.greatest(F.lit(0), i - 1 - (parts - longer)) + 1, base + (i > parts - longer).cast("int")
+
+
+def fuzzy_candidates(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """Distinct (new_key, known_key) that share a segment at a fitting place; ``a`` holds ``new_key, _na``, ``b`` ``known_key, _nb``.
+
+    A known key is cut into one segment more than a partner of the given length may have edits, so at least one segment is
+    left whole. Counting edits from the left and from the right, segment i of a pair within the cutoff occurs in the new key at most i - 1
+    places from its own place and at most edits + 1 - i from that place shifted by the difference of lengths: only these substrings are
+    looked up. Tokens carry both lengths and the segment's number."""
+    lengths = lambda keys, norm: keys.agg(F.collect_set(F.length(norm)).alias("_lengths"))  # noqa: E731 - one small row
+    la, lb, d, i = F.col("_la"), F.col("_lb"), F.col("_d"), F.col("_i")
+    start, size = _segment(i, lb, d)
+    every = F.explode(F.sequence(F.lit(1), d + 1)).alias("_i")
+    known = _segments(b, "_nb", "_lb", "_la", cutoff, lengths(a, "_na")).select("*", every).select(
+        "known_key", "_la", "_lb", "_i", F.substring(F.col("_nb"), start, size).alias("_text"))
+    low = F.greatest(F.lit(1), start - (i - 1), start + (la - lb) - (d + 1 - i))
+    high = F.least(la - size + 1, start + (i - 1), start + (la - lb) + (d + 1 - i))
+    places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    new = _segments(a, "_na", "_la", "_lb", cutoff, lengths(b, "_nb")).select("*", every).select(
+        "new_key", "_na", "_la", "_lb", "_i", size.alias("_size"), F.explode(places).alias("_at")).select(
+        "new_key", "_la", "_lb", "_i", F.substring(F.col("_na"), F.col("_at"), F.col("_size")).alias("_text")).distinct()
+    return new.join(known, ["_la", "_lb", "_i", "_text"]).select("new_key", "known_key").distinct()
 
 
 def fuzzy_key_map(new_keys: DataFrame, known_keys: DataFrame, new_col: str, known_col: str,
@@ -119,29 +138,18 @@ def fuzzy_key_map(new_keys: DataFrame, known_keys: DataFrame, new_col: str, know
     """J-3: for each distinct new key, the most similar known key after normalisation, if its similarity
     1 - levenshtein / max(len) reaches ``cutoff`` (ties: the smaller known key).
 
-    Exact candidate generation by prefix filtering on padded character bigrams (valid for any cutoff above
-    0.5): a pair within the cutoff must share at least (2 cutoff - 1) len + 1 bigram occurrences, so it must
-    share one of the rarest |G| - T + 1 of each side. Only those prefix tokens are joined, so common bigrams
-    (shared by most keys) do not produce all pairs of their keys; every candidate is then verified with the
-    exact distance. Pairs are of distinct keys, never of rows."""
+    Candidates share a whole segment at a fitting place (``fuzzy_candidates``), which loses no pair for any cutoff above
+    0.5; each is then verified with the exact distance. Pairs are of distinct keys, never of rows."""
     if cutoff <= 0.5:
-        raise ValueError("bigram blocking is exact only for a cutoff above 0.5")
+        raise ValueError("segments are exact only for a cutoff above 0.5")
     a = new_keys.select(F.col(new_col).alias("new_key")).where(F.col("new_key").isNotNull()).distinct()
     b = known_keys.select(F.col(known_col).alias("known_key")).where(F.col("known_key").isNotNull()).distinct()
     a = a.withColumn("_na", _normalise(F.col("new_key")))
     b = b.withColumn("_nb", _normalise(F.col("known_key")))
-    ta = _prefix_tokens(a, "new_key", "_na", None, cutoff)
-    tb = _prefix_tokens(b, "known_key", "_nb", None, cutoff)
-    freq = ta.select("_tok").unionByName(tb.select("_tok")).groupBy("_tok").agg(F.count(F.lit(1)).alias("_f"))
-    pa = _prefix_tokens(a, "new_key", "_na", freq, cutoff)
-    pb = _prefix_tokens(b, "known_key", "_nb", freq, cutoff)
-    pairs = pa.join(pb, "_tok").select("new_key", "known_key").distinct().join(a, "new_key").join(b, "known_key")
-    la, lb = F.length("_na"), F.length("_nb")
-    longer = F.greatest(la, lb)
+    pairs = fuzzy_candidates(a, b, cutoff).join(a, "new_key").join(b, "known_key")
+    longer = F.greatest(F.length("_na"), F.length("_nb"))
     sim = F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein("_na", "_nb") / longer)
-    # Cheap length filter before the distance: |la - lb| <= d <= (1 - cutoff) L.
-    scored = (pairs.where(F.abs(la - lb) <= F.lit(1 - cutoff) * longer)
-              .withColumn("similarity", sim).where(F.col("similarity") >= cutoff))
+    scored = pairs.withColumn("similarity", sim).where(F.col("similarity") >= cutoff)
     best = scored.groupBy("new_key").agg(
         F.min_by(F.struct("known_key", "similarity"),
                  F.struct((-F.col("similarity")).alias("s"), F.col("known_key").alias("k"))).alias("_b"))
@@ -172,25 +180,100 @@ def value_containment(new_df: DataFrame, known_df: DataFrame, new_cols: Sequence
         (F.col("_hits") / F.col("_distinct")).alias("containment"), (F.col("_hits") / F.col("_known")).alias("coverage"))
 
 
+def column_sketches(df: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """``column_name, hashes``: the ``size`` smallest distinct hashes of each column's values as text, ascending.
+
+    One pass: a task keeps the smallest hashes of each column, and these few meet per column. Sketches of parts of a table
+    merge into the sketch of the whole."""
+    cols = df.columns
+
+    def run(batches):
+        kept = [np.zeros(0, "u8") for _ in cols]
+        for batch in batches:
+            for i in range(len(cols)):
+                some = batch.column(i).drop_null().to_numpy(zero_copy_only=False).view("u8")
+                kept[i] = np.unique(np.concatenate([kept[i], some]))[:size]
+        for i, c in enumerate(cols):
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(kept[i]), pa.string()), pa.array(kept[i].view("i8"))], names=["column_name", "h"])
+
+    hashed = df.select(*[F.when(_value(df, c).isNotNull(), F.xxhash64(_value(df, c).cast("string"))).alias(f"c{i}") for i, c in enumerate(cols)])
+    # Unsigned order: the sign bit is turned for comparing signed numbers.
+    order = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+    place = Window.partitionBy("column_name").orderBy(order)
+    few = hashed.mapInArrow(run, "column_name string, h long").distinct().withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= size)
+    return few.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "h"))), lambda s: s["h"]).alias("hashes"))
+
+
+def sketch_jaccard(a: Sequence[int], b: Sequence[int], size: int = SKETCH_SIZE) -> tuple[float, float]:
+    """The share of common values among all values of two columns by their sketches, and its standard error (0 if exact)."""
+    x, y = (np.array(v, "i8").view("u8") for v in (a, b))
+    union = np.union1d(x, y)
+    exact = len(x) < size and len(y) < size
+    if not exact:
+        union = union[:size]
+    if not len(union):
+        return 0.0, 0.0
+    share = np.isin(union, np.intersect1d(x, y)).mean()
+    return float(share), 0.0 if exact else float((max(share * (1 - share), 1 / len(union)) / len(union)) ** 0.5)
+
+
+def containment_candidates(new_df: DataFrame, known_df: DataFrame, least: float, size: int = SKETCH_SIZE) -> list[tuple[str, str]]:
+    """Pairs of columns whose containment and coverage may both reach ``least``. Then at least least / (2 - least) of their values are
+    common; a pair stays unless its sketches' estimate is six standard errors below. The driver holds one sketch a column."""
+    new, known = ({r.column_name: r.hashes for r in column_sketches(df, size).collect()} for df in (new_df, known_df))
+    bound = least / (2 - least) if least > 0 else 0.0
+    out = []
+    for c, a in new.items():
+        for k, b in known.items():
+            share, error = sketch_jaccard(a, b, size)
+            if share + 6 * error >= bound and (share > 0 or error > 0):
+                out.append((c, k))
+    return out
+
+
+def exact_containment(new_df: DataFrame, known_df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``value_containment`` of the given pairs of columns alone: other columns' values are not shuffled."""
+    spark = new_df.sparkSession
+    lut = spark.createDataFrame(list(pairs), "column_name string, known_column string")  # pairs of column names
+    new_cols, known_cols = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
+    if not pairs:
+        return spark.createDataFrame([], "new_column string, known_column string, containment double, coverage double")
+    a = _long_text(new_df.select(*[f"`{c}`" for c in new_cols])).where(F.col("value").isNotNull()).distinct()
+    b = _long_text(known_df.select(*[f"`{c}`" for c in known_cols])).where(F.col("value").isNotNull()).distinct()
+    hits = a.join(F.broadcast(lut), "column_name").join(b.withColumnRenamed("column_name", "known_column"), ["known_column", "value"]) \
+        .groupBy("column_name", "known_column").agg(F.count(F.lit(1)).alias("_hits"))
+    sizes = a.groupBy("column_name").agg(F.count(F.lit(1)).alias("_distinct"))
+    known = b.groupBy(F.col("column_name").alias("known_column")).agg(F.count(F.lit(1)).alias("_known"))
+    return hits.join(sizes, "column_name").join(known, "known_column").select(
+        F.col("column_name").alias("new_column"), "known_column",
+        (F.col("_hits") / F.col("_distinct")).alias("containment"), (F.col("_hits") / F.col("_known")).alias("coverage"))
+
+
+def value_mapping(new_df: DataFrame, known_df: DataFrame, min_containment: float = 0.5) -> DataFrame:
+    """J-4 (data part): the known column that agrees best with each new column. Agreement is the harmonic mean of containment
+    and coverage, both at least ``min_containment``: a few small integers are contained in any id column but cover little of
+    it. Sketches rule out most pairs of columns; the others are compared exactly."""
+    both = F.least("containment", "coverage")
+    agree = 2 * F.col("containment") * F.col("coverage") / (F.col("containment") + F.col("coverage"))
+    pairs = containment_candidates(new_df, known_df, min_containment)
+    cont = exact_containment(new_df, known_df, pairs).where(both >= min_containment)
+    return cont.groupBy("new_column").agg(
+        F.min_by(F.struct("known_column", "containment"),
+                 F.struct((-agree).alias("c"), F.col("known_column").alias("k"))).alias("_b")).select("new_column", "_b.*")
+
+
 def suggest_column_mapping(new_df: DataFrame, known_df: DataFrame, min_containment: float = 0.5,
                            district: str = "neighbourhood_cleansed") -> DataFrame:
-    """J-4: {new column → known column or null}: the best agreement of values, else the closest column name. Agreement
-    is the harmonic mean of containment and coverage, both at least ``min_containment``: a few small integers are
-    contained in any id column but cover little of it. Plus ``is_default_key`` (the column mapped to the district, else the first hinted
-    column, else the first column)."""
+    """J-4: {new column → known column or null}: the best agreement of values (``value_mapping``), else the closest column
+    name. Plus ``is_default_key`` (the column mapped to the district, else the first hinted column, else the first column)."""
     spark = new_df.sparkSession
     names = spark.createDataFrame(
         [(i, c, fuzzy_column_name(c, known_df.columns), join_hint(c)) for i, c in enumerate(new_df.columns)],
         "position int, new_column string, name_match string, join_hint boolean")
-    both = F.least("containment", "coverage")
-    agree = 2 * F.col("containment") * F.col("coverage") / (F.col("containment") + F.col("coverage"))
-    cont = value_containment(new_df, known_df).where(both >= min_containment)
-    best = cont.groupBy("new_column").agg(
-        F.min_by(F.struct("known_column", "containment"),
-                 F.struct((-agree).alias("c"), F.col("known_column").alias("k"))).alias("_b"))
+    best = value_mapping(new_df, known_df, min_containment)
     m = names.join(best, "new_column", "left").select(
-        "position", "new_column", F.coalesce(F.col("_b.known_column"), F.col("name_match")).alias("known_column"),
-        F.col("_b.containment").alias("containment"), "join_hint")
+        "position", "new_column", F.coalesce(F.col("known_column"), F.col("name_match")).alias("known_column"),
+        "containment", "join_hint")
     rank = (F.when(F.col("known_column") == district, F.lit(0)).when(F.col("join_hint"), F.lit(1))
             .otherwise(F.lit(2)))
     first = m.agg(F.min_by("position", F.struct(rank.alias("r"), F.col("position").alias("p"))).alias("_key_pos"))

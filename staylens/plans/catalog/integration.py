@@ -85,6 +85,28 @@ def j4_value_containment(spark, d):
     return t.select("new_column", "known_column", r4("containment").alias("containment"))
 
 
+def _mapping_sql():
+    long = lambda name, table, cols: " UNION ALL ".join(
+        f"SELECT DISTINCT '{c}' AS {name}, CAST(\"{c}\" AS VARCHAR) AS value FROM {table} WHERE \"{c}\" IS NOT NULL" for c in cols)
+    return f"""
+WITH a AS ({long("new_column", "external", [c for c in EXT_COLS if c != "supplier_balance"])}),
+b AS ({long("known_column", "listings", KNOWN_TEXT_COLS)}),
+h AS (SELECT new_column, known_column, count(*)::DOUBLE AS hits FROM a JOIN b USING (value) GROUP BY ALL),
+s AS (SELECT h.*, hits / (SELECT count(*) FROM a WHERE a.new_column = h.new_column) AS containment,
+             hits / (SELECT count(*) FROM b WHERE b.known_column = h.known_column) AS coverage FROM h)
+SELECT new_column, known_column, round(containment, 4) AS containment FROM s WHERE least(containment, coverage) >= 0.5
+QUALIFY row_number() OVER (PARTITION BY new_column ORDER BY 2 * containment * coverage / (containment + coverage) DESC, known_column) = 1
+"""
+
+
+@register("j4_value_mapping", roles=("external", "listings"), sql=_mapping_sql())
+def j4_value_mapping(spark, d):
+    """The part of J-4 that values decide: sketches, then exact comparison of the pairs they leave."""
+    ext = roles.external(spark, d)
+    m = J.value_mapping(ext.select(*[f"`{c}`" for c in EXT_COLS if c != "supplier_balance"]), roles.listings(spark, d).select(*KNOWN_TEXT_COLS))
+    return m.select("new_column", "known_column", r4("containment").alias("containment"))
+
+
 @register("j4_column_mapping")
 def j4_column_mapping(spark, d):
     """Name + value mapping with the default key (name matching is difflib on column names: rows-only check)."""
