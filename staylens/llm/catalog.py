@@ -132,15 +132,18 @@ WHERE length({value}) >= {kind.least}""")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 c AS ({" UNION ALL ".join(parts)}),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM c JOIN d USING (r) GROUP BY value),
-j AS (SELECT c.*, owners < {secret_scan.EXAMPLE_OWNERS} AS live FROM c JOIN o USING (value)),
+o AS (SELECT value, count(DISTINCT doc_id) AS repos,
+             count(DISTINCT CASE WHEN source IS NULL THEN 'r:' || doc_id ELSE 'o:' || source END) AS owners
+      FROM c JOIN d USING (r) GROUP BY value),
+j AS (SELECT c.*, repos, owners, owners < {secret_scan.EXAMPLE_OWNERS} AND repos < {secret_scan.EXAMPLE_REPOS} AS live
+      FROM c JOIN o USING (value)),
 b AS (SELECT r, {counts}, {listed} AS base FROM j WHERE ord < {n} GROUP BY r),
 a AS (SELECT r, {listed} AS spans FROM j WHERE ord < {n} OR live GROUP BY r),
-v AS (SELECT r, count(CASE WHEN live THEN 1 END)::BIGINT AS n_live, count(CASE WHEN NOT live THEN 1 END)::BIGINT AS n_example
-      FROM j GROUP BY r)
+v AS (SELECT r, count(CASE WHEN live THEN 1 END)::BIGINT AS n_live, count(CASE WHEN NOT live THEN 1 END)::BIGINT AS n_example,
+             max(repos)::BIGINT AS n_repos, max(owners)::BIGINT AS n_owners FROM j GROUP BY r)
 SELECT doc_id, {", ".join(f"coalesce(n_{x.name}, 0) AS n_{x.name}" for x in secret_scan.BASE)},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
-       coalesce(n_example, 0) AS n_example
+       coalesce(n_example, 0) AS n_example, coalesce(n_repos, 0) AS n_repos, coalesce(n_owners, 0) AS n_owners
 FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r) LEFT JOIN v USING (r)
 """
 

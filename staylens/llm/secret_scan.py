@@ -1,20 +1,24 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions alone.
 
 Patterns propose candidates in every whole text. How widely a candidate's value is spread over the corpus then tells
-examples from credentials: a value in the texts of several owners is a copied example, one that a single owner's texts
-hold looks live. The exact base spans are always reported; of the further candidates only live-looking ones are.
-
-A match's place is found by looking for the matched string from the end of the match before. That is where the expression
-matched, as it has no look-around: if the string stood earlier, the expression would have matched there.
+examples from credentials: a value that several owners hold, or that very many repositories of one owner hold, is a copied
+example; one that stays with an owner and in few places looks live. A repository without an owner is its own owner. The exact base
+spans are always reported; of the further candidates only live-looking ones are.
+
+A match's place is the length of all texts between the matches before it and of these matches: a text is split by the
+expression, and a running sum over its matches adds up both, so the work is linear in the text however many matches it has.
+Values meet their counts by join: the counts of few values are broadcast, of many salted (``join_group_stats``), so a value in
+a third of all texts is no hot key. Null repositories aren't counted.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from staylens.functions.semantics import join_group_stats
 from staylens.llm.common import materialised
 
 
@@ -41,26 +45,24 @@ ADDED = (
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Kind("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)", 1),
 )
-# A value in the texts of so many owners is a copied example.
+# A value of so many owners, or in so many repositories of however few, is a copied example.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 100
 
 
-def matches(text: Column, kind: Kind, order: int) -> Column:
-    """Array of (start, order, end, name, value) of a kind's matches: leftmost, not overlapping, in code points."""
+def matches(text: Column, kind: Kind) -> Column:
+    """Array of (gap, length, value) of a kind's matches: leftmost, not overlapping; ``gap`` is the text since the last one,
+    in code points, and a match that is to be dropped has no value."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string>>")
+    between = F.split(text, kind.pattern, -1)
 
-    def add(state: Column, match: Column) -> Column:
-        start = F.call_function("locate", match, text, state["at"])  # from 1
-        end = start - 1 + F.length(match)
+    def one(gap: Column, match: Column) -> Column:
         value = F.regexp_extract(match, kind.pattern, kind.value) if kind.value else match
-        span = F.struct((start - 1).alias("start"), F.lit(order).alias("order"), end.alias("end"),
-                        F.lit(kind.name).alias("kind"), value.alias("value"))
-        spans = F.when(F.length(value) >= kind.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((end + 1).cast("int").alias("at"), spans.cast(none_type).alias("spans"))
+        return F.struct(F.length(gap).alias("gap"), F.length(match).alias("length"),
+                        F.when(F.length(value) >= kind.least, value).alias("value"))
 
-    none_type = "array<struct<start:int,order:int,end:int,kind:string,value:string>>"
-    return F.aggregate(found, F.struct(F.lit(1).alias("at"), none.alias("spans")), add, lambda s: s["spans"])
+    # Texts without a match are split into themselves alone; what follows the last match is left out.
+    return F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, one)
 
 
 def listed(spans: Column) -> Column:
@@ -70,51 +72,58 @@ def listed(spans: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    """A narrow row per document: ids, a hash of its text, its base spans by kind and its further spans."""
+    """A narrow row per document: ids, a number, and an array of matches per kind."""
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{repo_col}`").cast("string").alias("repo"),
                          F.col(f"`{owner_col}`").cast("string").alias("owner"),
                          F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    spans = {k.name: matches(F.col("text"), k, order) for order, k in enumerate((*BASE, *ADDED))}
-    each = source.select("doc_id", "repo", "owner", F.xxhash64("text").alias("text_hash"),
-                         *[c.alias(name) for name, c in spans.items()])
-    return each.select("doc_id", "repo", "owner", "text_hash", *[k.name for k in BASE],
-                       F.concat(*[F.col(k.name) for k in ADDED]).alias("added"))
+    return source.select("doc_id", "repo", "owner", F.monotonically_increasing_id().alias("row"),
+                         *[matches(F.col("text"), k).alias(k.name) for k in (*BASE, *ADDED)])
 
 
-def ownership(rows: DataFrame) -> DataFrame:
-    """``hash, n_repos, n_owners`` of every candidate value; copies in one repository count once.
+def spans_of(held: DataFrame) -> DataFrame:
+    """``row, repo, owner, start, order, end, kind, value`` of every match with a value."""
+    kinds = (*BASE, *ADDED)
+    rows = None
+    for order, k in enumerate(kinds):
+        part = held.where(F.size(k.name) > 0).select("row", "repo", "owner", F.lit(order).alias("order"), F.lit(k.name).alias("kind"),
+                                                     F.posexplode(k.name).alias("at", "m"))
+        rows = part if rows is None else rows.unionByName(part)
+    upto = Window.partitionBy("row", "order").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("m.gap") + F.col("m.length")).over(upto)
+    return rows.withColumn("end", end.cast("int")).where(F.col("m.value").isNotNull()).select(
+        "row", "repo", "owner", (F.col("end") - F.col("m.length")).alias("start"), "order", "end", "kind", F.col("m.value").alias("value"))
 
-    Distinct counts are aggregated within each task before any shuffle, so a value in a third of all rows is no hot spot.
-    A null repository or owner isn't counted.
-    """
-    return rows.groupBy("hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
+
+def ownership(rows: DataFrame) -> DataFrame:
+    """``hash, n_repos, n_owners`` of every candidate value; copies in one repository count once, and a repository
+    without an owner is its own. Distinct counts are aggregated within each task before any shuffle."""
+    owner = F.when(F.col("owner").isNotNull(), F.concat(F.lit("o:"), "owner")).otherwise(F.concat(F.lit("r:"), "repo"))
+    return rows.groupBy("hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct(owner).alias("n_owners"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
-         owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``doc_id``, base counts, ``base_sha256``, ``spans``, and how many of the values look live or are examples.
+         owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """``doc_id``, base counts, ``base_sha256``, ``spans``, how many of the values look live or are examples, and the
+    repositories and owners of the most widely spread of its values.
 
     In the documents table a document stands for a repository and its source for the owner. A null text counts as empty;
     null ids and repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
     held = materialised(candidates(docs, id_col, text_col, repo_col, owner_col))
-    all_spans = F.concat(*[F.col(k.name) for k in BASE], F.col("added"))
-    one = held.filter(F.size(all_spans) > 0).select(
-        "doc_id", "text_hash", "repo", "owner", F.explode(all_spans).alias("span")).withColumn(
-        "hash", F.sha2(F.col("span.value"), 256))
-    spread = ownership(one)
-    # Rows that repeat a document hold the same spans: they are judged once and joined to each.
-    judged = one.select("doc_id", "text_hash", "span", "hash").distinct().join(spread, "hash").withColumn(
-        "live", F.col("n_owners") < example_owners)
-    extra = F.col("live") & (F.col("span.order") >= len(BASE))
-    verdicts = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.collect_list(F.when(extra, F.col("span"))).alias("extra"),
-        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    base = F.concat(*[F.col(k.name) for k in BASE])
-    none = F.filter(base, lambda s: F.lit(False))
-    return held.join(verdicts, same, "left").select(
-        "doc_id", *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in BASE],
-        F.sha2(listed(base), 256).alias("base_sha256"),
-        listed(F.concat(base, F.coalesce(F.col("extra"), none))).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+    one = materialised(spans_of(held).withColumn("hash", F.sha2("value", 256)).drop("value"))
+    live = (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos)
+    judged = join_group_stats(one, ownership(one), ["hash"]).withColumn("live", live)
+    span = F.struct("start", "order", "end", "kind")
+    base = F.col("order") < len(BASE)
+    per = judged.groupBy("row").agg(
+        F.collect_list(F.when(base, span)).alias("base"), F.collect_list(F.when(base | F.col("live"), span)).alias("all"),
+        *[F.count_if(F.col("order") == k).alias(f"n_{x.name}") for k, x in enumerate(BASE)],
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
+        F.max("n_repos").alias("n_repos"), F.max("n_owners").alias("n_owners"))
+    shown = per.select("row", *[f"n_{x.name}" for x in BASE], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+                       listed(F.col("all")).alias("spans"), "n_live", "n_example", "n_repos", "n_owners")
+    counts = [*[f"n_{x.name}" for x in BASE], "n_live", "n_example", "n_repos", "n_owners"]
+    none = F.sha2(F.lit(""), 256)
+    return held.select("doc_id", "row").join(shown, "row", "left").select(
+        "doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("base_sha256", none).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))

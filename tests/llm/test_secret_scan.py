@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 from staylens.llm import secret_scan as scan
@@ -31,15 +32,29 @@ def test_base_spans_equal_brute_force(make_docs, odd_docs, no_docs):
 
 def test_ownership_separates_examples_from_live_values(make_docs):
     copied, own, added = "password=copied1234", "token=mine567890", "ghp_" + "a1B2" * 9
-    texts = [f"w {copied} w"] * 300 + [f"w {own} é {added}"] * 3 + [f"again {added}"] * 0
-    docs = make_docs(texts, sources=("s1", "s2", "s3"))
-    alone = make_docs([f"w {own} é {added}"] * 200, sources=("s1",))
+    docs = make_docs([f"w {copied} w"] * 90 + [f"w {own} é {added}"] * 3, sources=("s1", "s2", "s3"))
+    alone = make_docs([f"w {own} é {added}"] * 50, sources=("s1",))
     by = scan.scan(alone).collect()
-    assert {(r.n_live, r.n_example) for r in by} == {(2, 0)}
+    assert {(r.n_live, r.n_example, r.n_repos, r.n_owners) for r in by} == {(2, 0, 50, 1)}
     assert {r.spans for r in by} == {"assign:2:18,vendor:21:61"}
     spread = scan.scan(docs).collect()
-    assert {(r.n_live, r.n_example, r.spans) for r in spread if r.doc_id < 300} == {(0, 1, "assign:2:21")}
-    assert {(r.n_live, r.n_example, r.spans) for r in spread if r.doc_id >= 300} == {(0, 2, "assign:2:18")}
+    assert {(r.n_live, r.n_example, r.spans) for r in spread if r.doc_id < 90} == {(0, 1, "assign:2:21")}
+    assert {(r.n_live, r.n_example, r.spans) for r in spread if r.doc_id >= 90} == {(0, 2, "assign:2:18")}
+    # One owner with very many repositories, and as many repositories without an owner.
+    many = scan.scan(make_docs([f"w {own} é {added}"] * 200, sources=("s1",))).collect()
+    assert {(r.n_live, r.n_example, r.spans, r.n_repos, r.n_owners) for r in many} == {(0, 2, "assign:2:18", 200, 1)}
+    assert {(r.n_live, r.n_example, r.n_owners) for r in scan.scan(make_docs([f"w {added}"] * 5, sources=(None,))).collect()} == {(0, 1, 5)}
+    assert {(r.n_live, r.n_owners) for r in scan.scan(make_docs([f"w {added}"] * 2, sources=(None,))).collect()} == {(1, 2)}
+
+
+def test_a_text_of_very_many_matches(make_docs):
+    n = 200_000
+    text = " é ".join(f"token=v{k:07d}" for k in range(n))
+    began = time.monotonic()
+    row = scan.scan(make_docs([text])).first()
+    assert row.n_assign == n and time.monotonic() - began < 60
+    starts = ["assign:%d:%d" % (k * 17, k * 17 + 14) for k in range(n)]
+    assert row.spans == ",".join(starts)
 
 
 def test_only_native_operators(make_docs):
