@@ -12,7 +12,8 @@ whose own markup labels them (an ``article`` or ``main`` element), at most about
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -65,11 +66,16 @@ def name_words(value: str) -> list[str]:
 class Page(HTMLParser):
     """Elements as nodes (parents first), and blocks of text in page order as lists of (node, text).
 
-    Inline elements are nodes only if they are named or hidden; others belong to the node around them.
+    Inline elements are nodes only if they are named or hidden; others belong to the node around them. The places of open
+    elements are kept by tag, so finding the one that a tag ends costs a search among those tags' places, however deep the
+    page is nested. Only pages that were made for training may state labels (``marks``).
     """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, marks: bool = True):
         super().__init__(convert_charrefs=True)
+        self.marks = marks
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by tag
+        self.block_places: list[int] = []
         self.nodes = [Node("html", (), -1, None, False, False)]
         self.blocks: list[list[tuple[int, str]]] = []
         self.open: list[tuple[str, int]] = []  # tag, and its node or the one around it
@@ -87,23 +93,31 @@ class Page(HTMLParser):
             self.blocks.append(self.run)
             self.run = []
 
+    def push(self, tag: str, node: int) -> None:
+        self.places[tag].append(len(self.open))
+        if tag in BLOCK:
+            self.block_places.append(len(self.open))
+        self.links += tag == "a"
+        self.open.append((tag, node))
+
     def pop_to(self, size: int) -> None:
-        gone = [tag for tag, _ in self.open[size:]]
-        self.links -= gone.count("a")
-        if not BLOCK.isdisjoint(gone):
+        block = False
+        while len(self.open) > size:
+            tag, _ = self.open.pop()
+            self.places[tag].pop()
+            self.links -= tag == "a"
+            if tag in BLOCK:
+                self.block_places.pop()
+                block = True
+        if block:
             self.flush()
-        del self.open[size:]
 
     def close_open(self, tags: set[str], until: set[str] | frozenset[str]) -> None:
         """End the outermost open element of ``tags`` that is within the nearest of ``until``."""
-        found = None
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in until:
-                break
-            if self.open[k][0] in tags:
-                found = k
-        if found is not None:
-            self.pop_to(found)
+        limit = max((p[-1] for t in until if (p := self.places.get(t))), default=-1)
+        within = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, limit)) < len(p)]
+        if within:
+            self.pop_to(min(within))
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -130,22 +144,19 @@ class Page(HTMLParser):
         # A header within an article holds its headings; any other header is the page's.
         dropped = around.dropped or tag in NEVER or bool(hidden) or (tag == "header" and not around.in_article)
         if block or words or dropped != around.dropped:
-            label = {"1": 1, "0": 0}.get(given.get("data-label", ""))
+            label = {"1": 1, "0": 0}.get(given.get("data-label", "")) if self.marks else None
             self.nodes.append(Node(tag, words, at, label, dropped, around.in_article or tag in ("article", "main")))
             at = len(self.nodes) - 1
-        self.links += tag == "a"
-        self.open.append((tag, at))
+        self.push(tag, at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash at a start tag's end means nothing in HTML
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.pop_to(k)
-                return
-            if tag not in BLOCK and self.open[k][0] in BLOCK:
-                return  # the end of an inline element doesn't reach over a block
+        own = self.places.get(tag)
+        # The end of an inline element doesn't reach over a block.
+        if own and (tag in BLOCK or not self.block_places or self.block_places[-1] < own[-1]):
+            self.pop_to(own[-1])
 
     def handle_data(self, data):
         at = self.here()
@@ -326,7 +337,7 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
         found: Counter = Counter()
         for part in slices(batches, "html"):
             for html in part["html"].to_pylist():
-                count_page(Page(html or ""), found)
+                count_page(Page(html or "", marks=False), found)
         rows = list(found.items())
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.string()),

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from staylens.llm import html_extract as h
 
@@ -73,3 +74,18 @@ def test_odd_rows(spark):
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in got) == [
         (0, "u", S.strip(), len(S.strip())), (1, "", "", 0), (2, "u", "", 0), (2, "u", "", 0)]
     assert h.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_deep_and_stray_elements_are_linear():
+    n = 200_000
+    for page in ("<div>" * n + plain(40), ("<div>" * 1000 + "</section>" * 1000) * (n // 2000), "<p><b>" * (n // 2) + "</i>" * n,
+                 "<table>" + "<tr><td>x" * (n // 2), "<ul>" * (n // 2) + "<li>y" * (n // 2)):
+        began = time.monotonic()
+        h.Page(page)
+        model().extract(page)
+        assert time.monotonic() - began < 60
+
+
+def test_only_made_pages_state_labels():
+    page = f"<div data-label='1' class=menu><p>{S}</p></div><article><p>{S}</p></article>"
+    assert h.labels_of(h.Page(page))[1] == 1 and h.labels_of(h.Page(page, marks=False))[1] == 0
