@@ -9,10 +9,14 @@ from each state before it to each state after it.
 So a conversation may be of any length. Turns are dealt out in ranges of (conversation, turn), each task reads its range in
 order, and only the conversations at a range's two ends can go on in another task. Their matrices, at most two per task, are
 composed on the driver, which tells each task in which states its first and last conversation begin and end.
+
+A mark inside a text can't open or close a message: it gets a backslash after its first character, and one that has
+backslashes there already gets one more, so nothing is lost and ``unescape`` gives the text back.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
@@ -29,6 +33,7 @@ ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "question": "user", "bot": "assistant", "gpt": "assistant",
            "model": "assistant", "ai": "assistant", "answer": "assistant", "instruction": "system", "developer": "system"}
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+_MARK = re.compile(r"<(\\*)(\|im_(?:start|end)\|>)")
 
 # Costs of the edits. A relabelled and merged turn costs both.
 MERGE, RELABEL, INSERT = 1, 2, 3
@@ -142,9 +147,18 @@ def link(ends: list[dict]) -> dict[int, dict]:
     return dict(out)
 
 
+def escape(text: str) -> str:
+    """The text with one backslash more in each mark. As backslashes are only ever added, no new mark can arise."""
+    return _MARK.sub(r"<\1\\\2", text)
+
+
+def unescape(text: str) -> str:
+    """The text before ``escape``."""
+    return re.sub(r"<\\(\\*\|im_(?:start|end)\|>)", r"<\1", text)
+
+
 def message(role: int, text: str) -> str:
-    # A text can't close its message or open another.
-    return f"{OPEN}{ROLES[role]}\n{text.replace(OPEN, '').replace(CLOSE, '')}"
+    return f"{OPEN}{ROLES[role]}\n{text}"
 
 
 def pieces(roles: list[int], texts: list[str | None], where: dict | None = None) -> list[tuple[str, str, list[str], str]]:
@@ -155,7 +169,7 @@ def pieces(roles: list[int], texts: list[str | None], where: dict | None = None)
     where = where or {"begin": START, "end": None, "opens": True, "closes": True}
     out, is_open, state = [], not where["opens"], where["begin"]
     for (action, role, before), text in zip(repair(roles, where["begin"], where["end"]), texts):
-        clean = (text or "").replace(OPEN, "").replace(CLOSE, "")
+        clean = escape(text or "")
         if action in ("merge", "relabel_merge"):
             piece = "\n" + clean
         else:
@@ -173,12 +187,16 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """A row per turn: ``conv_id, turn, role``, ``new_role``, ``action``, ``inserted`` roles and the ``rendered`` piece.
 
     A conversation's rendering is its pieces joined in order of turn. Turns with equal numbers are taken in order of role,
-    then of a hash of the text; null numbers come first. An unknown or null role has to be relabelled, a null text is
+    then of a hash of the text; null numbers come first. Ids that are neither integers nor text come out as text. An unknown or null role has to be relabelled, a null text is
     empty, rows with a null conversation id form one conversation, and repeated rows are turns of their own. An empty table
     gives an empty result; other columns are ignored.
     """
     order = ["conv_id", "turn", "role", "_text_hash", "_row"]
-    own = turns.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"),
+    known_kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    conv = F.col(f"`{conv_col}`")
+    if turns.select(conv).schema[0].dataType.simpleString() not in known_kinds:
+        conv = conv.cast("string")
+    own = turns.select(conv.alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"),
                        F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
     keyed = own.withColumns({"_text_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
     dealt = keyed.repartitionByRange(tasks, *order) if tasks else keyed.repartitionByRange(*order)
@@ -205,7 +223,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
              pa.array(sides, pa.list_(pa.string())), pa.array(cells, pa.list_(pa.int64()))], names=names)
 
     conv_kind = held.schema["conv_id"].dataType.simpleString()
-    conv_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[conv_kind]
+    conv_type = known_kinds[conv_kind]
     rows = held.select("conv_id", "role", "part").mapInArrow(
         ends, f"part int, conv_id {conv_kind}, at array<string>, cells array<long>").collect()
     placed = sorted(rows, key=lambda r: (r["part"], "first" not in r["at"]))
