@@ -37,7 +37,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK = 8
-SHARD_DOCS = 100_000
+SHARD_DOCS = 10_000
 PARTS = 1000  # a source's weight is counted in thousandths of a block, so that sums are exact
 
 
