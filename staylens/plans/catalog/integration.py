@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from staylens.functions.semantics import r4
 from staylens.operators import discovery as D
 from staylens.operators import integrate as J
+from staylens.plans.catalog.discovery import TITLES_SQL
 from staylens.plans.registry import register
 from staylens.sources import roles
 
@@ -145,9 +146,9 @@ def j6_merge_report(spark, d):
                       "key_match_rate")
 
 
-@register("j7_discovery_enriched")
+@register("j7_discovery_enriched", roles=("listings",), sql=TITLES_SQL)
 def j7_discovery_enriched(spark, d):
-    """Discovery re-run on the enriched listings (rows-only)."""
+    """Discovery re-run on the enriched listings: a left merge by key keeps every listing once, so the titles stay."""
     enriched, _ = J.merge_with_report(roles.listings(spark, d), roles.external(spark, d), "Neighbourhood-Cleansed",
                                       "neighbourhood_cleansed", IMPORT)
     return D.run_discovery(enriched).select("category", "severity", "title")
