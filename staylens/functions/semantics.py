@@ -141,14 +141,17 @@ def evaluated_once(df: DataFrame) -> Iterator[DataFrame]:
         held.unpersist()
 
 
-def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner", groups: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``stats`` (one row per group) by equal keys, never shuffling a hot group whole.
 
-    The statistics are computed once and counted: up to ``MAX_BROADCAST_GROUPS`` rows are broadcast, so the rows stay
-    where they are. More groups hold few rows each on average, but any may be hot, so rows are spread over salts."""
+    The statistics are computed once and counted (unless the caller has: ``groups``): up to ``MAX_BROADCAST_GROUPS`` rows are
+    broadcast, so the rows stay where they are. More groups hold few rows each on average, but any may be hot, so rows are
+    spread over salts."""
     keys = list(keys)
-    stats = checkpointed(stats)
-    if stats.count() <= MAX_BROADCAST_GROUPS:
+    if groups is None:
+        stats = checkpointed(stats)
+        groups = stats.count()
+    if groups <= MAX_BROADCAST_GROUPS:
         return rows.join(F.broadcast(stats), keys, how)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     each = stats.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
@@ -257,8 +260,8 @@ def _ranks(p: float) -> tuple[Column, Column]:
     return F.floor(pos), F.ceil(pos)
 
 
-def _brackets(base: DataFrame, kcols: list[str], probs, accuracy: int, last_values: int, extra: Sequence[Column]) -> DataFrame:
-    """Per group: ``_n``, and arrays over the probabilities of the bracket's ends (``_lo``, ``_hi``, equal to ranked values or
+def _brackets(base: DataFrame, kcols: list[str], probs, accuracy: int, last_values: int, extra: Sequence[Column]) -> tuple[DataFrame, int]:
+    """The number of groups, and per group ``_n``, and arrays over the probabilities of the bracket's ends (``_lo``, ``_hi``, equal to ranked values or
     beyond them) and of how many values may lie strictly inside (``_in``); groups under ``accuracy`` rows have null brackets."""
     eps, k = 1.0 / accuracy, len(probs)
     ends = [max(0.0, p - 3 * eps) for p in probs] + [min(1.0, p + 3 * eps) for p in probs]
@@ -274,17 +277,20 @@ def _brackets(base: DataFrame, kcols: list[str], probs, accuracy: int, last_valu
     grid = max(4, accuracy // 10)
     points = F.array(*[F.lit(j / grid) for j in range(grid + 1)])
     wide = F.exists("_in", lambda x: x > last_values)
-    while state.where(wide).limit(1).count():
+    while True:
+        seen = state.agg(F.count(F.lit(1)).alias("groups"), F.max(wide).alias("wide")).first()
+        if not seen.wide:
+            return state, seen.groups
         hot = state.where(wide)
         # Only the few ends are sent to the rows.
-        rows = base.join(F.broadcast(hot), kcols) if kcols == ["_g"] else join_group_stats(base, hot, kcols)
+        rows = join_group_stats(base, hot, kcols, groups=seen.groups)
         aggs = [F.first(c).alias(c) for c in (*more, "_n", "_lo", "_hi")]
         for i in range(k):
             low, high = F.col("_lo")[i], F.col("_hi")[i]
             strictly = (F.col("_v") > low) & (F.col("_v") < high)
             aggs += [F.count(F.when(F.col("_v") <= low, 1)).alias(f"_b{i}"), F.count(F.when(strictly, 1)).alias(f"_s{i}"),
                      F.percentile_approx(F.when(strictly, F.col("_v")), points, accuracy).alias(f"_g{i}")]
-        seen = rows.groupBy(*kcols).agg(*aggs)
+        looked = rows.groupBy(*kcols).agg(*aggs)
         lows, highs, lefts = [], [], []
         for i, p in enumerate(probs):
             low, high, below, strict, at = F.col("_lo")[i], F.col("_hi")[i], F.col(f"_b{i}"), F.col(f"_s{i}"), F.col(f"_g{i}")
@@ -297,20 +303,19 @@ def _brackets(base: DataFrame, kcols: list[str], probs, accuracy: int, last_valu
             span = F.least(z, F.lit(grid)) - F.greatest(a, F.lit(0)) + 1
             lefts.append(F.when((strict == 0) | (first >= below + strict) | (last < below), 0.0).otherwise(
                 F.least(strict * 1.0, strict * span / grid)))
-        narrower = seen.select(*kcols, *more, "_n", F.array(*lows).alias("_nlo"), F.array(*highs).alias("_nhi"), F.array(*lefts).alias("_in"), "_lo", "_hi")
+        narrower = looked.select(*kcols, *more, "_n", F.array(*lows).alias("_nlo"), F.array(*highs).alias("_nhi"), F.array(*lefts).alias("_in"), "_lo", "_hi")
         # A bracket that no longer shrinks holds few distinct values: its ends are as close as the grid can tell.
         still = (F.col("_nlo") == F.col("_lo")) & (F.col("_nhi") == F.col("_hi"))
         narrower = narrower.select(*kcols, *more, "_n", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"),
                                    F.when(still, F.array(*[F.lit(0.0)] * k)).otherwise(F.col("_in")).alias("_in"))
         state = checkpointed(state.where(~wide).unionByName(narrower))
-    return state
 
 
 def _bracket_quantiles(base: DataFrame, kcols: list[str], probs, names, accuracy: int, last_values: int = LAST_VALUES,
                        extra: Sequence[Column] = ()) -> DataFrame:
-    stats = _brackets(base, kcols, probs, accuracy, last_values, extra)
+    stats, groups = _brackets(base, kcols, probs, accuracy, last_values, extra)
     more = [c for c in stats.columns if c not in (*kcols, "_n", "_lo", "_hi", "_in")]
-    counted = folded_values(base, kcols, stats.select(*kcols, "_n", "_lo", "_hi"), len(probs))
+    counted = folded_values(base, kcols, stats.select(*kcols, "_n", "_lo", "_hi"), len(probs), groups)
     w = Window.partitionBy(*kcols).orderBy("_kv", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = counted.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
     aggs = [F.first("_n").alias("_n")]
@@ -330,10 +335,10 @@ def _bracket_quantiles(base: DataFrame, kcols: list[str], probs, names, accuracy
     return out.join(stats.select(*kcols, *more), kcols) if more else out
 
 
-def folded_values(base: DataFrame, kcols: list[str], stats: DataFrame, k: int) -> DataFrame:
+def folded_values(base: DataFrame, kcols: list[str], stats: DataFrame, k: int, groups: int | None = None) -> DataFrame:
     """What the last window ranks: rows counted per (group, value) inside the brackets, and one marker per gap (kind 0)."""
     # Rows fold into their brackets before any shuffle wherever the brackets can be broadcast.
-    joined = base.join(F.broadcast(stats), kcols) if kcols == ["_g"] else join_group_stats(base, stats, kcols)
+    joined = join_group_stats(base, stats, kcols, groups=groups)
     v = F.col("_v")
     los, his = [F.col("_lo")[i] for i in range(k)], [F.col("_hi")[i] for i in range(k)]
     inside = None
