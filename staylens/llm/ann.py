@@ -25,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,7 +242,7 @@ def lists(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         yield _batch(PAIRS, near[few], ids[few], np.zeros(len(few), bool))
 
     rows = edges.mapInArrow(pairs, "id long, member long, own boolean")
-    known = nodes.withColumnRenamed("id", "member").hint("shuffle_hash")
+    known = nodes.withColumnRenamed("id", "member")
     return rows.join(known, "member").repartition("id").sortWithinPartitions("id")
 
 
@@ -276,7 +277,7 @@ def descend(edges: DataFrame, units: DataFrame) -> DataFrame:
                 found.append((ids[a + to], ids[a + of], sims[to, of]))
             yield _batch(EDGES, *best_of(*(np.concatenate(c) for c in zip(*found)), NEIGHBOURS))
 
-    nodes = units.join(floors(edges).hint("shuffle_hash"), "id", "left").fillna(NONE, ["floor"])
+    nodes = units.join(floors(edges), "id", "left").fillna(NONE, ["floor"])
     return merged(edges.union(lists(edges, nodes).mapInArrow(propose, EDGES_DDL)), NEIGHBOURS)
 
 
@@ -313,7 +314,7 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, k: int, least:
 
     # Rows of the graph with their neighbours' vectors, kept in one partitioning for the joins of all rounds.
     graph = lists(edges, units).mapInArrow(rows_of, "node long, members array<long>, units array<binary>").repartition(
-        "node").persist()
+        "node").persist(StorageLevel.DISK_ONLY)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
@@ -387,7 +388,7 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, k: int, least:
     while not state.filter(F.exists("open", lambda x: x)).isEmpty():
         total, beam = total + most, max(2 * (total + most), least)
         frontier = state.mapInArrow(partial(step, most=most, beam=beam), "node long, query long, unit binary, floor float")
-        seen = frontier.hint("shuffle_hash").join(graph, "node").select("query", "unit", "floor", "members", "units").mapInArrow(
+        seen = frontier.join(graph, "node").select("query", "unit", "floor", "members", "units").mapInArrow(
             look, "query long, ids array<long>, sims array<float>")
         both = state.mapInArrow(partial(closed, most=most), STATE).unionByName(seen, allowMissingColumns=True)
         state = materialised(both.repartition("query").sortWithinPartitions("query").mapInArrow(
@@ -406,7 +407,7 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
     own, nodes = nodes_of(embeddings, id_col, vector_col)
     members = materialised(smallest_ids(own, nodes, k + 1))
     # One partitioning by id for the joins of all rounds.
-    units = packed_units(nodes).repartition("id").persist()
+    units = packed_units(nodes).repartition("id").persist(StorageLevel.DISK_ONLY)
     n = units.count()
     edges = build_graph(units, n)
     asked = materialised(own.filter(F.col("row_id") % every == 0).join(nodes.select(F.col("id").alias("node"), "vec"), "vec").select(
