@@ -351,6 +351,7 @@ def backtest_summary(scored: DataFrame) -> DataFrame:
 def forecast_summary(fc: DataFrame, last_n: int = HORIZON) -> DataFrame:
     """T-5: over each series' last ``last_n`` rows by date: mean / min / max yhat, trend (last > first: up),
     mean lower and upper bound."""
+    # The names of the columns are fixed values.
     w = Window.partitionBy("series").orderBy(F.col("ds").desc())
     tail = fc.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= last_n)
     return tail.groupBy("series").agg(

@@ -133,6 +133,7 @@ SELECT conv_id, turn, len(types) > 0 AS has_hallucination, CAST(len(types) AS IN
 FROM audited
 """)
 def h5_audit_conversations(spark, d):
+    """H-3 to H-5 over the conversations. A fixed question and answer of some kind is put in front of each pair of turns (``_posed``), as the invented texts ask nothing."""
     a = _audited(spark, d)
     price = F.filter("errors", lambda e: e["type"] == "price_mismatch")
     return a.select("conv_id", "turn", "has_hallucination", F.size("errors").alias("n_errors"),
@@ -150,6 +151,7 @@ SELECT count(*)::BIGINT AS tested, count(CASE WHEN len(types) = 0 THEN 1 END)::B
 FROM audited
 """)
 def h6_pass_rate(spark, d):
+    """H-6 over the conversations. A fixed question and answer of some kind is put in front of each pair of turns (``_posed``), as the invented texts ask nothing."""
     return _r4all(H.pass_rate(_audited(spark, d)))
 
 
@@ -162,6 +164,7 @@ SELECT conv_id, turn, {_any_sql("lower(answer)", H.HEDGE_WORDS)} AS hedged,
 FROM qa
 """)
 def h7_hedged_answers(spark, d):
+    """H-7 over the conversations. A fixed question and answer of some kind is put in front of each pair of turns (``_posed``), as the invented texts ask nothing."""
     t = _posed(spark, d, H.ground_truth(roles.listings(spark, d)))
     hedged = H.hedge("answer")
     return t.select("conv_id", "turn", (hedged != F.col("answer")).alias("hedged"), hedged.alias("final_answer"))

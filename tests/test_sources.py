@@ -128,3 +128,13 @@ def test_csv_sink_and_external_inferred(spark, tmp_path):
     back = S.read_external_csv(spark, path)
     assert dict(back.dtypes) == {"a": "int", "b": "string", "c": "double"}
     assert back.first().b == "x, y"
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from staylens.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
