@@ -50,19 +50,18 @@ EXAMPLE_OWNERS = 3
 EXAMPLE_REPOS = 100
 
 
-def matches(text: Column, kind: Kind) -> Column:
-    """Array of (gap, length, value) of a kind's matches: leftmost, not overlapping; ``gap`` is the text since the last one,
-    in code points, and a match that is to be dropped has no value."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
+def matches(text: Column, found: Column, kind: Kind) -> Column:
+    """Array of (gap, length, value) of a kind's matches, given their texts ``found``: leftmost, not overlapping; ``gap`` is the
+    text since the last one, in code points, and a match that is to be dropped has no value. Null where there is no match."""
 
     def one(gap: Column, match: Column) -> Column:
         value = F.regexp_extract(match, kind.pattern, kind.value) if kind.value else match
         return F.struct(F.length(gap).alias("gap"), F.length(match).alias("length"),
                         F.when(F.length(value) >= kind.least, value).alias("value"))
 
-    # Texts without a match are split into themselves alone; what follows the last match is left out.
-    return F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, one)
+    # What follows the last match is left out; texts without a match aren't split.
+    between = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(found))
+    return F.when(F.size(found) > 0, F.zip_with(between, found, one))
 
 
 def listed(spans: Column) -> Column:
@@ -76,8 +75,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{repo_col}`").cast("string").alias("repo"),
                          F.col(f"`{owner_col}`").cast("string").alias("owner"),
                          F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return source.select("doc_id", "repo", "owner", F.monotonically_increasing_id().alias("row"),
-                         *[matches(F.col("text"), k).alias(k.name) for k in (*BASE, *ADDED)])
+    kinds = (*BASE, *ADDED)
+    # The texts of the matches are columns of their own, so that each expression runs once over a text.
+    found = source.select("*", *[F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias(f"_{k.name}") for k in kinds])
+    return found.select("doc_id", "repo", "owner", F.monotonically_increasing_id().alias("row"),
+                        *[matches(F.col("text"), F.col(f"_{k.name}"), k).alias(k.name) for k in kinds])
 
 
 def spans_of(held: DataFrame) -> DataFrame:
