@@ -30,6 +30,7 @@ from staylens.functions.semantics import checkpointed
 BLOCK_ROWS = 20_000
 RENEW = (4, 9, 20, 45, 100, 200)  # iterations before which bounds are renewed
 SEED_PASSES = 4
+FEW_TASKS = 64  # whose sums the driver adds up itself
 MAX_ITER = 300
 TOL = 1e-4
 
@@ -66,8 +67,8 @@ def _sums(x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
     return np.column_stack([np.bincount(own, minlength=k), *[np.bincount(own, x[:, i], k) for i in range(x.shape[1])]])
 
 
-def _collect(frame: DataFrame, step, width: int) -> np.ndarray:
-    """Add up one row of ``width`` numbers per cluster over all tasks. Tasks add theirs up before the shuffle."""
+def _collect(frame: DataFrame, step, width: int, tasks: int) -> np.ndarray:
+    """Add up one row of ``width`` numbers per cluster over all tasks, on the driver if there are few, else by a shuffle."""
     names = [f"v{i}" for i in range(width)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,11 +80,13 @@ def _collect(frame: DataFrame, step, width: int) -> np.ndarray:
         if total is not None:
             yield pd.DataFrame({"c": np.arange(len(total)), **{v: total[:, i] for i, v in enumerate(names)}})
 
-    rows = frame.mapInPandas(run, "c long, " + ", ".join(f"{v} double" for v in names)).groupBy("c").agg(
-        *[F.sum(v).alias(v) for v in names]).collect()
+    sums = frame.mapInPandas(run, "c long, " + ", ".join(f"{v} double" for v in names))
+    if tasks > FEW_TASKS:
+        sums = sums.groupBy("c").agg(*[F.sum(v).alias(v) for v in names])
+    rows = sums.collect()
     out = np.zeros((max((r["c"] for r in rows), default=-1) + 1, width))
     for r in rows:
-        out[r["c"]] = [r[v] for v in names]
+        out[r["c"]] += [r[v] for v in names]
     return out
 
 
@@ -118,7 +121,7 @@ def renewed(frame: DataFrame, runs: list[np.ndarray]) -> DataFrame:
     return checkpointed(frame.select("block", "n", "x").mapInPandas(keep, _STATE))
 
 
-def plain_pass(frame: DataFrame, runs: list[np.ndarray]) -> np.ndarray:
+def plain_pass(frame: DataFrame, runs: list[np.ndarray], tasks: int = FEW_TASKS + 1) -> np.ndarray:
     """Per run and cluster: rows, feature sums and cost, with all distances computed."""
     d, spans, stacked = runs[0].shape[1], _spans(runs), np.vstack(runs)
 
@@ -132,10 +135,10 @@ def plain_pass(frame: DataFrame, runs: list[np.ndarray]) -> np.ndarray:
             out[lo:hi, -1] = np.bincount(own, far[np.arange(len(x)), lo + own], hi - lo)
         return out
 
-    return _collect(frame, step, d + 2)
+    return _collect(frame, step, d + 2, tasks)
 
 
-def bounded_pass(frame: DataFrame, kept: list[np.ndarray], runs: dict[int, np.ndarray]) -> np.ndarray:
+def bounded_pass(frame: DataFrame, kept: list[np.ndarray], runs: dict[int, np.ndarray], tasks: int = FEW_TASKS + 1) -> np.ndarray:
     """Rows, feature sums and rows looked at per cluster of the given runs, from the state kept for the centres ``kept``."""
     d, spans = kept[0].shape[1], _spans(kept)
     kind = "u1" if max(map(len, kept)) < 256 else "u2"
@@ -160,7 +163,7 @@ def bounded_pass(frame: DataFrame, kept: list[np.ndarray], runs: dict[int, np.nd
                 out[lo, -1] = len(open_rows)
         return out
 
-    return _collect(frame, step, d + 2)
+    return _collect(frame, step, d + 2, tasks)
 
 
 def lloyd(blocks: DataFrame, starts: Sequence[np.ndarray], max_iter: int = MAX_ITER, tol: float = TOL,
@@ -169,6 +172,7 @@ def lloyd(blocks: DataFrame, starts: Sequence[np.ndarray], max_iter: int = MAX_I
     runs = [np.array(c, dtype=float) for c in starts]
     d = runs[0].shape[1]
     n = blocks.agg(F.sum("n")).first()[0] or 0
+    tasks = blocks.agg(F.count_distinct(F.shiftright("block", 32))).first()[0]  # a block's number begins with its task's
     settled: set[int] = set()
     frame, kept, looked, whole = blocks, None, 0.0, 0.0
     for t in range(max_iter):
@@ -179,10 +183,10 @@ def lloyd(blocks: DataFrame, starts: Sequence[np.ndarray], max_iter: int = MAX_I
             frame, kept = renewed(blocks, runs), [c.copy() for c in runs]
         whole += n * len(moving)
         if kept is None:
-            table = plain_pass(blocks, list(moving.values()))
+            table = plain_pass(blocks, list(moving.values()), tasks)
             looked += n * len(moving)
         else:
-            table = bounded_pass(frame, kept, moving)
+            table = bounded_pass(frame, kept, moving, tasks)
             looked += table[:, -1].sum()
         at = 0
         for r, old in moving.items():
@@ -192,7 +196,7 @@ def lloyd(blocks: DataFrame, starts: Sequence[np.ndarray], max_iter: int = MAX_I
             runs[r] = new
             if ((new - old) ** 2).sum(1).max() <= tol ** 2:
                 settled.add(r)
-    table = plain_pass(blocks, runs)
+    table = plain_pass(blocks, runs, tasks)
     costs = [float(table[lo:hi, -1].sum()) for lo, hi in _spans(runs)]
     return runs, costs, [r in settled for r in range(len(runs))], 1 - looked / max(whole, 1)
 
