@@ -14,10 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.functions.semantics import col_of, cut, hash_sample
+from staylens.functions.semantics import checkpointed, col_of, cut, hash_sample
 
 TOKEN_PATTERN = r"[\p{L}']+"
 NEGATION_FACTOR = -0.5
+BROADCAST_WORDS = 1_000_000  # rows of a word table that are broadcast, some tens of bytes each
 
 # A small English opinion lexicon (fixed values): every word has one of seven grades, given by this library.
 _GRADES = {
@@ -88,14 +89,18 @@ def polarity_by_table(reviews: DataFrame, lexicon: DataFrame, text: str = "comme
                       word: str = "word", score: str = "polarity", negations: Sequence[str] = NEGATIONS) -> DataFrame:
     """R-2 with a lexicon table of any size: ``id``, ``sentiment`` of every review (ids are unique).
 
-    Tokens are counted per review before the join, so a frequent word is one row per review, and hits are summed per
-    review. A word listed twice counts with its smallest score."""
+    A lexicon of up to ``BROADCAST_WORDS`` words is broadcast, so one row per review and task is shuffled. For a larger one, tokens are
+    counted per review before the join, so a frequent word is one row per review. A word listed twice counts with its smallest score."""
     t = tokens(text)
     pair = F.explode(F.arrays_zip(t.alias("w"), F.concat(F.array(F.lit("")), t).alias("p")))
-    one = reviews.select(F.col(id_col).alias("_id"), pair.alias("x")).where(F.col("x.w").isNotNull()).groupBy(
-        "_id", F.col("x.w").alias("_w"), F.col("x.p").isin(list(negations)).alias("_neg")).agg(F.count(F.lit(1)).alias("_n"))
-    lex = lexicon.where(F.col(word).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(word).alias("_w")).agg(
-        F.min(F.col(score).cast("double")).alias("_s"))
+    one = reviews.select(F.col(id_col).alias("_id"), pair.alias("x")).where(F.col("x.w").isNotNull()).select(
+        "_id", F.col("x.w").alias("_w"), F.col("x.p").isin(list(negations)).alias("_neg"), F.lit(1).alias("_n"))
+    lex = checkpointed(lexicon.where(F.col(word).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(word).alias("_w")).agg(
+        F.min(F.col(score).cast("double")).alias("_s")))
+    if lex.count() <= BROADCAST_WORDS:
+        lex = F.broadcast(lex)
+    else:
+        one = one.groupBy("_id", "_w", "_neg").agg(F.sum("_n").alias("_n"))
     sign = F.when(F.col("_neg"), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
     hits = one.join(lex, "_w").groupBy("_id").agg(
         (F.sum(F.col("_s") * sign * F.col("_n")) / F.sum("_n")).alias("_mean"))
