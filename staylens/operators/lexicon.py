@@ -3,8 +3,8 @@
 Words that stand within a few places of each other are linked; a link weighs its positive pointwise mutual information,
 so words that are merely frequent link weakly. Polarity then spreads from a few graded seed words along the links: in each
 round a word takes the weighted mean of its scored neighbours, shrunk towards zero while their weight is small, and seeds keep their
-grade. Every step is a join and a grouped sum over links, pre-aggregated before the shuffle; a word that nearly every other
-word links to is one row of the score table that is broadcast (or salted) to the links.
+grade. Every step is a join and a grouped sum over links, pre-aggregated before the shuffle. Words are numbers on the way, a pair of
+words is stored once with its count, and links are derived from the counts in every round rather than stored.
 
 Each token meets the next ``window`` tokens only, so the work is linear in the text and a long review is no pair explosion.
 Words in fewer than ``min_reviews`` reviews get no score: too little is known of them. Null texts have no words.
@@ -12,13 +12,15 @@ Words in fewer than ``min_reviews`` reviews get no score: too little is known of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.functions.semantics import checkpointed, join_group_stats, with_scalars
-from staylens.operators.sentiment import DEFAULT_LEXICON, tokens
+from staylens.functions.semantics import checkpointed, with_scalars
+from staylens.operators.sentiment import BROADCAST_WORDS, DEFAULT_LEXICON, tokens
+from staylens.session import ensure_checkpoint_dir
 
 WINDOW = 4
 MIN_REVIEWS = 5
@@ -26,31 +28,58 @@ SHRINKAGE = 1.0
 ROUNDS = 3
 
 
-def word_links(reviews: DataFrame, text: str = "comments", window: int = WINDOW, min_reviews: int = MIN_REVIEWS) -> DataFrame:
-    """``word, other, ppmi`` in both directions, for words in at least ``min_reviews`` reviews and positive information."""
+def _placed(rows: DataFrame, table: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """``rows`` joined to a table of one row a word. A large table is dealt by key: a word has at most a row for every other word."""
+    return rows.join(F.broadcast(table) if count <= BROADCAST_WORDS else table, keys)
+
+
+def pair_counts(reviews: DataFrame, text: str = "comments", window: int = WINDOW,
+                min_reviews: int = MIN_REVIEWS) -> tuple[DataFrame, DataFrame, int]:
+    """(``word, id`` of the words in at least ``min_reviews`` reviews; ``a, b, n``: how often two of them, by id, are near each
+    other, each pair once; the number of words). Words become numbers, and rare ones leave, before the counts are shuffled; the
+    counts are kept as columns."""
     t = F.col("_t")
-    tokenised = reviews.select(tokens(text).alias("_t")).where(F.size("_t") > 0)
+    tokenised = reviews.select(tokens(text).alias("_t"))
     known = tokenised.select(F.explode(F.array_distinct("_t")).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("_in")).where(F.col("_in") >= min_reviews).select("word")
-    known = checkpointed(known)
+    known = checkpointed(known.select("word", F.monotonically_increasing_id().alias("id")))
+    words = known.count()
     near = []
     for j in range(1, window + 1):
         n = F.greatest(F.size(t) - j, F.lit(0))
-        near.append(F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(j + 1), n),
-                               lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))))
-    pairs = tokenised.select(F.explode(F.concat(*near)).alias("p")).where(F.col("p.a") != F.col("p.b")).groupBy(
-        F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    kept = join_group_stats(join_group_stats(pairs, known.withColumnRenamed("word", "a"), ["a"]),
-                            known.withColumnRenamed("word", "b"), ["b"])
-    both = checkpointed(kept.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")),
-                                                      F.struct(F.col("b").alias("word"), F.col("a").alias("other")))).alias("e"), "n")
-                        .select("e.*", "n"))
-    of_word = both.groupBy("word").agg(F.sum("n").alias("n_word"))
+        near.append(F.arrays_zip(F.slice(t, F.lit(1), n).alias("v"), F.slice(t, F.lit(j + 1), n).alias("w")))
+    pairs = tokenised.select(F.explode(F.concat(*near)).alias("p")).select("p.v", "p.w").where(F.col("v") != F.col("w"))
+    first, second = known.toDF("v", "a"), known.toDF("w", "b")
+    one = F.lit(1).alias("n")
+    if words > BROADCAST_WORDS:
+        pairs, one = pairs.groupBy(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).agg(F.count(F.lit(1)).alias("n")), F.col("n")
+    placed = _placed(_placed(pairs, first, ["v"], words), second, ["w"], words)
+    counts = placed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), one).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    path = f"{ensure_checkpoint_dir(reviews.sparkSession)}/word-pairs-{uuid.uuid4().hex}"
+    counts.write.parquet(path)
+    return known, reviews.sparkSession.read.schema(counts.schema).parquet(path), words
+
+
+def pair_links(pairs: DataFrame, words: int) -> DataFrame:
+    """``word, other, ppmi`` by id, in both directions, from ``pair_counts``: nothing but the counts per word is stored."""
+    def ends(a, b):
+        return F.struct(F.col(a).alias("word"), F.col(b).alias("other"))
+
+    both = F.explode(F.array(ends("a", "b"), ends("b", "a")))
+    of_word = checkpointed(pairs.select(both.alias("e"), "n").groupBy(F.col("e.word").alias("word")).agg(F.sum("n").alias("n_word")))
     total = of_word.agg(F.sum("n_word").alias("total"))
-    weighed = join_group_stats(join_group_stats(both, of_word, ["word"]),
-                               of_word.select(F.col("word").alias("other"), F.col("n_word").alias("n_other")), ["other"])
-    info = F.log(F.col("n").cast("double") * F.col("total") / (F.col("n_word").cast("double") * F.col("n_other")))
-    return with_scalars(weighed, total).withColumn("ppmi", info).where(F.col("ppmi") > 0).select("word", "other", "ppmi")
+    weighed = _placed(_placed(pairs, of_word.toDF("a", "n_a"), ["a"], words), of_word.toDF("b", "n_b"), ["b"], words)
+    info = F.log(F.col("n").cast("double") * F.col("total") / (F.col("n_a").cast("double") * F.col("n_b")))
+    return with_scalars(weighed, total).select("a", "b", info.alias("ppmi")).where(F.col("ppmi") > 0).select(
+        both.alias("e"), "ppmi").select("e.word", "e.other", "ppmi")
+
+
+def word_links(reviews: DataFrame, text: str = "comments", window: int = WINDOW, min_reviews: int = MIN_REVIEWS) -> DataFrame:
+    """``word, other, ppmi`` in both directions, for words in at least ``min_reviews`` reviews and positive information."""
+    known, pairs, words = pair_counts(reviews, text, window, min_reviews)
+    links = pair_links(pairs, words).toDF("_word", "_other", "ppmi")
+    named = _placed(_placed(links, known.toDF("word", "_word"), ["_word"], words), known.toDF("other", "_other"), ["_other"], words)
+    return named.select("word", "other", "ppmi")
 
 
 def seed_table(reviews: DataFrame, seeds: Mapping[str, float] | None = None) -> DataFrame:
@@ -59,7 +88,8 @@ def seed_table(reviews: DataFrame, seeds: Mapping[str, float] | None = None) ->
 
 def propagate(links: DataFrame, scores: DataFrame, seeds: DataFrame, shrinkage: float = SHRINKAGE) -> DataFrame:
     """One round: every linked word takes the shrunk weighted mean of its scored neighbours; seeds keep their polarity."""
-    near = join_group_stats(links, scores.select(F.col("word").alias("other"), "polarity"), ["other"])
+    of_other = checkpointed(scores.select(F.col("word").alias("other"), "polarity"))
+    near = _placed(links, of_other, ["other"], of_other.count())
     mean = near.groupBy("word").agg((F.sum(F.col("ppmi") * F.col("polarity")) / (F.sum("ppmi") + shrinkage)).alias("polarity"))
     return mean.join(seeds.select("word"), "word", "left_anti").unionByName(seeds)
 
@@ -67,12 +97,15 @@ def propagate(links: DataFrame, scores: DataFrame, seeds: DataFrame, shrinkage:
 def induce_lexicon(reviews: DataFrame, text: str = "comments", seeds: Mapping[str, float] | None = None, rounds: int = ROUNDS,
                    window: int = WINDOW, min_reviews: int = MIN_REVIEWS, shrinkage: float = SHRINKAGE) -> DataFrame:
     """``word, polarity``: the seeds and every word that ``rounds`` rounds reach, for ``sentiment.polarity_by_table``."""
-    links = checkpointed(word_links(reviews, text, window, min_reviews))
+    known, pairs, words = pair_counts(reviews, text, window, min_reviews)
+    links = pair_links(pairs, words)
     given = checkpointed(seed_table(reviews, seeds))
-    scores = given
+    of_id = checkpointed(known.join(F.broadcast(given), "word").select(F.col("id").alias("word"), "polarity"))
+    scores = of_id
     for _ in range(rounds):
-        scores = checkpointed(propagate(links, scores, given, shrinkage))
-    return scores
+        scores = checkpointed(propagate(links, scores, of_id, shrinkage))
+    found = scores.withColumnRenamed("word", "id").join(known, "id").select("word", "polarity")
+    return checkpointed(found.join(F.broadcast(given.select("word")), "word", "left_anti").unionByName(given))
 
 
 def scored_share(scored: DataFrame, score: str = "sentiment") -> DataFrame:

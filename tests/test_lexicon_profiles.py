@@ -106,3 +106,22 @@ def test_scores_are_planned_once(spark):
     df = spark.createDataFrame([(1, "good not good")], "id long, comments string")
     plan = R.score_reviews(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("broadcast", [X.BROADCAST_WORDS, 2])
+def test_a_pair_is_stored_once_and_rare_words_never(reviews, spark, monkeypatch, broadcast):
+    texts, df = reviews
+    plain = [*["warm great warm"] * 3, "warm rare great", "great"]
+    rv = spark.createDataFrame([(k, t) for k, t in enumerate(plain)], "id long, comments string")
+    monkeypatch.setattr(X, "BROADCAST_WORDS", broadcast)
+    monkeypatch.setattr(R, "BROADCAST_WORDS", broadcast)
+    known, pairs, words = X.pair_counts(rv, min_reviews=2)
+    assert words == 2 and {r.word for r in known.collect()} == {"warm", "great"}
+    assert [(r.a < r.b, r.n) for r in pairs.collect()] == [(True, 7)]
+    named = df.selectExpr("id", "translate(comments, '0123456789', 'abcdefghij') comments")
+    got = {(r.word, r.other): r.ppmi for r in X.word_links(named, window=3, min_reviews=4).collect()}
+    want = brute_links(texts, 3, 4)
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+    table = spark.createDataFrame([("good", 1.0), ("good", 0.5), ("bad", -1.0), ("odd", 0.0)], "word string, polarity double")
+    two = spark.createDataFrame([(1, "good good not bad"), (2, "x"), (3, None)], "id long, comments string")
+    assert {r.id: r.sentiment for r in R.polarity_by_table(two, table).collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
