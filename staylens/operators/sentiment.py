@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.semantics import checkpointed, col_of, cut, hash_sample
@@ -123,9 +123,10 @@ def reviews_for_listings(reviews: DataFrame, listings: DataFrame, cap: int | Non
 
 
 def score_reviews(reviews: DataFrame, text: str = "comments", lexicon=None, compat: bool = False) -> DataFrame:
-    """R-2 + R-3: add ``sentiment`` and ``sentiment_label``. Tokens and scores are columns of their own on the way: the optimizer
-    keeps a costly column that is used twice, but would repeat an expression that is written twice."""
-    return (reviews.withColumn("_tokens", tokens(text)).withColumn("_scores", token_scores(F.col("_tokens"), lexicon))
+    """R-2 + R-3: add ``sentiment`` and ``sentiment_label``. Tokens and scores are generated rather than projected: a filter on the label
+    or polarity would be pushed below a projection and score the text again wherever it names them."""
+    return (reviews.select("*", F.explode(F.array(tokens(text))).alias("_tokens"))
+            .select("*", F.explode(F.array(token_scores(F.col("_tokens"), lexicon))).alias("_scores"))
             .withColumn("sentiment", mean_score(F.col("_scores"))).drop("_tokens", "_scores")
             .withColumn("sentiment_label", sentiment_label("sentiment", compat)))
 
@@ -144,11 +145,14 @@ def label_counts(scored: DataFrame) -> DataFrame:
 
 def extremes(scored: DataFrame, n: int = 5, id_col: str = "id") -> DataFrame:
     """R-7: the n most positive reviews among Positive ones and the n most negative among Negative ones."""
-    pos = (scored.where(F.col("sentiment_label") == "Positive")
-           .orderBy(F.col("sentiment").desc(), F.col(id_col)).limit(n).withColumn("kind", F.lit("most_positive")))
-    neg = (scored.where(F.col("sentiment_label") == "Negative")
-           .orderBy(F.col("sentiment").asc(), F.col(id_col)).limit(n).withColumn("kind", F.lit("most_negative")))
-    return pos.unionByName(neg)
+    label = F.col("sentiment_label")
+    kind = F.when(label == "Positive", "most_positive").when(label == "Negative", "most_negative")
+    # One pass for both: every task keeps n rows a kind before any is shuffled.
+    strength = F.when(label == "Positive", -F.col("sentiment")).otherwise(F.col("sentiment"))
+    ranked = scored.where(label.isin("Positive", "Negative")).withColumns({"kind": kind, "_strength": strength})
+    place = Window.partitionBy("kind").orderBy("_strength", F.col(id_col))
+    best = ranked.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= n)
+    return best.orderBy(F.col("kind").desc(), "_place").drop("_strength", "_place")
 
 
 def _stop_word_codes(stop_words: Mapping[str, Sequence[str]]) -> F.Column:

@@ -82,3 +82,16 @@ def test_language_tag(spark):
     df = spark.createDataFrame([("the cat and the dog",), ("le chat et la souris",), ("der Hund und die Katze",),
                                 ("el perro y la casa de",), ("zzz",)], "t string")
     assert [r[0] for r in df.select(R.language_tag("t")).collect()] == ["en", "fr", "de", "es", "en"]
+
+
+def test_a_filter_on_the_label_scores_no_text_again(spark):
+    """The predicate stays above the scoring: one tokenisation in the plan, whatever is filtered."""
+    from staylens.operators import sentiment as R
+
+    rows = [(1, "good"), (2, "bad"), (3, "not good"), (4, None), (5, "great great"), (6, "awful")]
+    scored = R.score_reviews(spark.createDataFrame(rows, "id long, comments string"))
+    plan = R.label_counts(scored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    plan = R.extremes(scored, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert [(r.id, r.kind) for r in R.extremes(scored, 1).collect()] == [(5, "most_positive"), (6, "most_negative")]
