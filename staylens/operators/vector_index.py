@@ -35,6 +35,7 @@ LLOYD_ROUNDS = 8
 ROWS_PER_BLOCK = 1_000
 PROBE_ROWS = 8_000
 QUERY_PACK = 1_000
+REACH_ROWS = 200_000  # (query, cell) pairs that a task holds at once
 SLACK = 1e-7  # of distances, far above their rounding error
 NO_CELL = -1
 
@@ -185,17 +186,16 @@ def _score(index: VectorIndex, packs: DataFrame, wanted: DataFrame, k: int) -> D
 
     def products(frames):
         for pdf in frames:
-            out = []
             for r in pdf.itertuples(index=False):
                 pos, ids = np.sort(np.asarray(r.poss)), np.asarray(r.ids)
                 sims = np.frombuffer(r.vecs).reshape(-1, dims) @ np.frombuffer(r.qvecs).reshape(-1, dims)[pos].T
                 # Final order (similarity desc, id asc), so no tie is lost.
                 every = np.broadcast_to(ids[:, None], sims.shape)
                 order = np.lexsort((every, -sims), axis=0)[:k]
-                out.append(pd.DataFrame({
+                # A frame per row: a batch's results together would grow with its rows and their queries.
+                yield pd.DataFrame({
                     "pack": r.pack, "pos": np.broadcast_to(pos[None, :], order.shape).ravel(),
-                    "id": np.take_along_axis(every, order, 0).ravel(), "similarity": np.take_along_axis(sims, order, 0).ravel()}))
-            yield pd.concat(out, ignore_index=True)
+                    "id": np.take_along_axis(every, order, 0).ravel(), "similarity": np.take_along_axis(sims, order, 0).ravel()})
 
     per_block = wanted.groupBy("cell", "block", "pack").agg(F.collect_list("pos").alias("poss"))  # at most a pack's queries
     joined = index.blocks.select("cell", "block", "ids", "vecs").join(per_block, ["cell", "block"]).join(
@@ -216,11 +216,13 @@ def _reach(index: VectorIndex, packs: DataFrame, cells: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 q = np.frombuffer(r.qvecs).reshape(-1, dims)
                 reach = np.asarray(r.reach, dtype=float) if r.reach is not None else np.full(len(q), np.inf)
-                d = _distances(q, centres[known])
-                bound = np.maximum(np.maximum(d - hi, lo - d), 0.0)
-                pos, at = np.nonzero(bound <= reach[:, None])  # a query without direction compares as false
-                yield pd.DataFrame({"pack": r.pack, "pos": pos, "cell": known[at], "far": d[pos, at], "least": bound[pos, at],
-                                    "reach": reach[pos]})
+                step = max(1, REACH_ROWS // max(len(known), 1))  # queries at once, so that memory doesn't grow with the cells
+                for at_query in range(0, len(q), step):
+                    d = _distances(q[at_query:at_query + step], centres[known])
+                    bound = np.maximum(np.maximum(d - hi, lo - d), 0.0)
+                    pos, at = np.nonzero(bound <= reach[at_query:at_query + step, None])  # a query without direction compares as false
+                    yield pd.DataFrame({"pack": r.pack, "pos": at_query + pos, "cell": known[at], "far": d[pos, at],
+                                        "least": bound[pos, at], "reach": reach[at_query + pos]})
 
     return packs.mapInPandas(run, "pack long, pos int, cell int, far double, least double, reach double")
 

@@ -91,3 +91,20 @@ def test_rows_without_direction_come_last(spark):
     assert found.where("query_id > 10 and similarity is not null").count() == 0
     assert V.batch_search(store.where("false"), qdf, 5).count() == 0
     assert V.batch_search(store, qdf.where("false"), 5).count() == 0
+
+
+def test_few_queries_and_cells_are_at_work_at_once(spark, monkeypatch):
+    """Frames of bounded size give what one frame a pack gave."""
+    from staylens.operators import vector_index as V
+
+    rng = np.random.default_rng(5)
+    store = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(200)], "id long, embedding array<double>")
+    queries = store.where("id % 10 = 0").selectExpr("id query_id", "embedding query_vector")
+    index = V.build_index(store, V.scratch_path(spark), cells=8, block_rows=16)
+    packs, cells = V._packed_queries(queries, "query_id", "query_vector", 4, 50), V._cells(index)
+    every = packs.selectExpr("pack", "qids", "qvecs", "cast(null as array<double>) reach")
+    whole = sorted(map(tuple, V._reach(index, every, cells).collect()))
+    monkeypatch.setattr(V, "REACH_ROWS", 8)
+    parts = sorted(map(tuple, V._reach(index, every, cells).collect()))
+    assert [r[:3] for r in parts] == [r[:3] for r in whole] and len(whole) == 20 * cells.count()
+    assert np.allclose([r[3:5] for r in parts], [r[3:5] for r in whole])
