@@ -5,8 +5,8 @@ objects. All restarts and all k run together, one job per iteration, which retur
 
 Bounds. At a few iterations (``RENEW``) a job keeps beside each block, for every run, each row's cluster, its margin (distance
 to the second nearest centre less that to its own) and the sums of its clusters. From then on the driver only follows how far
-centres have moved since: a row whose margin exceeds twice the largest move is still nearest to the same centre, by the
-triangle inequality. A pass therefore starts from the kept sums and computes distances for the other rows alone, moving them
+centres have moved since: a row whose margin exceeds its centre's move and the largest of the others is still nearest to the
+same centre, by the triangle inequality. A pass therefore starts from the kept sums and computes distances for the other rows alone, moving them
 from their old cluster's sums to the new one's. Results are those of plain Lloyd from the same starts. The state is
 checkpointed when it is renewed, so a lost executor costs no more than a block's distances.
 
@@ -62,6 +62,20 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return sum((x[:, i:i + 1] - centres[None, :, i]) ** 2 for i in range(x.shape[1]))
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's nearest centre (the first on ties), and the squares of its distances from that and from the second nearest.
+    Centre by centre over columns, so that what is at work stays in the processor's cache."""
+    columns = [np.ascontiguousarray(x[:, i]) for i in range(x.shape[1])]
+    own, first, second = np.zeros(len(x), "i8"), np.full(len(x), np.inf), np.full(len(x), np.inf)
+    for j, centre in enumerate(centres):
+        far = sum((c - v) ** 2 for c, v in zip(columns, centre))
+        nearer = far < first
+        np.minimum(second, np.where(nearer, first, far), out=second)
+        np.copyto(own, j, where=nearer)
+        np.copyto(first, far, where=nearer)
+    return own, first, second
+
+
 def _sums(x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
     """Rows and feature sums per cluster."""
     return np.column_stack([np.bincount(own, minlength=k), *[np.bincount(own, x[:, i], k) for i in range(x.shape[1])]])
@@ -106,12 +120,10 @@ def renewed(frame: DataFrame, runs: list[np.ndarray]) -> DataFrame:
                 own, margin = np.zeros((len(runs), len(x)), kind), np.zeros((len(runs), len(x)), "f4")
                 sums = np.zeros((spans[-1][1], x.shape[1] + 1))
                 for r, centres in enumerate(runs):
-                    far = np.sqrt(_squares(x, centres))
-                    own[r] = far.argmin(1)
+                    own[r], first, second = _nearest(x, centres)
                     if len(centres) > 1:
-                        two = np.partition(far, 1, axis=1)
                         # Rounded down, so that a margin is never too large.
-                        margin[r] = np.nextafter((two[:, 1] - two[:, 0]).astype("f4"), np.float32(-1))
+                        margin[r] = np.nextafter((np.sqrt(second) - np.sqrt(first)).astype("f4"), np.float32(-1))
                     else:
                         margin[r] = np.inf
                     sums[slice(*spans[r])] = _sums(x, own[r], len(centres))
@@ -127,22 +139,29 @@ def plain_pass(frame: DataFrame, runs: list[np.ndarray], tasks: int = FEW_TASKS
 
     def step(block) -> np.ndarray:
         x = _rows(block)
-        far = _squares(x, stacked)
         out = np.zeros((len(stacked), d + 2))
         for lo, hi in spans:
-            own = far[:, lo:hi].argmin(1)
+            own, first, _ = _nearest(x, stacked[lo:hi])
             out[lo:hi, :-1] = _sums(x, own, hi - lo)
-            out[lo:hi, -1] = np.bincount(own, far[np.arange(len(x)), lo + own], hi - lo)
+            out[lo:hi, -1] = np.bincount(own, first, hi - lo)
         return out
 
     return _collect(frame, step, d + 2, tasks)
 
 
+def _reach(moves: np.ndarray) -> np.ndarray:
+    """Per cluster, how far its centre and the farthest moved other one can have come towards each other for one of its rows."""
+    order = np.argsort(moves)
+    others = np.full(len(moves), moves[order[-1]])
+    others[order[-1]] = moves[order[-2]] if len(moves) > 1 else 0.0
+    return (moves + others) * (1 + 1e-9) + 1e-12
+
+
 def bounded_pass(frame: DataFrame, kept: list[np.ndarray], runs: dict[int, np.ndarray], tasks: int = FEW_TASKS + 1) -> np.ndarray:
     """Rows, feature sums and rows looked at per cluster of the given runs, from the state kept for the centres ``kept``."""
     d, spans = kept[0].shape[1], _spans(kept)
     kind = "u1" if max(map(len, kept)) < 256 else "u2"
-    moved = {r: 2 * np.sqrt(((c - kept[r]) ** 2).sum(1)).max() * (1 + 1e-9) + 1e-12 for r, c in runs.items()}
+    moved = {r: _reach(np.sqrt(((c - kept[r]) ** 2).sum(1))) for r, c in runs.items()}
     order = list(runs)
     new_spans = dict(zip(order, _spans([runs[r] for r in order])))
     size = sum(len(c) for c in runs.values())
@@ -156,10 +175,10 @@ def bounded_pass(frame: DataFrame, kept: list[np.ndarray], runs: dict[int, np.nd
         for r in order:
             lo, hi = new_spans[r]
             out[lo:hi, :-1] = sums[slice(*spans[r])]
-            open_rows = np.flatnonzero(margin[r] <= moved[r])
+            open_rows = np.flatnonzero(margin[r] <= moved[r][own[r]])
             if len(open_rows):
                 some = x[open_rows]
-                out[lo:hi, :-1] += _sums(some, _squares(some, runs[r]).argmin(1), hi - lo) - _sums(some, own[r][open_rows], hi - lo)
+                out[lo:hi, :-1] += _sums(some, _nearest(some, runs[r])[0], hi - lo) - _sums(some, own[r][open_rows], hi - lo)
                 out[lo, -1] = len(open_rows)
         return out
 

@@ -68,3 +68,19 @@ def test_invariants_row(spark):
     assert r.one_cluster_cost == pytest.approx(1500)
     labelled, _, _ = S.cluster(li, k=4, n_init=3)
     assert labelled.where(F.col("cluster").isNull()).count() == 1
+
+
+def test_nearest_centre_by_columns_and_reach_per_cluster():
+    import numpy as np
+
+    from staylens.operators import kmeans as K
+
+    rng = np.random.default_rng(2)
+    x, centres = rng.normal(size=(500, 3)).round(1), rng.normal(size=(6, 3)).round(1)
+    centres[4] = centres[1]
+    far = K._squares(x, centres)
+    own, first, second = K._nearest(x, centres)
+    assert (own == far.argmin(1)).all() and (first == far.min(1)).all() and (second == np.sort(far, 1)[:, 1]).all()
+    assert K._nearest(x, centres[:1])[2].min() == np.inf
+    reach = K._reach(np.array([0.5, 0.0, 0.25]))
+    assert reach == pytest.approx([0.75, 0.5, 0.75]) and K._reach(np.array([1.0])) == pytest.approx([1.0])
