@@ -20,6 +20,7 @@ SIZE = 3
 SMOOTHING = 0.5
 PROFILE_ROWS = 300_000  # profile rows that are broadcast, some tens of bytes each
 SALTS = 32
+MOST_COLUMNS = 64  # languages that are columns of the profile table
 WORD_PATTERN = r"\p{L}+"
 
 
@@ -56,18 +57,29 @@ def tag_by_profiles(df: DataFrame, profiles: DataFrame, languages: DataFrame, te
                     out: str = "lang_pred", size: int = SIZE, default: str = "en") -> DataFrame:
     """``df`` with the likeliest language of each text (ids are unique)."""
     rows = _exploded(df, text, size, F.col(id_col).alias("_id"))
-    # All languages of an n-gram travel in one row, so a text's n-grams are not multiplied before the lookup.
-    wide = checkpointed(profiles.groupBy("gram").agg(F.collect_list(F.struct("lang", "gain")).alias("gains")))
+    known = [r.lang for r in languages.select("lang").distinct().orderBy("lang").limit(MOST_COLUMNS + 1).collect()]
+    few = 0 < len(known) <= MOST_COLUMNS
+    # All languages of an n-gram travel in one row, so a text's n-grams are not multiplied before the lookup; a few are columns,
+    # so that they are not multiplied after it either and the texts are read once.
+    gains = [F.sum(F.when(F.col("lang") == x, F.col("gain"))).alias(f"_g{i}") for i, x in enumerate(known)]
+    wide = checkpointed(profiles.groupBy("gram").agg(*(gains if few else [F.collect_list(F.struct("lang", "gain")).alias("gains")])))
     if wide.count() <= PROFILE_ROWS:
         met = rows.join(F.broadcast(wide), "gram", "left")
     else:
         each = wide.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         met = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(each, ["gram", "_salt"], "left")
-    length = met.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    gained = met.select("_id", F.explode("gains").alias("g")).groupBy("_id", F.col("g.lang").alias("lang")).agg(F.sum("g.gain").alias("gain"))
-    # One row per language is bounded by the labels.
-    scores = length.crossJoin(F.broadcast(languages)).join(gained, ["_id", "lang"], "left").select(
-        "_id", "lang", (F.col("prior") + F.col("_n") * F.col("unseen") + F.coalesce("gain", F.lit(0.0))).alias("score"))
-    best = scores.groupBy("_id").agg(F.min(F.struct((-F.col("score")).alias("cost"), F.col("lang").alias("lang"))).alias("best"))
+    if few:
+        sums = met.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(len(known))])
+        of = {r.lang: (r.prior, r.unseen) for r in languages.collect()}
+        costs = [F.struct((-(F.lit(of[x][0]) + F.col("_n") * F.lit(of[x][1]) + F.coalesce(f"_g{i}", F.lit(0.0)))).alias("cost"),
+                          F.lit(x).alias("lang")) for i, x in enumerate(known)]
+        best = sums.select("_id", F.array_min(F.array(*costs)).alias("best"))
+    else:
+        length = met.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+        gained = met.select("_id", F.explode("gains").alias("g")).groupBy("_id", F.col("g.lang").alias("lang")).agg(F.sum("g.gain").alias("gain"))
+        # One row per language is bounded by the labels.
+        scores = length.crossJoin(F.broadcast(languages)).join(gained, ["_id", "lang"], "left").select(
+            "_id", "lang", (F.col("prior") + F.col("_n") * F.col("unseen") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+        best = scores.groupBy("_id").agg(F.min(F.struct((-F.col("score")).alias("cost"), F.col("lang").alias("lang"))).alias("best"))
     return df.join(best.select("_id", F.col("best.lang").alias("_lang")), F.col(id_col) == F.col("_id"), "left").withColumn(
         out, F.coalesce("_lang", F.lit(default))).drop("_id", "_lang")

@@ -125,3 +125,20 @@ def test_a_pair_is_stored_once_and_rare_words_never(reviews, spark, monkeypatch,
     table = spark.createDataFrame([("good", 1.0), ("good", 0.5), ("bad", -1.0), ("odd", 0.0)], "word string, polarity double")
     two = spark.createDataFrame([(1, "good good not bad"), (2, "x"), (3, None)], "id long, comments string")
     assert {r.id: r.sentiment for r in R.polarity_by_table(two, table).collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+
+
+def test_profile_tags_read_the_texts_once_and_agree_with_the_general_way(spark, monkeypatch):
+    rows = [(1, "the house and the garden", "en"), (2, "das haus und der garten", "de"), (3, "la casa y el jardin", "es"),
+            (4, "the house", None), (5, None, "en"), (6, "123", "de"), (7, "und das", None)]
+    df = spark.createDataFrame(rows, "id long, comments string, lang string")
+    profiles, languages = N.learn_profiles(df)
+    few = N.tag_by_profiles(df, profiles, languages)
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 3
+    tags = {r.id: r.lang_pred for r in few.collect()}
+    assert tags[4] == "en" and tags[7] == "de" and tags[5] == tags[6] == "en"
+    monkeypatch.setattr(N, "MOST_COLUMNS", 1)
+    many = N.tag_by_profiles(df, profiles, languages)
+    assert {r.id: r.lang_pred for r in many.collect()} == tags
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") < many._jdf.queryExecution(
+        ).optimizedPlan().toString().count("regexp_extract_all")
+    assert {r.lang_pred for r in N.tag_by_profiles(df, profiles, languages.limit(0)).collect()} == {"en"}
