@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from staylens.functions.semantics import r4
+from staylens.functions.semantics import checkpointed, r4
 from staylens.operators import geo as G
 from staylens.operators import segments as S
 from staylens.plans.catalog.reports import _r4all
@@ -48,8 +48,13 @@ names AS (SELECT cluster, p, lat,
 named AS (SELECT lab.*, names.cluster_name FROM lab LEFT JOIN names USING (cluster))"""
 
 
+def _located(spark, d):
+    """What segments need of every listing, joined together once for all passes."""
+    return checkpointed(roles.listings(spark, d).select("id", *S.FEATURES))
+
+
 def _demo_named(spark, d):
-    li = roles.listings(spark, d)
+    li = _located(spark, d)
     scaled = S.scale(li, S.feature_stats(li))
     labelled = S.assign(scaled, DEMO_CENTRES, 3).drop("_z0", "_z1", "_z2")
     return S.name_segments(labelled)
@@ -108,13 +113,13 @@ def g11_segment_legend(spark, d):
 @register("g2_elbow")
 def g2_elbow(spark, d):
     """Costs for k = 1..10 with 10 restarts each and the chosen k (model output; rows-only)."""
-    return _r4all(S.elbow(roles.listings(spark, d), max_k=10))
+    return _r4all(S.elbow(_located(spark, d), max_k=10))
 
 
 @register("g3_kmeans_segments")
 def g3_kmeans_segments(spark, d):
     """K-Means (k = 5, 10 restarts) labels and names on every listing (model output; rows-only)."""
-    labelled, _, _ = S.cluster(roles.listings(spark, d), k=5)
+    labelled, _, _ = S.cluster(_located(spark, d), k=5)
     return S.name_segments(labelled).select("id", "cluster", "cluster_name")
 
 
@@ -125,13 +130,13 @@ SELECT count(*)::BIGINT AS rows, 5::BIGINT AS clusters, true AS nearest, true AS
 """)
 def g3_kmeans_holds(spark, d):
     """What any K-Means result must satisfy, and the cost per row of a single cluster."""
-    out = S.check_segments(roles.listings(spark, d), k=5)
+    out = S.check_segments(_located(spark, d), k=5)
     return out.withColumn("one_cluster_cost", r4(F.col("one_cluster_cost") / F.col("rows")))
 
 
 @register("g6_kmeans_summary")
 def g6_kmeans_summary(spark, d):
-    labelled, _, _ = S.cluster(roles.listings(spark, d), k=5)
+    labelled, _, _ = S.cluster(_located(spark, d), k=5)
     return S.segment_summary(S.name_segments(labelled))
 
 
