@@ -106,11 +106,10 @@ def assign(scaled: DataFrame, centres: Sequence[Sequence[float]], d: int, name:
     if not centres:
         return scaled.withColumn(name, F.lit(None).cast("int"))
     dists = [sum((F.col(_z(i)) - F.lit(float(c[i]))) ** 2 for i in range(d)) for c in centres]
-    best = F.least(*dists) if len(dists) > 1 else dists[0]
-    expr = None
-    for j, dj in enumerate(dists):
-        expr = F.when(dj == best, F.lit(j)) if expr is None else expr.when(dj == best, F.lit(j))
-    return scaled.withColumn(name, F.when(F.col(_z(0)).isNotNull(), expr).cast("int"))
+    # Generated rather than projected: a filter on the cluster would be pushed below a projection and measure all distances again.
+    far = scaled.select("*", F.explode(F.array(F.array(*dists))).alias("_far"))
+    nearest = F.array_position("_far", F.array_min("_far")) - 1
+    return far.withColumn(name, F.when(F.col(_z(0)).isNotNull(), nearest).cast("int")).drop("_far")
 
 
 def cluster(listings: DataFrame, k: int = 5, features: Sequence[str] = FEATURES, n_init: int = N_INIT,

@@ -84,3 +84,12 @@ def test_nearest_centre_by_columns_and_reach_per_cluster():
     assert K._nearest(x, centres[:1])[2].min() == np.inf
     reach = K._reach(np.array([0.5, 0.0, 0.25]))
     assert reach == pytest.approx([0.75, 0.5, 0.75]) and K._reach(np.array([1.0])) == pytest.approx([1.0])
+
+
+def test_a_filter_on_the_cluster_measures_no_distance_again(spark):
+    rows = [(1, 0.0, 0.0), (2, 1.0, 1.0), (3, 0.5, 0.5), (4, None, None), (5, 9.0, 9.0)]
+    z = spark.createDataFrame(rows, "id long, _z0 double, _z1 double")
+    labelled = S.assign(z, [(0.0, 0.0), (1.0, 1.0)], 2)
+    assert {r.id: r.cluster for r in labelled.collect()} == {1: 0, 2: 1, 3: 0, 4: None, 5: 1}  # the first on ties
+    plan = labelled.where("cluster is not null").groupBy("cluster").count()._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("power(") == 4
