@@ -40,6 +40,9 @@ LEAST = 512  # nodes that a query expands before it may end
 RESCORED = 64  # of a beam at least, on the original vectors
 NONE = -4.0  # below any similarity
 ROWS_A_TASK = 4000  # of the small frames made here
+NODES_A_TASK = 1000  # with their lists: fewer would cost more to start a Python worker for than to work on
+QUERIES_A_TASK = 16  # with their beams
+ANY = 1_000_000  # tasks: as many as there are partitions
 
 EDGES = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("sim", pa.float32())])
 EDGES_DDL = "id long, near long, sim float"
@@ -93,6 +96,15 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Tab
         yield whole(held)
 
 
+def tasks_of(rows: int, a_task: int) -> int:
+    return max(1, -(-rows // a_task))
+
+
+def dealt(rows: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Rows of equal keys together and sorted, in at most ``tasks`` tasks, so that few rows don't become many tasks."""
+    return rows.repartition(key).coalesce(tasks).sortWithinPartitions(key)
+
+
 def best_of(ids: np.ndarray, near: np.ndarray, sim: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``most`` nearest distinct neighbours of each id, nearest first (ties: smaller neighbour)."""
     # A pair may be proposed more than once: keep one of each.
@@ -176,12 +188,12 @@ def first_lists(units: DataFrame, n: int) -> DataFrame:
             yield _batch(EDGES, *best_of(ids[rows][a], ids[rows][b], sims[a, b], NEIGHBOURS))
 
     tasks = max(1, n * PROJECTIONS // ROWS_A_TASK)
-    placed = units.mapInArrow(place, "turn int, code long, along float, id long, unit binary")
-    return placed.repartitionByRange(tasks, "turn", "code", "along").sortWithinPartitions("turn", "code", "along").mapInArrow(
-        compare, EDGES_DDL)
+    placed = units.coalesce(tasks).mapInArrow(place, "turn int, code long, along float, id long, unit binary")
+    return placed.repartitionByRange(tasks, "turn", "code", "along").coalesce(tasks).sortWithinPartitions(
+        "turn", "code", "along").mapInArrow(compare, EDGES_DDL)
 
 
-def merged(edges: DataFrame, most: int) -> DataFrame:
+def merged(edges: DataFrame, most: int, tasks: int = ANY) -> DataFrame:
     """The ``most`` nearest of each id: first within each task, then over all, so a node in very many lists is no hot spot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +214,7 @@ def merged(edges: DataFrame, most: int) -> DataFrame:
         for table, _ in groups(batches, "id"):
             yield _best_batch(table.to_batches(), most)
 
-    return edges.mapInArrow(run, EDGES_DDL).repartition("id").sortWithinPartitions("id").mapInArrow(finish, EDGES_DDL)
+    return dealt(edges.mapInArrow(run, EDGES_DDL), "id", tasks).mapInArrow(finish, EDGES_DDL)
 
 
 def _best_batch(batches: list[pa.RecordBatch], most: int) -> pa.RecordBatch:
@@ -226,7 +238,7 @@ def floors(edges: DataFrame) -> DataFrame:
     return edges.groupBy("id").agg(F.when(full, F.min("sim")).otherwise(F.lit(NONE)).cast("float").alias("floor"))
 
 
-def lists(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def lists(edges: DataFrame, nodes: DataFrame, tasks: int = ANY) -> DataFrame:
     """``id, member, own`` and the columns of ``nodes`` for each member, sorted by id: each node's neighbours (``own``) and
     nodes that list it.
 
@@ -243,7 +255,7 @@ def lists(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     rows = edges.mapInArrow(pairs, "id long, member long, own boolean")
     known = nodes.withColumnRenamed("id", "member")
-    return rows.join(known, "member").repartition("id").sortWithinPartitions("id")
+    return dealt(rows.join(known, "member"), "id", tasks)
 
 
 def _cut_lists(table: pa.Table) -> pa.Table:
@@ -262,7 +274,7 @@ def _starts(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
 
 
-def descend(edges: DataFrame, units: DataFrame) -> DataFrame:
+def descend(edges: DataFrame, units: DataFrame, tasks: int = ANY) -> DataFrame:
     """One round of NN-descent: the members of each list propose themselves to one another."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,14 +290,15 @@ def descend(edges: DataFrame, units: DataFrame) -> DataFrame:
             yield _batch(EDGES, *best_of(*(np.concatenate(c) for c in zip(*found)), NEIGHBOURS))
 
     nodes = units.join(floors(edges), "id", "left").fillna(NONE, ["floor"])
-    return merged(edges.union(lists(edges, nodes).mapInArrow(propose, EDGES_DDL)), NEIGHBOURS)
+    return merged(edges.union(lists(edges, nodes, tasks).mapInArrow(propose, EDGES_DDL)), NEIGHBOURS, tasks)
 
 
 def build_graph(units: DataFrame, n: int, changed: float = CHANGED) -> DataFrame:
     """Edges ``id, near, sim`` of the neighbour graph over ``units`` (``n`` rows); a node's edges are together."""
-    edges = materialised(merged(first_lists(units, n), NEIGHBOURS))
+    tasks = tasks_of(n, NODES_A_TASK)
+    edges = materialised(merged(first_lists(units, n), NEIGHBOURS, tasks))
     while True:
-        before, edges = edges, materialised(descend(edges, units))
+        before, edges = edges, materialised(descend(edges, units, tasks))
         # Lists only ever get nearer, so this ends.
         if edges.join(before, ["id", "near"], "left_anti").count() <= changed * NEIGHBOURS * n:
             return edges
@@ -294,13 +307,16 @@ def build_graph(units: DataFrame, n: int, changed: float = CHANGED) -> DataFrame
 STATE = "query long, unit binary, ids array<long>, sims array<float>, open array<boolean>"
 
 
-def search(starts: DataFrame, edges: DataFrame, units: DataFrame, k: int, least: int = LEAST) -> DataFrame:
+def search(starts: DataFrame, edges: DataFrame, units: DataFrame, k: int, least: int = LEAST, n: int | None = None,
+           queries: int | None = None) -> DataFrame:
     """``query, ids, sims``: the beam of each query node (``query``, its ``unit``) after greedy search from itself.
 
     A query ends when its nearest ``k`` (beside itself) outlast a round that doubles the nodes it has expanded, ``least`` at
     least, or when nothing is left to expand. A beam is one row of at most twice those nodes; a round joins a row of the
-    graph per node that it expands.
+    graph per node that it expands. ``n`` nodes and ``queries`` starts, where they are known, bound the tasks.
     """
+    of_nodes, of_queries = (ANY if rows is None else tasks_of(rows, a_task)
+                            for rows, a_task in ((n, NODES_A_TASK), (queries, QUERIES_A_TASK)))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in groups(batches, "id"):
@@ -313,7 +329,7 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, k: int, least:
                  pa.ListArray.from_arrays(ends, table["unit"].chunk(0))], names=["node", "members", "units"])
 
     # Rows of the graph with their neighbours' vectors, kept in one partitioning for the joins of all rounds.
-    graph = lists(edges, units).mapInArrow(rows_of, "node long, members array<long>, units array<binary>").repartition(
+    graph = lists(edges, units, of_nodes).mapInArrow(rows_of, "node long, members array<long>, units array<binary>").repartition(
         "node").persist(StorageLevel.DISK_ONLY)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,16 +398,17 @@ def search(starts: DataFrame, edges: DataFrame, units: DataFrame, k: int, least:
             yield pa.RecordBatch.from_arrays([b["query"], b["unit"], b["ids"], b["sims"], pa.array(marks, pa.list_(pa.bool_()))],
                                              names=["query", "unit", "ids", "sims", "open"])
 
-    state = materialised(starts.select("query", "unit", F.array("query").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("sims"),
+    state = materialised(starts.coalesce(of_queries).select("query", "unit", F.array("query").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("sims"),
                                        F.array(F.lit(True)).alias("open")))
     most, total = 2 * NEIGHBOURS, 0
     while not state.filter(F.exists("open", lambda x: x)).isEmpty():
         total, beam = total + most, max(2 * (total + most), least)
         frontier = state.mapInArrow(partial(step, most=most, beam=beam), "node long, query long, unit binary, floor float")
-        seen = frontier.join(graph, "node").select("query", "unit", "floor", "members", "units").mapInArrow(
+        expanded = ANY if queries is None else tasks_of(queries * most, NODES_A_TASK)
+        seen = frontier.join(graph, "node").select("query", "unit", "floor", "members", "units").coalesce(expanded).mapInArrow(
             look, "query long, ids array<long>, sims array<float>")
         both = state.mapInArrow(partial(closed, most=most), STATE).unionByName(seen, allowMissingColumns=True)
-        state = materialised(both.repartition("query").sortWithinPartitions("query").mapInArrow(
+        state = materialised(dealt(both, "query", of_queries).mapInArrow(
             partial(merge, beam=beam, may_end=total >= least), STATE))
         most = total
     graph.unpersist()
@@ -407,14 +424,15 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
     own, nodes = nodes_of(embeddings, id_col, vector_col)
     members = materialised(smallest_ids(own, nodes, k + 1))
     # One partitioning by id for the joins of all rounds.
-    units = packed_units(nodes).repartition("id").persist(StorageLevel.DISK_ONLY)
-    n = units.count()
+    n = nodes.count()
+    units = packed_units(nodes.coalesce(tasks_of(n, NODES_A_TASK))).repartition("id").persist(StorageLevel.DISK_ONLY)
     edges = build_graph(units, n)
     asked = materialised(own.filter(F.col("row_id") % every == 0).join(nodes.select(F.col("id").alias("node"), "vec"), "vec").select(
         F.col("row_id").alias("query_id"), "node"))
     starts = asked.select(F.col("node").alias("query")).distinct().join(
         units.select(F.col("id").alias("query"), "unit"), "query")
-    beams = search(starts, edges, units, k)
+    queries = asked.count()
+    beams = search(starts, edges, units, k, n=n, queries=queries)
     units.unpersist()
     # Whatever rounding can't tell from the last of the best: single-precision distances err by less than this slack.
     apart = F.sqrt(-2 * F.element_at("sims", F.least(F.lit(k + 1), F.size("sims"))).cast("double"))
@@ -432,7 +450,7 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
                 cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
                 yield pa.RecordBatch.from_arrays([b["query"], b["id"], pa.array(cosine)], names=["query", "id", "score"])
 
-    scored = pairs.select("query", "id", "vec", "query_vec").mapInArrow(score, "query long, id long, score double")
+    scored = pairs.select("query", "id", "vec", "query_vec").coalesce(tasks_of(queries, QUERIES_A_TASK)).mapInArrow(score, "query long, id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "row_id")
     # One more than k: a query's own row may be among them.
     short = scored.join(members, "id").withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k + 1)

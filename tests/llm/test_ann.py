@@ -85,3 +85,22 @@ def test_few_rows_and_none(spark):
     assert found(ann.nearest(frame(spark, [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])])))[0][0][0] == 1
     assert found(ann.nearest(frame(spark, [(0, [1.0, 0.0])]))) == {}
     assert found(ann.nearest(frame(spark, []))) == {}
+
+
+def test_few_rows_are_few_tasks_however_many_partitions_a_shuffle_has(spark):
+    x = np.random.default_rng(8).standard_normal((300, 8)).astype("f4")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in held}
+    for c, v in held.items():
+        spark.conf.set(c, v)
+    try:
+        _, nodes = ann.nodes_of(frame(spark, list(enumerate(x.tolist()))))
+        units = ann.packed_units(nodes).repartition("id").persist()
+        edges = ann.build_graph(units, len(x))
+        assert edges.rdd.getNumPartitions() == 1 and edges.groupBy("id").count().filter("count = 16").count() == 300
+        beams = ann.search(units.withColumnRenamed("id", "query").filter("query < 20"), edges, units, 5, n=300, queries=20)
+        assert beams.rdd.getNumPartitions() == 2 and beams.count() == 20
+        units.unpersist()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
