@@ -6,8 +6,8 @@
 3. Every candidate gets features of its format and of the text around it. Boosted trees learn from the corpus and from
    rule-made sentences with spelt emails, numbers without plus and harmless ones. In the corpus a candidate is a positive
    example where it is a base span (shown without the plus sign that gives phones away), a negative one where it
-   overlaps one otherwise or is a bare number without a cue, and else unlabelled. Feature rows are grouped first, so copies of a text are one row with a weight, and the sample the
-   driver fits on has a documented bound, ``TRAIN_ROWS``.
+   overlaps one otherwise or is a bare number without a cue, and else unlabelled. Feature rows are grouped first, so copies of a
+   text are one row with a weight. All of them are learned from: the driver fits up to ``DRIVER_ROWS``, Spark jobs fit more.
 4. A threshold calibrated on rows kept out of training selects the candidates that are added to the base spans; of those
    that overlap, the likeliest one (ties: the longer, then the earlier).
 """
@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.boosting import BoostedTrees, calibrated_threshold
+from staylens.llm.boosting import BoostedTrees, calibrated_threshold, threshold_of_rows
 from staylens.llm.common import materialised, pick, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "likely"  # kind of the spans that the classifier adds
-TRAIN_ROWS = 20_000
+DRIVER_ROWS = 20_000
+ROWS_A_TASK = 50_000  # of a fit by Spark jobs
 PRECISION = 0.995
 RULE_MADE = 400  # sentences
 
@@ -251,19 +252,20 @@ class Detector:
         return np.where(p >= self.threshold, p, 0)
 
 
-def train(rows: DataFrame, most: int = TRAIN_ROWS, precision: float = PRECISION) -> Detector:
+def train(rows: DataFrame, most: int = DRIVER_ROWS, precision: float = PRECISION) -> Detector:
     """Fit on the distinct feature rows of all labelled candidates, each weighted by its count, and the rule-made ones.
 
-    If there are more than about ``most`` distinct rows, a hash of the row picks that many. A quarter of them, by the same
+    If there are more than ``most`` distinct rows, Spark jobs fit on all of them, else the driver does. A quarter of them, by a
     hash, calibrates the threshold and trains nothing.
     """
     one = rows.select(F.explode(F.arrays_zip("covers", "features")).alias("c")).select("c.covers", "c.features").filter(
         F.col("covers").isNotNull())
     kinds = materialised(one.groupBy("covers", "features").agg(F.count(F.lit(1)).alias("n")))
     total = kinds.count()
-    picked = kinds.filter(F.expr("pmod(xxhash64(features, 7), 1000000L)") < min(1_000_000, 1_000_000 * most // max(total, 1) + 1))
-    got = sorted((bool(r["covers"]), tuple(r["features"]), r["n"], r["fold"]) for r in picked.withColumn(
-        "fold", F.expr("pmod(xxhash64(features, 8), 4)")).collect())
+    folded = kinds.withColumn("fold", F.expr("pmod(xxhash64(features, 8), 4)"))
+    if total > most:
+        return train_by_jobs(folded, total, precision)
+    got = sorted((bool(r["covers"]), tuple(r["features"]), r["n"], r["fold"]) for r in folded.collect())
     made = rule_made()
     got += [(y, row, 1, k % 4) for k, (y, row) in enumerate(made)]
     x = np.array([r[1] for r in got], "f8").reshape(-1, FEATURES)
@@ -276,6 +278,17 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS, precision: float = PRECISION)
     return Detector(trees, calibrated_threshold(trees.probability(x[~fit]), y[~fit], weight[~fit], precision))
 
 
+def train_by_jobs(folded: DataFrame, total: int, precision: float) -> Detector:
+    made = folded.sparkSession.createDataFrame([(y, list(row), 1, k % 4) for k, (y, row) in enumerate(rule_made())],
+                                               "covers boolean, features array<float>, n long, fold long")
+    every = materialised(folded.unionByName(made).coalesce(total // ROWS_A_TASK + 1).select(
+        F.col("features").alias("x"), F.col("covers").cast("double").alias("y"), F.sqrt("n").alias("weight"), "fold"))
+    trees = BoostedTrees().fit_rows(every.filter("fold > 0"))
+    if not trees.fitted:
+        return Detector(trees, float("inf"))
+    return Detector(trees, threshold_of_rows(trees.probability_rows(every.filter("fold = 0")), precision))
+
+
 def added_spans(base: list[tuple[int, int]], starts: list[int], ends: list[int], likely: np.ndarray) -> list[tuple[int, int]]:
     """Selected candidates (of a likelihood above 0) that share no character with a base span or a likelier selected one."""
     order = sorted((-p, a - b, a, b) for a, b, p in zip(starts, ends, likely.tolist()) if p > 0)
