@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,32 @@ def test_a_filter_on_the_cluster_measures_no_distance_again(spark):
     assert {r.id: r.cluster for r in labelled.collect()} == {1: 0, 2: 1, 3: 0, 4: None, 5: 1}  # the first on ties
     plan = labelled.where("cluster is not null").groupBy("cluster").count()._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("power(") == 4
+
+
+def test_cells_alone_spare_most_rows_and_ties_go_to_the_first_centre(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(12_000, 3)), rng.integers(0, 4, size=(4_000, 3))])
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=["_z0", "_z1", "_z2"])).repartition(2)
+    blocks = K.packed(rows).persist()
+    starts = [x[:4], np.array([[0.0, 0, 0], [2, 0, 0], [0, 2, 0], [2, 2, 0]]), np.array([[1.0, 1, 1], [1.0, 1, 1], [9, 9, 9]])]
+    table = K.cell_pass(blocks, dict(enumerate(starts)))
+    for start, (lo, hi) in zip(starts, K._spans(starts)):
+        far = ((x[:, None] - start[None]) ** 2).sum(2)
+        own = far.argmin(1)
+        assert (table[lo:hi, 0] == np.bincount(own, minlength=len(start))).all()
+        assert table[lo:hi, 4] == pytest.approx(np.bincount(own, far.min(1), len(start)))
+    centres, costs, _, saved = K.lloyd(blocks, starts[:1], renew=())
+    assert saved > 0.5  # without bounds kept, where every row met every centre before
+    want, cost, _ = plain_lloyd(x, starts[0])
+    assert np.allclose(centres[0], want, atol=1e-8) and costs[0] == pytest.approx(cost)
+    blocks.unpersist()
+
+
+def test_tasks_add_up_alike_on_the_driver_and_in_a_tree(cloud, monkeypatch):
+    x, rows = cloud
+    blocks = K.packed(rows, 100).persist()
+    few = K.cell_pass(blocks, {0: x[:5]}), K.parallel_seeds(blocks, [3], 2, 2, 7)
+    monkeypatch.setattr(K, "FEW_TASKS", 1)
+    many = K.cell_pass(blocks, {0: x[:5]}), K.parallel_seeds(blocks, [3], 2, 2, 7)
+    assert np.allclose(few[0], many[0]) and all(np.array_equal(c, many[1][key]) for key, c in few[1].items())
+    blocks.unpersist()
