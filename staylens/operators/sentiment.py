@@ -13,8 +13,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from staylens.functions.semantics import checkpointed, col_of, cut, hash_sample
+from staylens.operators import words as W
 
 TOKEN_PATTERN = r"[\p{L}']+"
 NEGATION_FACTOR = -0.5
@@ -89,21 +91,31 @@ def polarity_by_table(reviews: DataFrame, lexicon: DataFrame, text: str = "comme
                       word: str = "word", score: str = "polarity", negations: Sequence[str] = NEGATIONS) -> DataFrame:
     """R-2 with a lexicon table of any size: ``id``, ``sentiment`` of every review (ids are unique).
 
-    A lexicon of up to ``BROADCAST_WORDS`` words is broadcast, so one row per review and task is shuffled. For a larger one, tokens are
-    counted per review before the join, so a frequent word is one row per review. A word listed twice counts with its smallest score."""
+    A lexicon of up to ``BROADCAST_WORDS`` words is broadcast, and one of up to ``MOST_WORDS`` is looked up by Python, so one row per review and
+    task is shuffled. For a larger one, tokens are counted per review before the join, so a frequent word is one row per review. A word
+    listed twice counts with its smallest score."""
     t = tokens(text)
-    pair = F.explode(F.arrays_zip(t.alias("w"), F.concat(F.array(F.lit("")), t).alias("p")))
-    one = reviews.select(F.col(id_col).alias("_id"), pair.alias("x")).where(F.col("x.w").isNotNull()).select(
-        "_id", F.col("x.w").alias("_w"), F.col("x.p").isin(list(negations)).alias("_neg"), F.lit(1).alias("_n"))
     lex = checkpointed(lexicon.where(F.col(word).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(word).alias("_w")).agg(
         F.min(F.col(score).cast("double")).alias("_s")))
-    if lex.count() <= BROADCAST_WORDS:
-        lex = F.broadcast(lex)
+    count = lex.count()
+    if BROADCAST_WORDS < count <= W.MOST_WORDS:
+        table = lex.toArrow()
+        table, factor, turning = reviews.sparkSession.sparkContext.broadcast(W.word_table(table["_w"], table["_s"])), NEGATION_FACTOR, frozenset(negations)
+        texts = reviews.select(F.col(id_col).alias("_id"), t.alias("_t"))
+        schema = T.StructType([texts.schema["_id"], T.StructField("_sum", T.DoubleType()), T.StructField("_n", T.LongType())])
+        one = texts.mapInArrow(lambda batches: W.scored(batches, table.value, turning, factor), schema)
+        hits = one.groupBy("_id").agg((F.sum("_sum") / F.sum("_n")).alias("_mean"))
     else:
-        one = one.groupBy("_id", "_w", "_neg").agg(F.sum("_n").alias("_n"))
-    sign = F.when(F.col("_neg"), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
-    hits = one.join(lex, "_w").groupBy("_id").agg(
-        (F.sum(F.col("_s") * sign * F.col("_n")) / F.sum("_n")).alias("_mean"))
+        pair = F.explode(F.arrays_zip(t.alias("w"), F.concat(F.array(F.lit("")), t).alias("p")))
+        one = reviews.select(F.col(id_col).alias("_id"), pair.alias("x")).where(F.col("x.w").isNotNull()).select(
+            "_id", F.col("x.w").alias("_w"), F.col("x.p").isin(list(negations)).alias("_neg"), F.lit(1).alias("_n"))
+        if count <= BROADCAST_WORDS:
+            lex = F.broadcast(lex)
+        else:
+            one = one.groupBy("_id", "_w", "_neg").agg(F.sum("_n").alias("_n"))
+        sign = F.when(F.col("_neg"), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
+        hits = one.join(lex, "_w").groupBy("_id").agg(
+            (F.sum(F.col("_s") * sign * F.col("_n")) / F.sum("_n")).alias("_mean"))
     return reviews.select(F.col(id_col).alias("id")).join(hits, F.col("id") == F.col("_id"), "left").select(
         "id", F.coalesce("_mean", F.lit(0.0)).alias("sentiment"))
 
