@@ -16,6 +16,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +114,10 @@ def word_links(reviews: DataFrame, text: str = "comments", window: int = WINDOW,
     """``word, other, ppmi`` in both directions, for words in at least ``min_reviews`` reviews and positive information."""
     known, pairs, words = pair_counts(reviews, text, window, min_reviews)
     links = pair_links(pairs, words).toDF("_word", "_other", "ppmi")
+    if BROADCAST_WORDS < words <= W.MOST_WORDS:
+        table = known.toArrow()
+        names = reviews.sparkSession.sparkContext.broadcast(table["word"].combine_chunks().take(pa.array(np.argsort(table["id"].to_numpy()))))
+        return links.mapInArrow(lambda batches: W.named(batches, names.value), "word string, other string, ppmi double")
     named = _placed(_placed(links, known.toDF("word", "_word"), ["_word"], words), known.toDF("other", "_other"), ["_other"], words)
     return named.select("word", "other", "ppmi")
 

@@ -166,6 +166,14 @@ def added(batches: Iterable[pa.RecordBatch], tiles: Tiles) -> Iterator[pa.Record
         yield from tiles.pairs(now, *_merged(held))
 
 
+def named(batches: Iterable[pa.RecordBatch], words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Links by number (``word, other, ppmi``) as links by word."""
+    for batch in batches:
+        for lo in range(0, len(batch), SLICE_TOKENS):
+            some = batch.slice(lo, SLICE_TOKENS)
+            yield pa.RecordBatch.from_arrays([words.take(some.column(0)), words.take(some.column(1)), some.column(2)], ["word", "other", "ppmi"])
+
+
 def scored(batches: Iterable[pa.RecordBatch], table: WordTable, negations: frozenset[str], factor: float) -> Iterator[pa.RecordBatch]:
     """``id, sum, n`` of an id and its tokens: what the words of the table add up to, turned after a negation, and how many they are."""
     for batch in batches:

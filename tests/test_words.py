@@ -79,3 +79,12 @@ def test_pairs_of_many_words_are_the_same_with_and_without_a_table(spark, texts,
         named[most] = sorted((*sorted((ids[r.a], ids[r.b])), r.n) for r in pairs.collect())
     first, second = named.values()
     assert first == second and len(first) == len({x[:2] for x in first})
+
+
+def test_links_of_many_words_are_named_without_a_shuffle(spark, texts, monkeypatch):
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, comments string")
+    want = sorted((r.word, r.other, round(r.ppmi, 9)) for r in X.word_links(df).collect())
+    monkeypatch.setattr(X, "BROADCAST_WORDS", 3)
+    links = X.word_links(df)
+    assert "hashpartitioning" not in links._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.word, r.other, round(r.ppmi, 9)) for r in links.collect()) == want
