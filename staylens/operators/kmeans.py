@@ -37,6 +37,7 @@ SEED_PASSES = 4
 FEW_TASKS = 64  # whose sums the driver adds up itself
 MAX_ITER = 300
 TOL = 1e-4
+SAME_COST = 1e-12  # share of a cost by which the order of its sums may shift it
 
 _PACKED = "n long, x binary, cells binary"
 
@@ -345,7 +346,8 @@ def parallel_seeds(blocks: RDD, ks: Sequence[int], restarts: int, d: int, seed:
 
 def best_of_restarts(rows: DataFrame, ks: Sequence[int], n_init: int, seed: int, max_iter: int = MAX_ITER,
                      tol: float = TOL) -> dict[int, tuple[float, list[list[float]], bool]]:
-    """Per k: the lowest cost of ``n_init`` restarts (first on ties), its centres, and whether it settled in ``max_iter``."""
+    """Per k: the lowest cost of ``n_init`` restarts (the first of those that rounding alone tells apart), its centres, and whether it
+    settled in ``max_iter``."""
     n, tasks = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     if not n:
         return {k: (0.0, [], True) for k in ks}
@@ -359,6 +361,6 @@ def best_of_restarts(rows: DataFrame, ks: Sequence[int], n_init: int, seed: int,
         blocks.unpersist()
     out: dict[int, tuple[float, list[list[float]], bool]] = {}
     for i, (k, _) in enumerate(names):
-        if k not in out or costs[i] < out[k][0]:
+        if k not in out or costs[i] < out[k][0] * (1 - SAME_COST):
             out[k] = (costs[i], [list(map(float, c)) for c in centres[i]], settled[i])
     return out

@@ -123,3 +123,10 @@ def test_tasks_add_up_alike_on_the_driver_and_in_a_tree(cloud, monkeypatch):
     many = K.cell_pass(blocks, {0: x[:5]}), K.parallel_seeds(blocks, [3], 2, 2, 7)
     assert np.allclose(few[0], many[0]) and all(np.array_equal(c, many[1][key]) for key, c in few[1].items())
     blocks.unpersist()
+
+
+def test_of_costs_that_rounding_tells_apart_the_first_wins(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(i), 0.0) for i in range(40)], "_z0 double, _z1 double")
+    costs = [2.0, 1.0, 1.0 - 1e-15, 1.5]
+    monkeypatch.setattr(K, "lloyd", lambda blocks, starts, *_: ([np.full((2, 2), i) for i in range(4)], costs, [True] * 4, 0.0))
+    assert K.best_of_restarts(rows, [2], 4, 42)[2] == (1.0, [[1.0, 1.0], [1.0, 1.0]], True)
